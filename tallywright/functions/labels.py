@@ -91,6 +91,18 @@ def split_prompt_completion(messages: Column) -> tuple[Column, Column]:
     return F.slice(messages, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(messages, F.greatest(n, F.lit(1)), F.lit(1))
 
 
+def split_turns(turns: DataFrame, conversation: str, turn: str) -> DataFrame:
+    """Turn rows marked prompt or completion; the last turn is the completion.
+
+    Works on rows, so a very long conversation is never gathered in one cell.
+    """
+    last = turns.groupBy(conversation).agg(F.max(turn).alias("__last"))
+    joined = join_null_safe(turns, last, [conversation], "left")
+    return joined.withColumn(
+        "part", F.when(F.col(turn) == F.col("__last"), F.lit("completion")).otherwise(F.lit("prompt"))
+    ).drop("__last")
+
+
 def contract_check(rules: Sequence[tuple[str, Column]]) -> Column:
     """Array of the names of the broken rules of a record, in rule order."""
     broken = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules])

@@ -46,9 +46,9 @@ def scan_jsonl_items(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "scan_run_manifests",
-    """SELECT 'user-' || user_id AS run_id, count(*) AS total_steps, round(sum(value), 4) AS total_s,
+    """SELECT 'user-' || user_id || '-' || (event_id // 500) AS run_id, count(*) AS total_steps, round(sum(value), 4) AS total_s,
     CAST(count(*) FILTER (event_type IN ('view', 'click')) AS BIGINT) AS n_train, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS n_eval
-    FROM events WHERE user_id % 4 <> 0 GROUP BY user_id""",
+    FROM events WHERE user_id % 4 <> 0 GROUP BY user_id, event_id // 500""",
 )
 def scan_run_manifests(spark: SparkSession, sf: str) -> DataFrame:
     manifests = event_manifests(spark, sf)
@@ -65,27 +65,30 @@ def scan_run_manifests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_manifests(spark: SparkSession, sf: str) -> DataFrame:
-    """One manifest per user; views and clicks are training steps, errors evaluations."""
+    """One manifest per user and block of 500 events, so its history is bounded.
+
+    Views and clicks stand for training steps, errors for evaluations.
+    """
     e = load(spark, sf, "events")
-    # a manifest is one record: its history is one cell by definition
     train = F.when(F.col("event_type").isin("view", "click"), F.struct(F.col("event_id").alias("step"), F.col("value").alias("loss")))
     held = F.when(
         F.col("event_type") == "error",
         F.struct(F.col("event_id").alias("step"), (F.col("event_id") % 9).alias("epoch"), F.col("value").alias("eval_loss")),
     )
-    return e.groupBy("user_id").agg(
-        F.concat(F.lit("user-"), F.col("user_id")).alias("run_id"),
+    block = F.floor(F.col("event_id") / 500)
+    return e.groupBy("user_id", block.alias("block")).agg(
+        F.concat(F.lit("user-"), F.col("user_id"), F.lit("-"), F.col("block")).alias("run_id"),
         F.when(F.col("user_id") % 4 == 0, F.lit("smoke")).otherwise(F.lit("final")).alias("tag"),
         F.count(F.lit(1)).alias("total_steps"),
         F.sum("value").alias("total_s"),
         F.collect_list(train).alias("loss_history"),
         F.collect_list(held).alias("eval_loss_history"),
-    ).drop("user_id")
+    ).drop("user_id", "block")
 
 
 @query(
     "explode_run_history",
-    """SELECT 'user-' || user_id AS run_id, CASE WHEN event_type = 'error' THEN 'eval' ELSE 'train' END AS kind, event_id AS step, value AS loss
+    """SELECT 'user-' || user_id || '-' || (event_id // 500) AS run_id, CASE WHEN event_type = 'error' THEN 'eval' ELSE 'train' END AS kind, event_id AS step, value AS loss
     FROM events WHERE user_id % 4 <> 0 AND event_type IN ('view', 'click', 'error')""",
 )
 def explode_run_history(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.functions import labels, reply, text
@@ -514,23 +514,33 @@ def render_chat(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "split_prompt_completion",
-    """SELECT conv_id, CAST(count(*) - 1 AS BIGINT) AS n_prompt, arg_max(role, turn) AS last_role, md5(arg_max(text, turn)) AS last_text,
-    md5(string_agg(text, '|' ORDER BY turn)) AS all_text FROM conversations GROUP BY conv_id""",
+    """SELECT doc_id, CAST(2 AS BIGINT) AS n_prompt, 'assistant' AS last_role, md5(text) AS last_text, md5('s|' || lang) AS prompt FROM documents""",
 )
 def split_prompt_completion(spark: SparkSession, sf: str) -> DataFrame:
-    # one conversation is one training row by definition, so its turns meet in one cell
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    rows = load(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("m"))
+    def turn(role: str, content: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+    messages = F.array(turn("system", F.lit("s")), turn("user", F.col("lang")), turn("assistant", F.col("text")))
+    rows = load(spark, sf, "documents").select("doc_id", messages.alias("m"))
     prompt, completion = labels.split_prompt_completion(F.col("m"))
     return rows.select(
-        "conv_id",
+        "doc_id",
         F.size(prompt).cast("bigint").alias("n_prompt"),
         F.get(completion, F.lit(0))["role"].alias("last_role"),
-        F.md5(F.get(completion, F.lit(0))["text"]).alias("last_text"),
-        F.md5(F.array_join(F.transform(F.concat(prompt, completion), lambda x: x["text"]), "|")).alias("all_text"),
+        F.md5(F.get(completion, F.lit(0))["content"]).alias("last_text"),
+        F.md5(F.array_join(F.transform(prompt, lambda x: x["content"]), "|")).alias("prompt"),
     )
 
 
+@query(
+    "split_turns",
+    """SELECT conv_id, turn, role, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 'completion' ELSE 'prompt' END AS part
+    FROM conversations""",
+)
+def split_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return labels.split_turns(load(spark, sf, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn")
+
+
 @query(
     "quoted_part",
     """SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE 'no blank ' || lang END) AS quoted FROM documents""",
