@@ -182,7 +182,9 @@ def recorded_lists(numbered: DataFrame) -> DataFrame:
         .otherwise(pos)
     )
     own = F.struct(F.col("file").alias("file"), at.alias("recorded_at"), F.lit(False).alias("spaced"))
-    lost = F.struct(F.lit("gone.png").alias("file"), F.col("n") + 1, F.lit(False))
+    lost = F.struct(
+        F.lit("gone.png").alias("file"), (F.col("n") + 1).alias("recorded_at"), F.lit(False).alias("spaced")
+    )
     rows = F.when((k == 1) & (pos == 1), F.array(own, lost)).when(F.col("recorded_at0") > 0, F.array(own))
     return (
         numbered.join(total, "id")

@@ -23,5 +23,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    """A table; texts that arrive in fewer splits than there are cores are
+    spread by their key, which also serves later work per record."""
+    df = spark.read.parquet(f"{sf}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if table in TEXT_KEYS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, TEXT_KEYS[table])
+    return df
