@@ -75,7 +75,7 @@ def render_chat(question: Column, options: Column, system: Column, instruction:
     """Two-turn message array with the lettered options in letter order."""
     lettered = F.array_join(
         F.transform(
-            F.array_sort(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit(". "), e["value"])
+            F.sort_array(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit(". "), e["value"])
         ),
         "\n",
     )

@@ -83,7 +83,7 @@ def named_keys(reply: Column) -> Column:
     after = F.regexp_extract_all(
         rest, F.lit(r"(?<![a-z])([a-g])\s+(?:mayor|major|minor|mol)(?![a-z])"), F.lit(1)
     )
-    found = F.array_sort(F.array_distinct(F.concat(before, after)))
+    found = F.sort_array(F.array_distinct(F.concat(before, after)))
     return F.when((F.size(found) == 0) & text.rlike("^[a-g]$"), F.array(text)).otherwise(found)
 
 
@@ -101,7 +101,7 @@ def token_f1_arrays(p: Column, g: Column) -> Column:
     Sorted copies turn "occurrences of t" into a difference of positions, so no
     token is compared with every other one.
     """
-    ps, gs = F.array_sort(p), F.array_sort(g)
+    ps, gs = F.sort_array(p), F.sort_array(g)
     uniq = F.array_intersect(ps, gs)
 
     def times(arr: Column, t: Column) -> Column:
@@ -187,7 +187,7 @@ def chosen_letter(reply: Column, options: Column) -> Column:
         ),
         lambda e: (e["n"] > 0) & F.contains(low, e["v"]),
     )
-    ranked = F.reverse(F.array_sort(entries))
+    ranked = F.reverse(F.sort_array(entries))
     best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
     named = F.when(
         (F.size(ranked) == 1) | ((F.size(ranked) > 1) & (best["n"] > second["n"])), best["k"]

@@ -185,7 +185,7 @@ def unfence(text: Column, marker: str) -> Column:
     )
     marked = F.filter(blocks, lambda b: F.contains(b, F.lit(marker)))
     # longest first, the earlier one on a tie
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(blocks, lambda b, i: F.struct((-F.length(b)).alias("n"), i.alias("i"), b.alias("b")))
     )
     return (

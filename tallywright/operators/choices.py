@@ -36,7 +36,7 @@ def fetch(
 ) -> DataFrame:
     """(key, out): values at the asked positions as one array of k, in ask order."""
     found = join_null_safe(asks, index, [*strata, "pos"])
-    rows = F.array_sort(F.collect_list(F.struct("j", F.col(value).alias("v"))))
+    rows = F.sort_array(F.collect_list(F.struct("j", F.col(value).alias("v"))))
     # k values per row: the list is bounded by the constant k
     return found.groupBy(*key).agg(F.transform(rows, lambda r: r["v"]).alias(out))
 

@@ -22,8 +22,9 @@ Notes = Callable[[Column], Column]
 
 
 def word_notes(excerpt: Column) -> Column:
-    """Words as notes: pitch is the length of the word."""
-    return F.transform(words_of(excerpt), lambda w: F.struct(F.length(w).cast("bigint").alias("pitch"), w.alias("token")))
+    """Words as notes, bar marks apart: pitch is the length of the word."""
+    sounding = F.filter(words_of(excerpt), lambda w: w != "|")
+    return F.transform(sounding, lambda w: F.struct(F.length(w).cast("bigint").alias("pitch"), w.alias("token")))
 
 
 def window_text(bars: Column, start: Column, n: Column | int) -> Column:
@@ -86,7 +87,7 @@ def picked_excerpts(
         starts = _starts(b, n, 1)
         if fill and notes is not None:
             starts = F.filter(starts, lambda s: informative_excerpt(notes(window_text(b, s, n))))
-        ranked = F.array_sort(
+        ranked = F.sort_array(
             F.transform(starts, lambda s: F.struct(seeded_key(seed, F.col(key), F.lit(n), s).alias("h"), s.alias("s")))
         )
         return F.transform(F.slice(ranked, 1, limit), lambda r: _window(b, r["s"], n))

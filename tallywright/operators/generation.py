@@ -211,7 +211,7 @@ def cloze_items(
         & is_content_word(s["w"])
         & (F.size("ws") - F.size(F.array_remove("ws", s["w"])) == 1),
     )
-    cut = split.withColumn("s", F.explode(F.slice(F.array_sort(spots), 1, BLANKS_PER_LINE)))
+    cut = split.withColumn("s", F.explode(F.slice(F.sort_array(spots), 1, BLANKS_PER_LINE)))
     return cut.select(
         *item(
             "cloze", fill(template, name=F.col("name"), line=blanked(F.col("ws"), F.col("s.j"))), F.col("s.w"), "printed",
@@ -257,7 +257,7 @@ def counted_excerpts(records: DataFrame, key: str, bars: str, limit: int, seed:
     each with one seeded window."""
     base = records.select(F.col(key).alias("record"), F.col(bars).alias("bars"))
     b = F.col("bars")
-    lengths = F.array_sort(
+    lengths = F.sort_array(
         F.transform(
             F.filter(F.array(*[F.lit(n) for n in COUNT_BARS]), lambda n: F.size(b) >= n),
             lambda n: F.struct(seeded_key(f"{seed}-length", F.col("record"), n).alias("h"), n.alias("n")),

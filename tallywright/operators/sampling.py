@@ -166,7 +166,7 @@ def dedupe_items(items: DataFrame, order: Sequence[str], question: str = "questi
 
 def dedupe_choice_items(items: DataFrame, order: Sequence[str]) -> DataFrame:
     """The same for choice items: question plus the sorted option texts."""
-    keyed = items.withColumn("__o", F.to_json(F.array_sort(F.map_values("options"))))
+    keyed = items.withColumn("__o", F.to_json(F.sort_array(F.map_values("options"))))
     return first_of_group(keyed, ["question", "__o"], order).drop("__o")
 
 

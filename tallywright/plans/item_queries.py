@@ -82,7 +82,7 @@ def drop_ambiguous(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", F.col("n").cast("bigint").alias("n"), F.col("start").cast("bigint").alias("start"), "category")
 
 
-_NOTES = f"""nt AS (SELECT doc_id, title, name, n, s, excerpt, {words('excerpt')} AS ws FROM sl)"""
+_NOTES = f"""nt AS (SELECT doc_id, title, name, n, s, excerpt, [w for w in regexp_split_to_array(excerpt, '\\s+') if w NOT IN ('', '|')] AS ws FROM sl)"""
 _INFO = "len(ws) >= 4 AND len(list_distinct([length(w) for w in ws])) >= 3"
 
 

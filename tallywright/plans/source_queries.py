@@ -106,7 +106,7 @@ def explode_run_history(spark: SparkSession, sf: str) -> DataFrame:
 )
 def load_exam_rows(spark: SparkSession, sf: str) -> DataFrame:
     done = external.classify_exam_rows(exam_rows(spark, sf), exam_groups(spark, sf))
-    letters = F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    letters = F.transform(F.sort_array(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return done.select("id", F.array_join(letters, ";").alias("options"), "reason")
 
 
@@ -164,7 +164,7 @@ def load_literal_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.col("p_name").alias("context"),
     )
     done = external.classify_literal_rows(rows)
-    letters = F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    letters = F.transform(F.sort_array(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return done.select("id", F.array_join(letters, ";").alias("options"), "level", "reason")
 
 

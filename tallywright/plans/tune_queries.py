@@ -171,7 +171,7 @@ def tune_text(spark: SparkSession, sf: str) -> DataFrame:
 )
 def tune_events(spark: SparkSession, sf: str) -> DataFrame:
     e = tunes.tune_events(_tokens(spark, sf), "doc_id")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", F.concat("acc", "letter").alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", F.concat("acc", "letter").alias("t"))))
     return e.groupBy("doc_id", "bar").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("kind") == "rest").alias("rests"),
