@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.hashing import gram_key, seeded_key
@@ -24,6 +24,7 @@ from tallywright.operators.excerpts import (
 )
 from tallywright.operators.generation import blanked, counted_excerpts, fill
 from tallywright.operators.ranking import seeded_rank
+from tallywright.session import materialise
 
 LETTERS = ["A", "B", "C", "D", "E"]
 N_OPTIONS = 5
@@ -154,7 +155,9 @@ def cloze_mc(
         F.transform("ws", lambda w, j: F.struct(seeded_key(seed, F.col("record"), F.col("i"), j).alias("h"), j.alias("j"), w.alias("w"))),
         lambda s: (s["j"] > 0) & (s["j"] < F.size("ws") - 1) & (F.length(s["w"]) > 2),
     )
-    spotted = rows.where(F.size("ws") >= 5).withColumn("s", F.array_min(spots)).where("s is not null")
+    # exploding one spot, not computing it in place: a filter on a computed column
+    # would be pushed down and worked out again for every word of the vocabulary
+    spotted = rows.where(F.size("ws") >= 5).withColumn("s", F.explode(F.slice(F.sort_array(spots), 1, 1)))
     rest = spotted.withColumn("rest", F.filter("vocab", lambda w: F.lower(w) != F.lower(F.col("s.w")))).where(
         F.size("rest") >= N_OPTIONS - 1
     )
@@ -192,15 +195,22 @@ def option_rows(items: DataFrame) -> DataFrame:
 
 def balance_to_target(items: DataFrame, target: int, seed: int | str, prefix: str = "mc") -> DataFrame:
     """Even quota per category, room left filled from the rest, ids by a final
-    seeded order. Every rank is bucketed, so no category is sorted in one task."""
+    seeded order. Every rank is bucketed, so no category is sorted in one task.
+
+    The pool is written once to the shared folder: the three ranks read it many
+    times, and only its key columns.
+    """
+    items = materialise(items, "choice-pool")
     counts = items.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     n_cat = counts.agg(F.count(F.lit(1)).alias("c"))
     quota = F.greatest(F.lit(1), F.floor(F.lit(target) / F.greatest(n_cat.scalar(), F.lit(1))))
-    ranked = seeded_rank(items, ["category"], ["uid"], seed, out="__rn").withColumn("__in", F.col("__rn") <= quota)
+    ranked = seeded_rank(items.select("uid", "category"), ["category"], ["uid"], seed, out="__rn").withColumn(
+        "__in", F.col("__rn") <= quota
+    )
     taken = counts.agg(F.sum(F.least("n", quota)).alias("t")).scalar()
     within = seeded_rank(ranked, ["__in"], ["uid"], f"{seed}-rest", out="__rest")
-    chosen = within.where(F.col("__in") | (F.col("__rest") <= F.lit(target) - taken)).drop("__rn", "__in", "__rest")
-    final = seeded_rank(chosen, [], ["uid"], f"{seed}-order", out="place")
+    chosen = within.where(F.col("__in") | (F.col("__rest") <= F.lit(target) - taken)).select("uid")
+    final = items.join(seeded_rank(chosen, [], ["uid"], f"{seed}-order", out="place"), "uid")
     return final.withColumn("item_id", F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("place").cast("string"), 4, "0")))
 
 
@@ -221,30 +231,34 @@ def mc_self_audit(items: DataFrame) -> DataFrame:
         strictly_longest(items).alias("longest"),
         (F.size(F.array_distinct(F.transform(F.map_values("options"), lambda o: F.lower(F.trim(o))))) != N_OPTIONS).alias("twin"),
     )
-    total = items.agg(F.count(F.lit(1)).alias("c")).scalar()
-
-    def rows(check: str, df: DataFrame, label: Column, share: Column, failed: Column) -> DataFrame:
-        return df.select(
-            F.lit(check).alias("check"), "category", label.cast("string").alias("label"), "n",
-            F.round(share, 6).alias("share"), failed.alias("failed"),
+    sets = [["category", "key"], ["key"], ["category"], [], ["hardness"], ["key_source"]]
+    cols = ["category", "key", "hardness", "key_source"]
+    # one pass over the items; what follows works on a few rows per category
+    agg = flagged.groupingSets([[F.col(c) for c in x] for x in sets], *[F.col(c) for c in cols]).agg(
+        F.grouping_id().alias("g"),
+        F.count(F.lit(1)).alias("m"),
+        F.count_if("longest").alias("n_longest"),
+        F.count_if("twin").alias("n_twin"),
+    )
+    bits = {tuple(x): sum(1 << (3 - i) for i, c in enumerate(cols) if c not in x) for x in sets}
+    g = lambda *x: F.col("g") == bits[tuple(x)]
+    whole = agg.withColumn("total", F.max(F.when(g(), F.col("m"))).over(Window.partitionBy(F.lit(0))))
+    share, cue = F.col("m") / F.col("total"), F.col("n_longest") / F.col("m")
+
+    def row(check: str, label: Column, n: Column, part: Column, failed: Column) -> Column:
+        return F.struct(
+            F.lit(check).alias("check"), label.cast("string").alias("label"), n.cast("bigint").alias("n"),
+            F.round(part, 6).alias("share"), failed.alias("failed"),
         )
 
-    letters = flagged.groupingSets([["category", "key"], ["key"]], "category", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.grouping("category").alias("g")
-    )
-    share = F.col("n") / total
-    cue = flagged.rollup("category").agg(
-        F.count_if("longest").alias("n"), F.count(F.lit(1)).alias("m"), F.grouping("category").alias("g")
-    )
-    bound = F.when(F.col("g") == 1, F.lit(CHANCE + 0.10)).otherwise(F.lit(CHANCE + 0.15))
-    whole = flagged.agg(F.lit(None).cast("string").alias("category"), F.count_if("twin").alias("n"))
-    kinds = flagged.where("hardness <> ''").groupBy(F.col("hardness").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    sources = flagged.groupBy(F.col("key_source").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    none = F.lit(None).cast("string").alias("category")
-    return (
-        rows("key letter", letters, F.col("key"), F.when(F.col("g") == 1, share), F.coalesce((F.col("g") == 1) & (share > CHANCE + 0.05), F.lit(False)))
-        .unionByName(rows("longest answer", cue, F.lit("longest"), F.col("n") / F.col("m"), F.col("n") / F.col("m") > bound))
-        .unionByName(rows("twin options", whole, F.lit("twin"), F.col("n") / total, F.col("n") > 0))
-        .unionByName(rows("hardness", kinds.select(none, "x", "n"), F.col("x"), F.col("n") / total, F.lit(False)))
-        .unionByName(rows("key source", sources.select(none, "x", "n"), F.col("x"), F.col("n") / total, F.lit(False)))
+    never = F.lit(False)
+    rows = F.array(
+        F.when(g("category", "key"), row("key letter", F.col("key"), F.col("m"), F.lit(None).cast("double"), never)),
+        F.when(g("key"), row("key letter", F.col("key"), F.col("m"), share, share > CHANCE + 0.05)),
+        F.when(g("category"), row("longest answer", F.lit("longest"), F.col("n_longest"), cue, cue > CHANCE + 0.15)),
+        F.when(g(), row("longest answer", F.lit("longest"), F.col("n_longest"), cue, cue > CHANCE + 0.10)),
+        F.when(g(), row("twin options", F.lit("twin"), F.col("n_twin"), F.col("n_twin") / F.col("m"), F.col("n_twin") > 0)),
+        F.when(g("hardness") & (F.col("hardness") != ""), row("hardness", F.col("hardness"), F.col("m"), share, never)),
+        F.when(g("key_source"), row("key source", F.col("key_source"), F.col("m"), share, never)),
     )
+    return whole.select("category", F.explode(rows).alias("r")).where("r is not null").select("category", "r.*")

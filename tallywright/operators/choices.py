@@ -117,7 +117,7 @@ def tiered_distractors(
     """
     ranked = records
     for i, (_, cols) in enumerate(tiers):
-        ranked = seeded_rank(ranked, list(cols), [key], seed, out=f"__p{i}", total=f"__m{i}")
+        ranked = seeded_rank(ranked, list(cols), [key], seed, out=f"__p{i}", total=f"__m{i}", counts_from=records)
     level, pos, m, group = F.lit(None), F.lit(None), F.lit(None), F.lit(None)
 
     def group_key(cols: Sequence[str]) -> Column:

@@ -34,14 +34,21 @@ def running_sum(
     weight: Column | None = None,
     out: str = "before",
     total: str | None = None,
+    counts_from: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of `weight` over the earlier rows of the stratum.
 
+    counts_from: the same rows before other columns were added, so that bucket
+    totals do not repeat that work.
+
     `bucket` must not decrease along `order`. The window over bucket totals
     holds one row per bucket and stratum; keep buckets to a few thousand.
     """
     weighted = df.withColumn("__w", F.lit(1).cast("bigint") if weight is None else weight.cast("bigint"))
-    totals = weighted.groupBy(*strata, bucket).agg(F.sum("__w").alias("__sum"))
+    source = weighted if counts_from is None else counts_from.withColumn(
+        "__w", F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
+    )
+    totals = source.groupBy(*strata, bucket).agg(F.sum("__w").alias("__sum"))
     per_stratum = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
     ahead = per_stratum.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -68,16 +75,20 @@ def seeded_rank(
     out: str = "rn",
     total: str | None = None,
     digits: int = 3,
+    counts_from: DataFrame | None = None,
 ) -> DataFrame:
     """1-based rank in each stratum by md5(seed|key), then key.
 
     Hash order is uniform, so the leading hex digits are even, ordered buckets
     (16 ** digits of them) whatever the size of the stratum.
     """
-    hashed = df.withColumn("__h", seeded_key(seed, *[F.col(k) for k in key])).withColumn(
-        "__b", F.substring("__h", 1, digits)
-    )
-    ranked = running_sum(hashed, strata, "__b", ["__h", *key], out=out, total=total)
+
+    def hashed(frame: DataFrame) -> DataFrame:
+        digest = frame.withColumn("__h", seeded_key(seed, *[F.col(k) for k in key]))
+        return digest.withColumn("__b", F.substring("__h", 1, digits))
+
+    source = None if counts_from is None else hashed(counts_from)
+    ranked = running_sum(hashed(df), strata, "__b", ["__h", *key], out=out, total=total, counts_from=source)
     return ranked.withColumn(out, F.col(out) + 1).drop("__h", "__b")
 
 
