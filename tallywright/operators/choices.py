@@ -17,18 +17,25 @@ from tallywright.functions.hashing import seeded_number
 from tallywright.operators.ranking import join_null_safe, running_sum, seeded_rank
 
 
-def strided_offsets(seed: int | str, key: Sequence[Column], m: Column, k: int) -> Column:
-    """k distinct numbers in [0, m), m >= k, from a seeded start and stride.
-
-    A stride that would meet itself within k steps is replaced by one.
+def with_offsets(df: DataFrame, seed: int | str, key: Sequence[str], m: Column, k: Column | int) -> DataFrame:
+    """k rows per row with j and o: distinct o in [0, m), m >= k, on a seeded
+    start and stride. A stride that would meet itself within k steps becomes one.
     """
-    start = seeded_number(f"{seed}-start", *key) % m
-    stride = 1 + seeded_number(f"{seed}-stride", *key) % F.greatest(m - 1, F.lit(1))
-    repeats = F.lit(False)
-    for j in range(1, k):
-        repeats = repeats | ((stride * j) % m == 0)
-    step = F.when(repeats, F.lit(1)).otherwise(stride)
-    return F.array(*[F.struct(F.lit(j).alias("j"), ((start + step * j) % m).alias("o")) for j in range(k)])
+    cols = [F.col(c) for c in key]
+    staged = (
+        df.withColumn("__m", m.cast("bigint"))
+        .withColumn("__k", (F.lit(k) if isinstance(k, int) else k).cast("bigint"))
+        .withColumn("__start", seeded_number(f"{seed}-start", *cols) % F.col("__m"))
+        .withColumn("__stride", 1 + seeded_number(f"{seed}-stride", *cols) % F.greatest(F.col("__m") - 1, F.lit(1)))
+    )
+    later = F.when(F.col("__k") > 1, F.sequence(F.lit(1).cast("bigint"), F.col("__k") - 1))
+    repeats = F.coalesce(F.exists(later, lambda j: (F.col("__stride") * j) % F.col("__m") == 0), F.lit(False))
+    stepped = staged.withColumn("__step", F.when(repeats, F.lit(1).cast("bigint")).otherwise(F.col("__stride")))
+    rows = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("__k") - 1),
+        lambda j: F.struct(j.alias("j"), ((F.col("__start") + F.col("__step") * j) % F.col("__m")).alias("o")),
+    )
+    return stepped.select(*df.columns, F.explode(rows).alias("__a")).select(*df.columns, "__a.j", "__a.o")
 
 
 def fetch(
@@ -60,17 +67,9 @@ def pick_other_values(
     index = seeded_rank(domain.select(*strata, value).distinct(), strata, [value], seed, out="pos", total="m")
     own = join_null_safe(items, index, [*strata, value])
     others = F.col("m") - 1
-    if at_most:
-        own = own.where(others >= 1)
-        offsets = F.lit(None)
-        for n in range(1, k + 1):
-            fits = strided_offsets(seed, [F.col(c) for c in key], others, n)
-            offsets = fits if n == 1 else F.when(others >= n, fits).otherwise(offsets)
-    else:
-        own = own.where(others >= k)
-        offsets = strided_offsets(seed, [F.col(c) for c in key], others, k)
-    asks = own.select(*key, *strata, "m", F.col("pos").alias("own"), F.explode(offsets).alias("a")).select(
-        *key, *strata, F.col("a.j").alias("j"), ((F.col("own") + F.col("a.o")) % F.col("m") + 1).alias("pos")
+    able = own.where(others >= (1 if at_most else k)).select(*key, *strata, "m", F.col("pos").alias("own"))
+    asks = with_offsets(able, seed, key, others, F.least(others, F.lit(k)) if at_most else k).select(
+        *key, *strata, "j", ((F.col("own") + F.col("o")) % F.col("m") + 1).alias("pos")
     )
     picked = fetch(asks, index.drop("m"), key, strata, value, out)
     return items.join(picked, list(key))
@@ -94,14 +93,9 @@ def pick_rivals_without_value(
     ranked = seeded_rank(records, [stratum, value], [key], seed, out="__r")
     index = join_null_safe(ranked, placed, [stratum, value]).withColumn("pos", F.col("off") + F.col("__r") - 1)
     rest = F.col("m") - F.col("c")
-    offsets = strided_offsets(seed, [F.col(key)], rest, k)
-    asks = (
-        index.where(rest >= k)
-        .select(key, stratum, "off", "c", "m", F.explode(offsets).alias("a"))
-        .select(
-            key, stratum, F.col("a.j").alias("j"),
-            ((F.col("off") + F.col("c") + F.col("a.o")) % F.col("m")).alias("pos"),
-        )
+    able = index.where(rest >= k).select(key, stratum, "off", "c", "m")
+    asks = with_offsets(able, seed, [key], rest, k).select(
+        key, stratum, "j", ((F.col("off") + F.col("c") + F.col("o")) % F.col("m")).alias("pos")
     )
     table = index.select(stratum, "pos", F.col(name).alias("__name"))
     return records.join(fetch(asks, table, [key], [stratum], "__name", "others"), key)
@@ -133,9 +127,8 @@ def tiered_distractors(
     chosen = ranked.select(key, level.alias("tier"), pos.alias("own"), m.alias("m"), group.alias("grp")).where(
         "tier is not null"
     )
-    offsets = strided_offsets(seed, [F.col(key)], F.col("m") - 1, k)
-    asks = chosen.select(key, "tier", "grp", "own", "m", F.explode(offsets).alias("a")).select(
-        key, "tier", "grp", F.col("a.j").alias("j"), ((F.col("own") + F.col("a.o")) % F.col("m") + 1).alias("pos")
+    asks = with_offsets(chosen, seed, [key], F.col("m") - 1, k).select(
+        key, "tier", "grp", "j", ((F.col("own") + F.col("o")) % F.col("m") + 1).alias("pos")
     )
     entry = F.array(
         *[
