@@ -13,6 +13,7 @@ from tallywright.functions.text import lines_of, words_of
 from tallywright.operators import lyrics, tunes
 from tallywright.plans.registry import load, query
 from tallywright.plans.sqlkit import lines, words
+from tallywright.session import materialise
 
 METERS = ["4/4", "3/4", "C", "6/8", "2+3/8", "none"]
 KEYS = ["C", "G", "Dm", "Bb", "F#", "Am", "Eb mix", "none"]
@@ -149,8 +150,13 @@ ev AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY seg) AS bar,
   length(tok) - length(replace(tok, '''', '')) - (length(tok) - length(replace(tok, ',', ''))) AS oct FROM parts WHERE filled)"""
 
 
+def stored_tunes(spark: SparkSession, sf: str) -> DataFrame:
+    """The spelled tunes as a stored table, which is what a corpus is."""
+    return materialise(spelled_tunes(spark, sf), "tunes")
+
+
 def _headers(spark: SparkSession, sf: str) -> DataFrame:
-    return tunes.tune_headers(spelled_tunes(spark, sf), "doc_id", "tune")
+    return tunes.tune_headers(stored_tunes(spark, sf), "doc_id", "tune")
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -369,7 +375,7 @@ def read_back_pitches(spark: SparkSession, sf: str) -> DataFrame:
      CAST(sum(ln - lb) AS BIGINT) AS lyric_aligned, CAST(sum(eo) AS BIGINT) AS events_only, CAST(sum(sn) AS BIGINT) AS syntax, CAST(sum(bad + lb + sn) AS BIGINT) AS findings FROM per GROUP BY ROLLUP (lang)""",
 )
 def corpus_quality_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    spelled = spelled_tunes(spark, sf)
+    spelled = stored_tunes(spark, sf)
     h = tunes.tune_headers(spelled, "doc_id", "tune")
     return tunes.corpus_quality_rollup(
         spelled.select("doc_id", "lang"),
@@ -396,7 +402,7 @@ _W_SQL = r"""wl AS (SELECT doc_id, line, body, row_number() OVER (PARTITION BY d
     WHERE ends_with(prev, '-') AND regexp_matches(token, '^\p{{Lu}}') AND len([f for f in ['the', 'eaudie', 'und', 'ise', 'ones'] if starts_with(f, lower(regexp_replace(regexp_replace(token, '-+$', ''), '[,.!?]+$', '')))]) > 0""",
 )
 def repair_from_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return lyrics.repair_from_evidence(spelled_tunes(spark, sf), "doc_id", "tune", ["The", "Eaudie", "Und", "Ise", "Ones"])
+    return lyrics.repair_from_evidence(stored_tunes(spark, sf), "doc_id", "tune", ["The", "Eaudie", "Und", "Ise", "Ones"])
 
 
 @query(
@@ -410,7 +416,7 @@ def repair_from_evidence(spark: SparkSession, sf: str) -> DataFrame:
     WHERE NOT ends_with(token, '-') AND NOT contains(token, '\-') AND token NOT IN ('_', '*', '|', '-') AND regexp_replace(nxt, '-+$', '') NOT IN ('_', '*', '|', '-') AND NOT regexp_matches(nxt, '^\p{{Lu}}')""",
 )
 def self_contradiction_join(spark: SparkSession, sf: str) -> DataFrame:
-    return lyrics.self_contradiction_join(spelled_tunes(spark, sf), "doc_id", "tune")
+    return lyrics.self_contradiction_join(stored_tunes(spark, sf), "doc_id", "tune")
 
 
 @query(
@@ -427,5 +433,5 @@ def self_contradiction_join(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT pz.doc_id, coalesce(depth, 0) + row_number() OVER (PARTITION BY pz.doc_id ORDER BY line), 1, md5(body) FROM pz LEFT JOIN dp USING (doc_id)""",
 )
 def assemble_verses(spark: SparkSession, sf: str) -> DataFrame:
-    v = lyrics.assemble_verses(spelled_tunes(spark, sf), "doc_id", "tune")
+    v = lyrics.assemble_verses(stored_tunes(spark, sf), "doc_id", "tune")
     return v.select("doc_id", "verse", "line", F.md5("body").alias("digest"))
