@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallywright.functions.labels import render_chat
 from tallywright.operators import audit, choice_items, choices, excerpts, generation
 from tallywright.plans.item_queries import (
+    LIMIT,
     _INFO,
     _NOTES,
     OWN,
@@ -210,7 +211,7 @@ def count_mc(spark: SparkSession, sf: str) -> DataFrame:
     return raw_view(choice_items.count_mc(records(spark, sf), "doc_id", "ls", TEST_TEMPLATES["count_bars"][0], 3, "n1"))
 
 
-_FIRST = "(SELECT doc_id, title, name, ls, i - 1 AS i, ls[i] AS line FROM (SELECT *, unnest(range(1, least(len(ls), 3) + 1)) AS i FROM rec))"
+_FIRST = "(SELECT doc_id, title, name, ls, i - 1 AS i, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM rec))"
 
 
 @query(
@@ -220,7 +221,7 @@ _FIRST = "(SELECT doc_id, title, name, ls, i - 1 AS i, ls[i] AS line FROM (SELEC
 )
 def line_mc(spark: SparkSession, sf: str) -> DataFrame:
     return raw_view(
-        choice_items.line_mc(records(spark, sf), "doc_id", "name", "ls", doc_distractors(spark, sf), TEST_TEMPLATES["line_to_title"][0], 3)
+        choice_items.line_mc(records(spark, sf), "doc_id", "name", "ls", doc_distractors(spark, sf), TEST_TEMPLATES["line_to_title"][0], LIMIT)
     )
 
 
@@ -234,20 +235,19 @@ def line_mc(spark: SparkSession, sf: str) -> DataFrame:
       md5(a) AS answer, {_four('c1', 'doc_id', 'i')} AS others, 'same record' AS hardness FROM rs WHERE len(rest) >= 4""",
 )
 def cloze_mc(spark: SparkSession, sf: str) -> DataFrame:
-    return raw_view(choice_items.cloze_mc(records(spark, sf), "doc_id", "name", "ls", TEST_TEMPLATES["cloze"][0], 3, "c1"))
+    return raw_view(choice_items.cloze_mc(records(spark, sf), "doc_id", "name", "ls", TEST_TEMPLATES["cloze"][0], LIMIT, "c1"))
 
 
-TARGET = 4000
+TARGET = 5700
 BAL_SQL = f"""{MC_SQL}, cc AS (SELECT category, count(*) AS n FROM mc GROUP BY category),
-r1 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {md5('b1', 'uid')}, uid) <= (SELECT {TARGET} // count(*) FROM cc) AS ins FROM (SELECT * FROM mc WHERE NOT (category = 'kind' AND record % 3 > 0))),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {md5('b1', 'uid')}, uid) <= (SELECT {TARGET} // count(*) FROM cc) AS ins FROM mc),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY ins ORDER BY {md5('b1-rest', 'uid')}, uid) AS rest FROM r1),
 r3 AS (SELECT * FROM r2 WHERE ins OR rest <= {TARGET} - (SELECT count(*) FROM r1 WHERE ins)),
 bal AS (SELECT *, row_number() OVER (ORDER BY {md5('b1-order', 'uid')}, uid) AS place FROM r3)"""
 
 
 def balanced(spark: SparkSession, sf: str) -> DataFrame:
-    items = mc_items(spark, sf).where(~((F.col("category") == "kind") & (F.col("record") % 3 > 0)))
-    return choice_items.balance_to_target(items, TARGET, "b1")
+    return choice_items.balance_to_target(mc_items(spark, sf), TARGET, "b1")
 
 
 @query("balance_to_target", f"WITH {BAL_SQL} SELECT uid, category, key, 'mc-' || lpad(CAST(place AS VARCHAR), 4, '0') AS item_id FROM bal")

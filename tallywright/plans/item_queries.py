@@ -241,7 +241,8 @@ def verify_items_test(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-LIMIT = 99
+# lines and windows per record; above any record, so whole texts are asked about
+LIMIT = 1_000_000
 _DIG = "record, category, md5(question) AS question, md5(answer) AS answer, md5(unit) AS unit"
 
 
@@ -311,13 +312,13 @@ for _name in _TRAIN_SQL:
 
 
 def side_items(spark: SparkSession, sf: str, side: str, reserved: DataFrame | None = None) -> DataFrame:
-    t, limit, seed = (TEMPLATES, LIMIT, "g1") if side == "train" else (TEST_TEMPLATES, 2, "g2")
+    t, limit, seed = (TEMPLATES, LIMIT, "g1") if side == "train" else (TEST_TEMPLATES, LIMIT, "g2")
     every = list(families(records(spark, sf), t, side, limit, seed).values())
     return generation.assemble_side(every, reserved)
 
 
 def _side_sql(side: str) -> str:
-    t, limit, seed = (TEMPLATES, LIMIT, "g1") if side == "train" else (TEST_TEMPLATES, 2, "g2")
+    t, limit, seed = (TEMPLATES, LIMIT, "g1") if side == "train" else (TEST_TEMPLATES, LIMIT, "g2")
     union = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in family_sql(t, side, limit, seed).values())
     return f"""(SELECT *, CASE WHEN category IN ('highest_note', 'count_bars') THEN 'reasoning' ELSE 'recall' END AS level FROM ({union})
       WHERE trim(answer) <> '' AND (category IN ('highest_note', 'count_bars', 'title_to_bars', 'kind') OR NOT {gives_away('answer', 'question')}))"""
@@ -325,11 +326,11 @@ def _side_sql(side: str) -> str:
 
 def test_side(spark: SparkSession, sf: str) -> DataFrame:
     """Fifty items of every category from the test side."""
-    items = sampling.first_of_group(side_items(spark, sf, "test"), ["question", "answer"], ["record", "category"])
+    items = sampling.first_of_group(side_items(spark, sf, "test"), ["question", "answer"], ["record", "category", "unit"])
     return sampling.equal_quota_sample(items, "category", ["record", "question", "answer"], 50, "pick")
 
 
-_TEST_SQL = f"""test0 AS (SELECT * FROM {_side_sql('test')} QUALIFY row_number() OVER (PARTITION BY question, answer ORDER BY record, category) = 1),
+_TEST_SQL = f"""test0 AS (SELECT * FROM {_side_sql('test')} QUALIFY row_number() OVER (PARTITION BY question, answer ORDER BY record, category, unit) = 1),
 test AS (SELECT * FROM test0 QUALIFY row_number() OVER (PARTITION BY category ORDER BY {md5('pick', 'record', 'question', 'answer')}, record, question, answer) <= 50)"""
 
 

@@ -132,12 +132,12 @@ def carve_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "held_out_subset_check",
-    f"""WITH s AS (SELECT d.doc_id, side, 'Which is ' || left(text, 40) || '?' AS q, 'What is ' || left(text, 40) || '?' AS q2 FROM ({split_sql(20260901)}) x JOIN documents d ON d.doc_id = x.doc_id)
+    f"""WITH s AS (SELECT d.doc_id, side, 'Which is ' || text || '?' AS q, 'What is ' || text || '?' AS q2 FROM ({split_sql(20260901)}) x JOIN documents d ON d.doc_id = x.doc_id)
     SELECT CAST(0 AS BIGINT) AS outside, CAST(count(*) FILTER (side = 'train') AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS shared_questions,
     count(*) FILTER (side = 'train') > 0 AS ok FROM s""",
 )
 def held_out_subset_check(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("t"))
+    docs = load(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
     full = docs.select("doc_id", F.concat(F.lit("Which is "), "t", F.lit("?")).alias("question"))
     held = (
         split(spark, sf).where("side = 'test'").select("doc_id").join(docs, "doc_id")

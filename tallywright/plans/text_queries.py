@@ -43,15 +43,16 @@ _slug = lambda x: rf"regexp_replace(regexp_replace(lower(strip_accents({x})), '[
 
 @query(
     "slugify",
-    f"""SELECT doc_id, {_slug("l")} AS slug, {_slug("l")} || '.abc' AS file
-    FROM (SELECT doc_id, coalesce(({lines('text')})[1], '') AS l FROM documents)""",
+    f"""SELECT doc_id, line, {_slug("l")} AS slug, {_slug("l")} || '.abc' AS file FROM (SELECT doc_id, i - 1 AS line, ls[i] AS l FROM (
+    SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {lines('text')} AS ls FROM documents)))""",
 )
 def slugify(spark: SparkSession, sf: str) -> DataFrame:
-    first = F.coalesce(F.get(text.lines_of(F.col("text")), F.lit(0)), F.lit(""))
-    return load(spark, sf, "documents").select(
+    rows = load(spark, sf, "documents").select("doc_id", F.posexplode(text.lines_of(F.col("text"))).alias("line", "l"))
+    return rows.select(
         "doc_id",
-        text.slugify(first).alias("slug"),
-        text.slugify(F.concat(first, F.lit(".ABC")), keep_extension=True).alias("file"),
+        F.col("line").cast("bigint").alias("line"),
+        text.slugify(F.col("l")).alias("slug"),
+        text.slugify(F.concat("l", F.lit(".ABC")), keep_extension=True).alias("file"),
     )
 
 
@@ -291,12 +292,12 @@ def token_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("sequence_ratio")
 def sequence_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """First lines of neighbouring documents, compared as token sequences."""
-    first = F.coalesce(F.get(text.lines_of(F.col("text")), F.lit(0)), F.lit(""))
-    docs = load(spark, sf, "documents").select("doc_id", reply.tokens(first).alias("p"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("p").alias("g"))
-    return docs.join(after, "doc_id").select(
-        "doc_id", F.round(sequence_ratio_column(F.col("p"), F.col("g")), 6).alias("ratio")
+    """Lines of neighbouring documents, compared place by place as token sequences."""
+    rows = load(spark, sf, "documents").select("doc_id", F.posexplode(text.lines_of(F.col("text"))).alias("line", "l"))
+    docs = rows.select("doc_id", "line", reply.tokens(F.col("l")).alias("p"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), "line", F.col("p").alias("g"))
+    return docs.join(after, ["doc_id", "line"]).select(
+        "doc_id", F.col("line").cast("bigint").alias("line"), F.round(sequence_ratio_column(F.col("p"), F.col("g")), 6).alias("ratio")
     )
 
 
@@ -488,7 +489,7 @@ def conditional_class(spark: SparkSession, sf: str) -> DataFrame:
     "render_chat",
     """SELECT item_id, condition, role, md5(content) AS content FROM (
     SELECT item_id, s.condition, 'system' AS role, s.system AS content FROM benchmark, (VALUES ('own', 'You know the book.'), ('neutral', 'You answer questions.')) s(condition, system)
-    UNION ALL SELECT item_id, s.condition, 'user', text || chr(10) || chr(10) || 'A. ' || left(text, 10) || chr(10) || 'B. ' || item_id || chr(10) || 'C. none'
+    UNION ALL SELECT item_id, s.condition, 'user', text || chr(10) || chr(10) || 'A. not ' || text || chr(10) || 'B. ' || item_id || chr(10) || 'C. none'
       || chr(10) || chr(10) || 'Answer with one letter.'
     FROM benchmark, (VALUES ('own', 1), ('neutral', 2)) s(condition, n))""",
 )
@@ -498,7 +499,7 @@ def render_chat(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("neutral").alias("condition"), F.lit("You answer questions.").alias("system")),
     )
     options = F.create_map(
-        F.lit("C"), F.lit("none"), F.lit("A"), F.substring("text", 1, 10), F.lit("B"), F.col("item_id").cast("string")
+        F.lit("C"), F.lit("none"), F.lit("A"), F.concat(F.lit("not "), "text"), F.lit("B"), F.col("item_id").cast("string")
     )
     return (
         load(spark, sf, "benchmark")
