@@ -177,15 +177,24 @@ def ingest_new_only(spark: SparkSession, sf: str) -> DataFrame:
     return provenance.ingest_new_only(docs, docs.where("doc_id % 3 = 0"), "text").select("doc_id", "source")
 
 
-@query("write_items_jsonl")
+@query(
+    "write_items_jsonl",
+    """SELECT 'c-1' AS canary, '1.5' AS version, '20260901' AS seed, 'benchmark' AS source, count(*) AS n_items,
+    min(md5(text)) AS lo, max(md5(text)) AS hi FROM benchmark""",
+)
 def write_items_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    """Items and their header, written and read back."""
     path = scratch_path(spark, "items-out")
     records.save_items_jsonl(
         load(spark, sf, "benchmark"), {"canary": "c-1", "version": "1.5", "seed": "20260901", "source": "benchmark"}, path
     )
-    return records.scan_jsonl_header(
-        spark, [f"{path}/items", f"{path}/header"], "canary string, version string, seed string, source string", "text"
-    ).drop("file")
+    both = [f"{path}/items", f"{path}/header"]
+    header = records.scan_jsonl_header(spark, both, "canary string, version string, seed string, source string", "text")
+    rows = records.scan_jsonl_items(spark, both, "item_id bigint, text string", "text")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.min(F.md5("text")).alias("lo"), F.max(F.md5("text")).alias("hi"))
+    return header.drop("file").select(
+        "*", stats.select("n").scalar().alias("n_items"), stats.select("lo").scalar().alias("lo"), stats.select("hi").scalar().alias("hi")
+    )
 
 
 def _fp(label: str, table: str, cols: list[str]) -> str:
