@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,19 +28,28 @@ def local_session(cores: str = "8", shuffle: str = "8", name: str = "tallywright
     spark = (
         builder.config("spark.sql.shuffle.partitions", shuffle)
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallywright-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where unset."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a session whose executors are threads of the driver gets
+    a temporary one; a cluster has to name a folder that all its machines share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tallywright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tallywright-")
+    return _LOCAL[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
