@@ -4,13 +4,14 @@ Texts become sets of word shingles (64-bit hashes of the lower-cased words). Equ
 representative first, so copies never meet each other. A representative has `bands * rows` minima: each band of `rows`
 minima is a bucket key, and the lowest `bits` bits of every minimum make a packed signature.
 
-Buckets are never expanded into pairs. Each round picks a few hubs per bucket and compares every other member of
-another component with them; a hub has then met its whole bucket and leaves it, and a bucket whose members are one
-component leaves as a whole. The number of hubs grows by a factor each round, so a bucket of m members that don't
-belong together takes a logarithmic number of rounds, while a group of copies is done after one or two. A pair is first
-estimated from the packed signatures (corrected for chance agreement of the low bits) and dropped when the estimate is
-`slack` below the threshold; the rest is decided on the full sets. Nothing is capped: rounds go on until no bucket holds
-two components that have not been compared.
+Buckets are never expanded into pairs. First every member of a bucket is compared with the bucket's least key; the
+confirmed links make components, and a bucket whose members are one component is done. In the others, the members
+outside the bucket's largest component are compared with it and with one another in tiles: both sides are dealt into
+chunks of about `TILE` documents, two chunks meet in one task, and only links that join components leave it. So a bucket
+costs rows by its members times the chunks of its odd ones, not by its pairs, and no task has more than two chunks. A
+pair is first estimated from the packed signatures (corrected for chance agreement of the low bits) and dropped when the
+estimate is `slack` below the threshold; the rest is decided on the full sets. Nothing is capped: every two members of a
+bucket are in one component or have been compared in the end.
 
 With 32 bands of 4 minima a pair at similarity 0.8 shares no bucket with probability 5e-8.
 
@@ -32,7 +33,10 @@ from pyspark.sql import functions as F
 from tallywright.llm import textkit
 from tallywright.session import materialise
 
-HUB_GROWTH = 8
+#: Documents in a chunk of a bucket's members.
+TILE = 256
+#: Columns of a tile's matrix that are held at once.
+COLUMNS = 8192
 
 
 def seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +176,89 @@ def contract(comps: DataFrame, links: DataFrame) -> DataFrame:
     return comps
 
 
+def overlaps(sets: list[np.ndarray], rows: int) -> np.ndarray:
+    """Sizes of the intersections of the first `rows` sets with all sets; a matrix product over the shared elements."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1
+    owner, column = owner[shared], np.cumsum((new & shared)[shared]) - 1
+    out = np.zeros((rows, len(sets)), np.float64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (start, start + COLUMNS))
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[owner[i:j], column[i:j] - start] = 1
+        out += block[:rows] @ block.T
+    return out
+
+
+def tile_links(table: pa.Table, bits: int, percent: int, floor: float) -> list[tuple[int, int]]:
+    """Links (ids) that join components of a tile's rows; rows that are not odd are compared with the odd ones only."""
+    table = table.sort_by([("odd", "descending"), ("id", "ascending")])
+    ids, comp, n_odd = table.column("id").to_pylist(), table.column("comp").to_pylist(), sum(table.column("odd").to_pylist())
+    sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+    sigs = np.stack([np.frombuffer(x, np.uint8) for x in table.column("sig").to_pylist()])
+    fields = np.unpackbits(sigs, axis=1).reshape(len(ids), -1, bits) @ (1 << np.arange(bits))
+    chance = 0.5**bits
+    close = np.stack([((fields[k] == fields).mean(axis=1) - chance) / (1 - chance) >= floor for k in range(n_odd)])
+    close &= np.array(comp[:n_odd])[:, None] != np.array(comp)
+    if not close.any():
+        return []
+    use = np.flatnonzero(close.any(axis=1))
+    rest = np.setdiff1d(np.flatnonzero(close.any(axis=0)), use)
+    at = np.concatenate((use, rest))
+    size = np.array([len(sets[k]) for k in at])
+    common = overlaps([sets[k] for k in at], len(use))
+    linked = (100 * common >= percent * (size[: len(use), None] + size - common)) & close[use][:, at]
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            c = parent[c]
+        return c
+
+    out = []
+    for x, y in np.argwhere(linked).tolist():
+        a, b = root(comp[at[x]]), root(comp[at[y]])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((comp[at[x]], comp[at[y]]))
+    return out
+
+
+def tiled(members: DataFrame, comps: DataFrame, sets: DataFrame, bits: int, percent: int, slack: float) -> DataFrame:
+    """Links (a, b between components) among the members of buckets that hold several components."""
+    placed = members.join(comps, "id")
+    main = (
+        placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+        .groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("kinds"))
+        .where("kinds > 1").select("bucket", "main")
+    )
+    mixed = placed.join(materialise(main, "main"), "bucket").select("main", "id", "comp", (F.col("comp") != F.col("main")).alias("odd"))
+    mixed = materialise(mixed.distinct(), "mixed")
+    size = F.ceil(F.count(F.when(F.col("odd"), 1)) / TILE).cast("int"), F.ceil(F.count(F.when(~F.col("odd"), 1)) / TILE).cast("int")
+    chunks = materialise(mixed.groupBy("main").agg(size[0].alias("odds"), size[1].alias("mains")), "chunks")
+    dealt = mixed.join(chunks, "main").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("odd"), F.col("odds")).otherwise(F.col("mains"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("odds") - 1)
+    with_odd = F.transform(others, lambda k: F.struct(F.lit(True).alias("inner"), F.least("own", k).alias("x"), F.greatest("own", k).alias("y")))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda k: F.struct(F.lit(False).alias("inner"), F.col("own").alias("x"), k.alias("y")))
+    as_main = F.transform(others, lambda k: F.struct(F.lit(False).alias("inner"), k.alias("x"), F.col("own").alias("y")))
+    tiles = F.when(F.col("odd"), F.concat(with_odd, with_main)).otherwise(as_main)
+    seated = dealt.select("id", "comp", "odd", F.col("main").alias("cluster"), F.explode(tiles).alias("tile")).select("id", "comp", "odd", F.struct("cluster", "tile").alias("tile"))
+    seated = seated.select("id", "comp", "odd", F.xxhash64("tile").alias("tile"))
+    floor = percent / 100 - slack
+
+    def run(table: pa.Table) -> pa.Table:
+        found = tile_links(table, bits, percent, floor)
+        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+    return seated.join(sets, "id").groupBy("tile").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80,
     bands: int = 32, rows: int = 4, bits: int = 8, slack: float = 0.2,
@@ -190,37 +277,10 @@ def near_duplicates(
     ids = members.select("id").distinct()
     sets = materialise(stored_sets(docs, ids, key, text, words).join(chosen.select("id", "sig"), "id"), "sets")
     comps = materialise(ids.select("id", F.col("id").alias("comp")), "components")
-    hubs_each = 1
-    active = members
-    first = True
-    while True:
-        placed = active.join(comps, "id")
-        if first:
-            hubs = active.groupBy("bucket").agg(F.min("id").alias("hub")).withColumn("hub_comp", F.col("hub"))
-        else:
-            main = (
-                placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-                .groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("kinds"))
-                .where("kinds > 1").select("bucket", "main")
-            )
-            placed = materialise(placed.join(materialise(main, "main"), "bucket"), "placed")
-            if placed.isEmpty():
-                break
-            slot = F.pmod(F.xxhash64("id"), F.lit(hubs_each))
-            hubs = placed.where("comp <> main").groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("id", "comp")).alias("h"))
-            hubs = hubs.select("bucket", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"))
-        hubs = materialise(hubs, "hubs")
-        pairs = (
-            placed.join(hubs, "bucket").where("id <> hub and comp <> hub_comp")
-            .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        )
-        links = materialise(confirmed(pairs, sets, bits, percent, slack), "links")
-        ends = links.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-        comps = contract(comps, ends.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")))
-        left = placed.select("bucket", "id").join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
-        active = materialise(left, "active")
-        hubs_each *= HUB_GROWTH
-        first = False
+    hubs = materialise(members.groupBy("bucket").agg(F.min("id").alias("hub")), "hubs")
+    pairs = members.join(hubs, "bucket").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    comps = contract(comps, materialise(confirmed(pairs, sets, bits, percent, slack), "links"))
+    comps = contract(comps, materialise(tiled(members, comps, sets, bits, percent, slack), "links"))
     grouped = owner.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("component_id"))
     alone = made.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     out = grouped.union(alone)
