@@ -30,11 +30,14 @@ from pyspark.sql import functions as F
 
 from tallywright.llm import textkit
 
-#: Words that a worker keeps.
-KEPT = 400_000
+#: Words of a generation; a worker keeps those of the running and of the last one.
+KEPT = 600_000
 LEAST_SHORT = 64
+#: Stands for the end of a sentence among the words; no byte of UTF-8.
+BREAK = b"\xff"
+STOPS = [mark + b" " + BREAK + b" " for mark in (b".", b"!", b"?", b"")]
 #: A run of letters that neither composition nor lower case changes, and a mark that the tokenizer keeps apart from it.
-PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
+PLAIN = re.compile("^(?:([a-zß-öø-ÿ]+)([.,]?)|.*)$", re.MULTILINE)
 
 
 class WordTokenizer:
@@ -47,54 +50,60 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.store: dict[bytes, bytes] = {}
+        self.past: dict[bytes, bytes] = {}
         names = self.model.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(names.values()) + 1, bool)  # tokens that end a run of letters
         self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     def learn(self, words: list[bytes]) -> None:
+        """Put the ids of these words into the store."""
+        if self.past:
+            known = [(w, ids) for w in words if (ids := self.past.get(w)) is not None]
+            self.store.update(known)
+            words = [w for w in words if w not in self.past]
+        if not words:
+            return
         # most words are one run of letters, perhaps with a mark after it; these are cheaper many at a time
+        parts = PLAIN.findall(b"\n".join(words).decode().lower())
+        letters = list({core for core, _ in parts if core})
         plain: dict[str, bytes] = {}
-        odd: list[bytes] = []
-        made: list[tuple[bytes, str, bytes]] = []
-        for w in words:
-            m = PLAIN.fullmatch(w.decode().lower())
-            if m:
-                plain[m[1]] = b""
-                made.append((w, m[1], m[2].encode()))
-            else:
-                odd.append(w)
-        letters = list(plain)
-        for i in range(0, len(letters), 100):
-            some = letters[i : i + 100]
+        for i in range(0, len(letters), 500):
+            some = letters[i : i + 500]
             ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
+            ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
             if len(ends) != len(some):
                 raise ValueError("a run of letters was not one piece for the tokenizer")
-            plain.update(zip(some, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
-        for mark in {m for _, _, m in made if m and m not in self.store}:
-            self.store[mark] = self.one(mark)
-        self.store[b""] = b""
-        self.store.update([(w, plain[a] + self.store[b]) for w, a, b in made])
-        self.store.update((w, self.one(w)) for w in odd)
+            raw = ids.tobytes()
+            plain.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        marks = {m: self.one(m.encode()) for m in {m for _, m in parts} if m}
+        marks[""] = b""
+        self.store.update([(w, plain[core] + marks[m]) for w, (core, m) in zip(words, parts, strict=True) if core])
+        self.store.update([(w, self.one(w)) for w, (core, _) in zip(words, parts, strict=True) if not core])
 
     def one(self, word: bytes) -> bytes:
         return np.array(self.model.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def sentences(self, texts: list[bytes]) -> list[list[bytes]]:
-        """Ids of each sentence of each text: up to a line's end, or to a stop, exclamation or question mark before a
-        space."""
+    def encode(self, texts: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
+        """Ids of each text, and how many of them stand before the end of each sentence: a line's end, or a stop,
+        exclamation or question mark before a space."""
         if len(self.store) > KEPT:
-            self.store.clear()
+            self.past, self.store = self.store, {}
+        self.store[BREAK] = b""
         get = self.store.get
         cut = []
         for t in texts:
-            parts = [s.split() for s in t.replace(b". ", b".\n").replace(b"! ", b"!\n").replace(b"? ", b"?\n").split(b"\n")]
-            cut.append([(words, list(map(get, words))) for words in parts if words])
-        holes = [(words, known) for parts in cut for words, known in parts if None in known]
-        self.learn(list({w for words, known in holes for w, ids in zip(words, known, strict=True) if ids is None}))
-        for words, known in holes:
-            known[:] = map(get, words)
-        return [[b"".join(known) for _, known in parts] for parts in cut]
+            words = t.replace(b". ", STOPS[0]).replace(b"! ", STOPS[1]).replace(b"? ", STOPS[2]).replace(b"\n", STOPS[3]).split()
+            known = list(map(get, words))
+            cut.append((words, known, [i for i, ids in enumerate(known) if ids is None] if None in known else []))
+        self.learn(list({words[i] for words, _, holes in cut for i in holes}))
+        for words, known, holes in cut:
+            for i in holes:
+                known[i] = self.store[words[i]]
+        out = []
+        for _, known, _ in cut:
+            size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+            out.append((b"".join(known), np.cumsum(size)[size == 0]))
+        return out
 
 
 @cache
@@ -144,28 +153,25 @@ def pack(
     textkit.bounded_batches(docs.sparkSession)
     last = np.array([end], "<u4").tobytes()
 
-    def pieces(held: list[tuple[object, list[bytes]]], sequence: int) -> tuple[pa.RecordBatch, int]:
+    def pieces(held: list[tuple[object, bytes, np.ndarray]], sequence: int) -> tuple[pa.RecordBatch, int]:
         place, price, begins, ids = [0], [0], [], []
         at = 0
-        for _, sentences in held:
+        for _, own, sentences in held:
             begins.append(at)
-            for s in sentences:
-                n = len(s) // 4
-                for inside in range(size, n, size):
-                    place.append(at + inside)
-                    price.append(broken)
-                at += n
-                if n:
-                    place.append(at)
-                    price.append(truncation)
-            at += 1  # the end token stands with the last sentence
-            if place[-1] == at - 1 and len(place) > 1 and place[-1] > begins[-1]:
-                gap = at - place[-2]
-                if gap <= size:
-                    place.pop(), price.pop()
-            place.append(at)
-            price.append(0)
-            ids.append(b"".join(sentences) + last)
+            ids.append(own + last)
+            n = len(ids[-1]) // 4
+            # the end token stands with the last sentence
+            stops = np.unique(np.concatenate(([0], sentences[(sentences > 0) & (sentences < n - 1)], [n])))
+            cost = np.full(len(stops), truncation)
+            wide = np.flatnonzero(np.diff(stops) > size)
+            if len(wide):
+                inside = np.concatenate([np.arange(stops[k] + size, stops[k + 1], size) for k in wide])
+                where = np.searchsorted(stops, inside)
+                stops, cost = np.insert(stops, where, inside), np.insert(cost, where, broken)
+            cost[-1] = 0
+            place += (at + stops[1:]).tolist()
+            price += cost[1:].tolist()
+            at += n
         cuts = [place[c] for c in best_cuts(place, price, size, short)]
         columns: dict[str, list] = {c: [] for c in ("id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
         ends = [*begins[1:], at]
@@ -190,13 +196,13 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
         sequence = TaskContext.get().partitionId() << 32
-        held: list[tuple[object, list[bytes]]] = []
+        held: list[tuple[object, bytes, np.ndarray]] = []
         tokens = 0
         for batch in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            for name, sentences in zip(batch.column(0).to_pylist(), model.sentences(texts), strict=True):
-                held.append((name, sentences))
-                tokens += 1 + sum(map(len, held[-1][1])) // 4
+            for name, (own, sentences) in zip(batch.column(0).to_pylist(), model.encode(texts), strict=True):
+                held.append((name, own, sentences))
+                tokens += 1 + len(own) // 4
                 if tokens >= stretch:
                     out, sequence = pieces(held, sequence)
                     yield out
