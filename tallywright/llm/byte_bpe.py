@@ -6,7 +6,7 @@ and the one that vanished), each with a logarithmic number of point updates, and
 Short pieces are merged side by side: rows of one array, one tree each; every step merges one pair in each unfinished
 row. Long pieces have a tree of their own, so a text without any space costs n log n as well.
 
-Pieces repeat, so a worker keeps those of its recent texts; the store is emptied when it is full, which costs time and
+Pieces repeat, so a worker keeps those of its recent texts, those of the last two generations; forgetting costs time and
 changes no result.
 
 Null and empty texts have no ids and decode to nothing. Strings that look like special tokens are ordinary text. Rows
@@ -30,8 +30,8 @@ from tallywright.llm import textkit
 
 #: Pieces longer than this have a tree of their own.
 SHORT = 64
-#: Pieces that a worker keeps.
-KEPT = 300_000
+#: Pieces of a generation; a worker keeps those of the running and of the last one.
+KEPT = 500_000
 NONE = int(np.iinfo(np.int32).max)
 #: \\p{L} and \\p{N} up to U+02AF; texts without later characters are split by the faster of the two engines.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
@@ -64,6 +64,7 @@ class Ranks:
         latin = exact.replace(r"[^" + SPACE + r"\p{L}\p{N}]", "[^" + SPACE + LETTERS + NUMBERS + "]")
         self.latin_pattern = re.compile(latin.replace(r"\p{L}", "[" + LETTERS + "]").replace(r"\p{N}", "[" + NUMBERS + "]"))
         self.store: dict[str, bytes] = {}
+        self.past: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """The pattern's matches."""
@@ -190,6 +191,10 @@ class Ranks:
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Put the ids of these pieces into the store."""
+        if self.past:
+            pieces = list(pieces)
+            self.store.update([(p, ids) for p in pieces if (ids := self.past.get(p)) is not None])
+            pieces = [p for p in pieces if p not in self.past]
         by_width: dict[int, tuple[list[str], list[bytes]]] = {}
         for piece in pieces:
             raw = piece.encode("utf-8", "surrogatepass")
@@ -224,7 +229,7 @@ class Ranks:
                     out.append(b"".join(known))
                 group, size = [], 0
                 if len(self.store) > KEPT:
-                    self.store.clear()
+                    self.past, self.store = self.store, {}
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
