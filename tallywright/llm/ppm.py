@@ -37,6 +37,8 @@ ALPHABET = 257
 BITS = 9
 #: The end token of the baseline; words have other negative codes.
 END_TOKEN = -1
+#: Bytes of text whose symbols are held as numbers at once.
+STEP_BYTES = 1 << 20
 
 
 def tag(length: int) -> int:
@@ -80,7 +82,7 @@ def tally(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 
 def lowered(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
     data, at = textkit.flat(column)
-    for i, j in textkit.steps(at):
+    for i, j in textkit.steps(at, STEP_BYTES):
         yield textkit.LOWER[data[at[i] : at[j]]], at[i : j + 1] - at[i], i, j
 
 
@@ -162,7 +164,7 @@ class Part:
         code = table.column("code").to_numpy()
         order = np.argsort(code)
         self.code = code[order]
-        self.value = {c: table.column(c).to_numpy(zero_copy_only=False).astype(np.float64)[order] for c in ("seen", "total", "leave", "rest", "drop")}
+        self.value = {c: table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("seen", "total", "leave", "rest", "drop")}
 
     def rows(self, codes: np.ndarray, need: str) -> tuple[np.ndarray, np.ndarray]:
         """Row of each code, and whether it is there with a value in the column needed."""
@@ -197,7 +199,7 @@ class Part:
 
 
 def scores(
-    docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", order: int = 5, block_bytes: int = 32 << 20
+    docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", order: int = 4, block_bytes: int = 32 << 20
 ) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability of each whole text)."""
     if not 1 <= order <= 5:
