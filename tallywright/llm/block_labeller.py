@@ -44,7 +44,7 @@ TAG = re.compile(
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
 MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 PART = re.compile(r"[a-z]+|[0-9]+")
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the first ends an open one of these.
 CLOSES = {
@@ -143,8 +143,8 @@ def blocks(page: str) -> list[Block]:
         if name not in VOID and not tag.endswith("/>"):
             stack.append((name, marks(tag)))
             links += name == "a"
-        elif name == "br":
-            held.append(" ")
+        elif name in ("br", "wbr"):
+            held.append(" " if name == "br" else "")
     if at < len(page):
         held.append(page[at:])
     flush()

@@ -31,7 +31,7 @@ from tallywright.llm import textkit
 #: Pieces longer than this have a tree of their own.
 SHORT = 64
 #: Pieces of a generation; a worker keeps those of the running and of the last one.
-KEPT = 500_000
+KEPT = 300_000
 NONE = int(np.iinfo(np.int32).max)
 #: \\p{L} and \\p{N} up to U+02AF; texts without later characters are split by the faster of the two engines.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
