@@ -96,10 +96,9 @@ def tokens(text: Column) -> Column:
 
 
 def token_f1_arrays(p: Column, g: Column) -> Column:
-    """Multiset overlap F1 of two token arrays, by counts of sorted tokens.
+    """Multiset overlap F1 of two token arrays of a row.
 
-    Sorted copies turn "occurrences of t" into a difference of positions, so no
-    token is compared with every other one.
+    Each distinct common token scans both arrays once, so this is for short texts; token_f1_pairs is linear.
     """
     ps, gs = F.sort_array(p), F.sort_array(g)
     uniq = F.array_intersect(ps, gs)

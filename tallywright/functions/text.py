@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -24,38 +25,40 @@ STOPWORDS = [
 
 
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(accented, plain, multi) from Unicode data for the Latin ranges.
+def _fold_table() -> tuple[str, str, dict[str, str]]:
+    """(accented, plain, multi): compatibility forms without combining marks, over the basic plane.
 
-    `accented[i]` folds to `plain[i]`; combining marks sit behind the end of
-    `plain`, which is how translate() is told to delete them.
+    `accented[i]` folds to `plain[i]`; combining marks sit behind the end of `plain`, which is how translate() is told
+    to delete them. `multi` spells a character with several. Hangul syllables, which only come apart into their letters,
+    stay whole.
     """
     single: dict[str, str] = {}
-    multi: list[tuple[str, str]] = []
-    for lo, hi in ((0xA0, 0x24F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0xFB00, 0xFB06), (0xFF01, 0xFF5E)):
-        for point in range(lo, hi + 1):
-            char = chr(point)
-            flat = "".join(
-                c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
-            )
-            if flat == char or not flat:
-                continue
-            if len(flat) == 1:
-                single[char] = flat
-            else:
-                multi.append((char, flat))
-    marks = "".join(chr(p) for p in range(0x300, 0x370) if unicodedata.combining(chr(p)))
-    return "".join(single) + marks, "".join(single.values()), tuple(multi)
+    multi: dict[str, str] = {}
+    marks = []
+    for point in [*range(0xA0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x10000)]:
+        char = chr(point)
+        if unicodedata.combining(char):
+            marks.append(char)
+            continue
+        flat = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if flat == char or not flat:
+            continue
+        if len(flat) == 1:
+            single[char] = flat
+        else:
+            multi[char] = flat
+    return "".join([*single, *marks]), "".join(single.values()), multi
 
 
 def fold_accents(text: Column) -> Column:
-    """Compatibility fold without combining marks, for the Latin ranges."""
+    """Compatibility fold without combining marks."""
     accented, plain, multi = _fold_table()
-    rare = "[" + "".join(char for char, _ in multi) + "]"
-    spelled = text
-    for char, flat in multi:
-        spelled = F.replace(spelled, F.lit(char), F.lit(flat))
-    # the long chain runs only for the few rows that hold such a character
+    rare = "[" + "".join(multi) + "]"
+    table = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")  # one folded literal
+    spelled = F.array_join(
+        F.transform(F.split(text, ""), lambda c: F.when(c.rlike(rare), F.element_at(table, c)).otherwise(c)), ""
+    )
+    # only the few rows that hold such a character are taken apart
     return F.translate(F.when(text.rlike(rare), spelled).otherwise(text), accented, plain)
 
 

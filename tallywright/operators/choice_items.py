@@ -108,7 +108,7 @@ def excerpt_mc(
     return which.unionByName(high)
 
 
-def count_mc(records: DataFrame, key: str, bars: str, template: str, per_record: int, seed: int | str) -> DataFrame:
+def count_mc(records: DataFrame, key: str, bars: str, template: str, per_record: int | None, seed: int | str) -> DataFrame:
     """Counted bars with neighbouring numbers inside the asked range."""
     cut = counted_excerpts(records, key, bars, per_record, seed)
     near = F.filter(
@@ -125,11 +125,11 @@ def count_mc(records: DataFrame, key: str, bars: str, template: str, per_record:
 
 
 def line_mc(
-    records: DataFrame, key: str, name: str, lines: str, distractors: DataFrame, template: str, per_record: int
+    records: DataFrame, key: str, name: str, lines: str, distractors: DataFrame, template: str, per_record: int | None = None
 ) -> DataFrame:
     """Line to name: four words or more that do not give the name away."""
     rows = records.select(
-        F.col(key).alias("record"), F.col(name).alias("name"), F.posexplode(F.slice(lines, 1, per_record)).alias("i", "line")
+        F.col(key).alias("record"), F.col(name).alias("name"), F.posexplode(F.col(lines) if per_record is None else F.slice(lines, 1, per_record)).alias("i", "line")
     )
     kept = rows.where((F.size(words_of(F.col("line"))) >= 4) & ~gives_away(F.col("name"), F.col("line")))
     names = distractors.select(F.col(key).alias("record"), F.col("level").alias("tier"), "others")
@@ -142,13 +142,13 @@ def line_mc(
 
 
 def cloze_mc(
-    records: DataFrame, key: str, name: str, lines: str, template: str, per_record: int, seed: int | str
+    records: DataFrame, key: str, name: str, lines: str, template: str, per_record: int | None, seed: int | str
 ) -> DataFrame:
     """A missing word with options from the same record's words."""
     base = records.select(F.col(key).alias("record"), F.col(name).alias("name"), F.col(lines).alias("ls"))
     long_words = F.flatten(F.transform("ls", lambda x: F.filter(words_of(x), lambda w: F.length(w) > 2)))
     base = base.withColumn("vocab", F.array_distinct(long_words))
-    rows = base.select("record", "name", "vocab", F.posexplode(F.slice("ls", 1, per_record)).alias("i", "line")).withColumn(
+    rows = base.select("record", "name", "vocab", F.posexplode(F.col("ls") if per_record is None else F.slice("ls", 1, per_record)).alias("i", "line")).withColumn(
         "ws", words_of(F.col("line"))
     )
     spots = F.filter(
@@ -211,7 +211,9 @@ def balance_to_target(items: DataFrame, target: int, seed: int | str, prefix: st
     within = seeded_rank(ranked, ["__in"], ["uid"], f"{seed}-rest", out="__rest")
     chosen = within.where(F.col("__in") | (F.col("__rest") <= F.lit(target) - taken)).select("uid")
     final = items.join(seeded_rank(chosen, [], ["uid"], f"{seed}-order", out="place"), "uid")
-    return final.withColumn("item_id", F.concat(F.lit(f"{prefix}-"), F.lpad(F.col("place").cast("string"), 4, "0")))
+    place = F.col("place").cast("string")
+    # lpad cuts what is longer than its width
+    return final.withColumn("item_id", F.concat(F.lit(f"{prefix}-"), F.lpad(place, F.greatest(F.lit(4), F.length(place)), F.lit("0"))))
 
 
 def strictly_longest(items: DataFrame) -> Column:

@@ -71,7 +71,7 @@ def picked_excerpts(
     key: str,
     bars: str,
     sizes: Sequence[int],
-    limit: int,
+    limit: int | None,
     seed: int | str,
     notes: Notes | None = None,
     fill: bool = False,
@@ -90,7 +90,7 @@ def picked_excerpts(
         ranked = F.sort_array(
             F.transform(starts, lambda s: F.struct(seeded_key(seed, F.col(key), F.lit(n), s).alias("h"), s.alias("s")))
         )
-        return F.transform(F.slice(ranked, 1, limit), lambda r: _window(b, r["s"], n))
+        return F.transform(ranked if limit is None else F.slice(ranked, 1, limit), lambda r: _window(b, r["s"], n))
 
     out = _explode_windows(records, bars, [picked(n) for n in sizes])
     if notes is not None and not fill:

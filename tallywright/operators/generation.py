@@ -155,7 +155,7 @@ def unit_key(kind: str, *parts: Column) -> Column:
 
 
 def excerpt_to_title_items(
-    records: DataFrame, key: str, title: str, bars: str, template: str, limit: int, seed: int | str, notes: Notes
+    records: DataFrame, key: str, title: str, bars: str, template: str, limit: int | None, seed: int | str, notes: Notes
 ) -> DataFrame:
     cut = picked_excerpts(
         records.select(F.col(key).alias("record"), F.col(title).alias("title"), F.col(bars).alias("bars")),
@@ -174,17 +174,22 @@ def _numbered(records: DataFrame, key: str, lines: str, cols: Mapping[str, str])
     ).select("record", *cols, "x.*")
 
 
-def line_to_title_items(records: DataFrame, key: str, title: str, lines: str, template: str, limit: int) -> DataFrame:
+def below(i: Column, limit: int | None) -> Column:
+    """Is position i within the limit? No limit takes every line."""
+    return F.lit(True) if limit is None else i < limit
+
+
+def line_to_title_items(records: DataFrame, key: str, title: str, lines: str, template: str, limit: int | None = None) -> DataFrame:
     """Line to title, without lines that give the title away."""
-    rows = _numbered(records, key, lines, {"title": title}).where(F.col("i") < limit)
+    rows = _numbered(records, key, lines, {"title": title}).where(below(F.col("i"), limit))
     kept = rows.where(~gives_away(F.col("title"), F.col("line")))
     return kept.select(
         *item("line_to_title", fill(template, line=F.col("line")), F.col("title"), "printed", unit_key("line", F.col("record"), F.col("i")))
     )
 
 
-def next_line_items(records: DataFrame, key: str, name: str, lines: str, template: str, limit: int) -> DataFrame:
-    rows = _numbered(records, key, lines, {"name": name}).where((F.col("i") < limit) & F.col("next").isNotNull())
+def next_line_items(records: DataFrame, key: str, name: str, lines: str, template: str, limit: int | None = None) -> DataFrame:
+    rows = _numbered(records, key, lines, {"name": name}).where(below(F.col("i"), limit) & F.col("next").isNotNull())
     return rows.select(
         *item(
             "next_line", fill(template, name=F.col("name"), line=F.col("line")), F.col("next"), "printed",
@@ -198,11 +203,11 @@ def blanked(words: Column, at: Column) -> Column:
 
 
 def cloze_items(
-    records: DataFrame, key: str, name: str, lines: str, template: str, limit: int, seed: int | str
+    records: DataFrame, key: str, name: str, lines: str, template: str, limit: int | None, seed: int | str
 ) -> DataFrame:
     """Lines of four words or more; up to three inner content words that occur
     once in the line are blanked, each in an item of its own."""
-    rows = _numbered(records, key, lines, {"name": name}).where(F.col("i") < limit)
+    rows = _numbered(records, key, lines, {"name": name}).where(below(F.col("i"), limit))
     split = rows.withColumn("ws", words_of(F.col("line"))).where(F.size("ws") >= 4)
     spots = F.filter(
         F.transform("ws", lambda w, j: F.struct(seeded_key(seed, F.col("record"), F.col("i"), j).alias("h"), j.alias("j"), w.alias("w"))),
@@ -222,7 +227,7 @@ def cloze_items(
 
 def recall_items(
     records: DataFrame, key: str, name: str, lines: str, text: str, bars: str,
-    templates: Mapping[str, Sequence[str]], side: str, limit: int,
+    templates: Mapping[str, Sequence[str]], side: str, limit: int | None = None,
 ) -> DataFrame:
     """Title to whole text, to its n-th line, and to bars a to b."""
     base = records.select(
@@ -232,7 +237,7 @@ def recall_items(
     whole = base.where(F.size("ls") > 0).select("record", "name", "text", F.explode(asked).alias("w")).select(
         *item("title_to_text", F.replace("w", F.lit("{name}"), F.col("name")), F.col("text"), "printed", F.lit(None).cast("string"))
     )
-    nth = base.select("record", "name", F.posexplode("ls").alias("i", "line")).where(F.col("i") < limit).select(
+    nth = base.select("record", "name", F.posexplode("ls").alias("i", "line")).where(below(F.col("i"), limit)).select(
         *item(
             "title_to_line",
             fill(templates["title_to_line"][0], name=F.col("name"), n=(F.col("i") + 1).cast("string")),
@@ -252,7 +257,7 @@ def recall_items(
     return whole.unionByName(nth).unionByName(tiles)
 
 
-def counted_excerpts(records: DataFrame, key: str, bars: str, limit: int, seed: int | str) -> DataFrame:
+def counted_excerpts(records: DataFrame, key: str, bars: str, limit: int | None, seed: int | str) -> DataFrame:
     """(record, n, excerpt): `limit` seeded lengths out of the counting range,
     each with one seeded window."""
     base = records.select(F.col(key).alias("record"), F.col(bars).alias("bars"))
@@ -268,12 +273,12 @@ def counted_excerpts(records: DataFrame, key: str, bars: str, limit: int, seed:
         start = seeded_number(f"{seed}-at", F.col("record"), n) % (F.size(b) - n + 1)
         return F.struct(n.alias("n"), window_text(b, start, n).alias("excerpt"))
 
-    windows = F.transform(F.slice(lengths, 1, limit), lambda x: cut(x["n"]))
+    windows = F.transform(lengths if limit is None else F.slice(lengths, 1, limit), lambda x: cut(x["n"]))
     return base.select("record", F.explode(windows).alias("x")).select("record", "x.*")
 
 
 def reasoning_items(
-    records: DataFrame, key: str, bars: str, templates: Mapping[str, Sequence[str]], limit: int, seed: int | str, notes: Notes
+    records: DataFrame, key: str, bars: str, templates: Mapping[str, Sequence[str]], limit: int | None, seed: int | str, notes: Notes
 ) -> DataFrame:
     """Highest note of a shown excerpt, and how many bars one has."""
     base = records.select(F.col(key).alias("record"), F.col(bars).alias("bars"))

@@ -67,7 +67,8 @@ def ratio_bound(a: Column, b: Column) -> Column:
 def sequence_pass(df: DataFrame, a: str, b: str, out: str, level: float = PASS_RATIO) -> DataFrame:
     """Boolean column `out`: ratio reaches the level. Only pairs whose lengths
     allow it cross to Python."""
-    possible = ratio_bound(F.col(a), F.col(b)) >= level
+    # a missing side is never near
+    possible = F.coalesce(ratio_bound(F.col(a), F.col(b)) >= level, F.lit(False))
     near = df.where(possible).withColumn(out, sequence_ratio_column(F.col(a), F.col(b)) >= level)
     far = df.where(~possible).withColumn(out, F.lit(False))
     return near.unionByName(far)

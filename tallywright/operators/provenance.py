@@ -25,20 +25,21 @@ def ingest_new_only(incoming: DataFrame, archive: DataFrame, content: str) -> Da
 
 
 def row_hash(columns: Sequence[str]) -> Column:
-    """64 bits of a digest over the named columns, NULL apart from ''."""
-    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]
-    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+    """SHA-256 over the named columns, each with its length, NULL apart from ''."""
+    texts = [F.col(c).cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.lit("v"), F.length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in texts]
+    return F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
 
 
 def dataset_fingerprint(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """(label, n_rows, digest): independent of row order and partitioning."""
+    """(label, n_rows, digests): independent of row order and partitioning. An xor and four sums of 32-bit words."""
     h = row_hash(columns)
     # xor cancels a pair of equal rows, the sum does not
     return df.select(h.alias("h")).agg(
         F.lit(label).alias("label"),
         F.count(F.lit(1)).alias("n_rows"),
         F.bit_xor(hash_number(F.col("h"))).alias("xor_digest"),
-        F.sum(hash_number(F.substring("h", 9, 8))).alias("sum_digest"),
+        *[F.sum(hash_number(F.substring("h", 1 + 8 * k, 8))).alias(f"sum_digest_{k}") for k in range(1, 5)],
     )
 
 

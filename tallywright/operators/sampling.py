@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions.hashing import gram_key
 from tallywright.operators.ranking import join_null_safe, running_sum, seeded_rank, seeded_top
 
 
@@ -181,7 +182,11 @@ def clashing_questions(items: DataFrame, question: str = "question", answer: str
 
 
 def drop_clashing(items: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:
-    return items.join(clashing_questions(items, question, answer).select(question), question, "left_anti")
+    """Digests of questions and answers meet in place of the texts."""
+    ends = items.groupBy(gram_key(F.col(question)).alias("__q")).agg(
+        F.min(gram_key(F.col(answer))).alias("__lo"), F.max(gram_key(F.col(answer))).alias("__hi")
+    )
+    return items.withColumn("__q", gram_key(F.col(question))).join(ends.where("__lo <> __hi").select("__q"), "__q", "left_anti").drop("__q")
 
 
 def mixture_summary(items: DataFrame, category: str, minimum: float = 0.01, small: int = 20) -> DataFrame:

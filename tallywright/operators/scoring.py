@@ -133,7 +133,7 @@ def rival_hits(preds: DataFrame, key: Sequence[str], rivals: DataFrame) -> DataF
 
 
 def score(preds: DataFrame, key: Sequence[str], rivals: DataFrame, rules: Mapping[str, str] = RULES) -> DataFrame:
-    """Adds strict and lenient (0/1). preds: key, category, reply, answer."""
+    """Adds strict and lenient (0/1). preds: key, category, reply, answer. No reply is right where the answer is NULL."""
     read = preds.withColumn("said", R.strip_reasoning(F.coalesce("reply", F.lit("")))).withColumn(
         "rule", rule_of(F.col("category"), rules)
     )
@@ -160,11 +160,11 @@ def score(preds: DataFrame, key: Sequence[str], rivals: DataFrame, rules: Mappin
     if "sequence" in rules.values():
         # only this branch leaves the JVM
         seq = joined.where("rule = 'sequence'").withColumn("__a", notes).withColumn("__b", gold_notes)
-        judged = sequence_pass(seq, "__a", "__b", "ok").withColumn("ok", F.col("ok") & (F.size("__b") > 0))
+        judged = sequence_pass(seq, "__a", "__b", "ok").withColumn("ok", F.coalesce(F.col("ok") & (F.size("__b") > 0), F.lit(False)))
         out = plain.unionByName(judged.drop("__a", "__b"))
     return out.select(
         *preds.columns,
-        (F.col("p") == F.col("g")).cast("bigint").alias("strict"),
+        F.coalesce(F.col("p") == F.col("g"), F.lit(False)).cast("bigint").alias("strict"),
         F.col("ok").cast("bigint").alias("lenient"),
     )
 
@@ -182,14 +182,15 @@ def per_record_accuracy(scored: DataFrame, run: str, record: str) -> DataFrame:
     )
 
 
-def error_summary(scored: DataFrame, run: str, top: int = 8) -> DataFrame:
+def error_summary(scored: DataFrame, run: str, top: int = 8, width: int | None = None) -> DataFrame:
     """The `top` categories of a run by misses, with the commonest wrong reply.
 
     Replies are counted as aggregates; only one row per category is ranked.
+    width: replies that agree so far count as one; whole replies by default.
     """
     wrong = scored.where("lenient = 0").select(run, "category", F.trim("reply").alias("r"))
     texts = wrong.groupBy(run, "category", "r").agg(F.count(F.lit(1)).alias("c"))
-    short = texts.groupBy(run, "category", F.substring("r", 1, 60).alias("text")).agg(
+    short = texts.groupBy(run, "category", (F.col("r") if width is None else F.substring("r", 1, width)).alias("text")).agg(
         F.sum("c").alias("k"), F.count(F.lit(1)).alias("d")
     )
     best = F.min_by(F.struct("text", "k"), F.struct(-F.col("k"), F.col("text")))

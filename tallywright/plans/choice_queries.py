@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallywright.functions.labels import render_chat
 from tallywright.operators import audit, choice_items, choices, excerpts, generation
 from tallywright.plans.item_queries import (
-    LIMIT,
     _INFO,
     _NOTES,
     OWN,
@@ -221,7 +220,7 @@ _FIRST = "(SELECT doc_id, title, name, ls, i - 1 AS i, ls[i] AS line FROM (SELEC
 )
 def line_mc(spark: SparkSession, sf: str) -> DataFrame:
     return raw_view(
-        choice_items.line_mc(records(spark, sf), "doc_id", "name", "ls", doc_distractors(spark, sf), TEST_TEMPLATES["line_to_title"][0], LIMIT)
+        choice_items.line_mc(records(spark, sf), "doc_id", "name", "ls", doc_distractors(spark, sf), TEST_TEMPLATES["line_to_title"][0])
     )
 
 
@@ -235,7 +234,7 @@ def line_mc(spark: SparkSession, sf: str) -> DataFrame:
       md5(a) AS answer, {_four('c1', 'doc_id', 'i')} AS others, 'same record' AS hardness FROM rs WHERE len(rest) >= 4""",
 )
 def cloze_mc(spark: SparkSession, sf: str) -> DataFrame:
-    return raw_view(choice_items.cloze_mc(records(spark, sf), "doc_id", "name", "ls", TEST_TEMPLATES["cloze"][0], LIMIT, "c1"))
+    return raw_view(choice_items.cloze_mc(records(spark, sf), "doc_id", "name", "ls", TEST_TEMPLATES["cloze"][0], None, "c1"))
 
 
 TARGET = 5700
@@ -250,7 +249,7 @@ def balanced(spark: SparkSession, sf: str) -> DataFrame:
     return choice_items.balance_to_target(mc_items(spark, sf), TARGET, "b1")
 
 
-@query("balance_to_target", f"WITH {BAL_SQL} SELECT uid, category, key, 'mc-' || lpad(CAST(place AS VARCHAR), 4, '0') AS item_id FROM bal")
+@query("balance_to_target", f"WITH {BAL_SQL} SELECT uid, category, key, 'mc-' || lpad(CAST(place AS VARCHAR), greatest(4, length(CAST(place AS VARCHAR)))::INTEGER, '0') AS item_id FROM bal")
 def balance_to_target(spark: SparkSession, sf: str) -> DataFrame:
     return balanced(spark, sf).select("uid", "category", "key", "item_id")
 

@@ -285,22 +285,3 @@ def sync_status(spark: SparkSession, sf: str) -> DataFrame:
     findings = load(spark, sf, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("n_findings"))
     synced = cleaning.sync_status(load(spark, sf, "documents").select("doc_id"), findings, "doc_id")
     return synced.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("pair_title_with_record")
-def pair_title_with_record(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored titles with a doubled letter, another digit or another title."""
-    part = load(spark, sf, "part")
-    k = F.col("p_partkey") % 4
-    stored = part.select(
-        "p_partkey",
-        F.when(k == 0, F.regexp_replace("p_name", "t", "tt"))
-        .when(k == 1, F.concat("p_name", F.lit(" 2")))
-        .when(k == 2, F.col("p_brand"))
-        .otherwise(F.upper("p_name"))
-        .alias("title"),
-    )
-    master = part.select("p_partkey", F.col("p_name").alias("title"))
-    return cleaning.pair_title_with_record(stored, master, "p_partkey", "title").select(
-        "p_partkey", F.round("similarity", 6).alias("similarity"), "level"
-    )

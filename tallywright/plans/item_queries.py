@@ -241,8 +241,6 @@ def verify_items_test(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# lines and windows per record; above any record, so whole texts are asked about
-LIMIT = 1_000_000
 _DIG = "record, category, md5(question) AS question, md5(answer) AS answer, md5(unit) AS unit"
 
 
@@ -257,35 +255,35 @@ def _q(templates: dict, cat: str, i: int = 0, **parts: str) -> str:
     return out
 
 
-def family_sql(t: dict, side: str, limit: int, seed: str) -> dict[str, str]:
+def family_sql(t: dict, side: str, seed: str) -> dict[str, str]:
     """One SELECT per family: record, category, question, answer, unit."""
     cut = f"(SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY {md5(seed, 'doc_id', 'n', 's')}, s) AS rk FROM nt)"
     ln = "(SELECT doc_id, title, name, i - 1 AS i, ls[i] AS line, ls[i + 1] AS nxt FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM rec))"
     bare = r"lower(regexp_replace(w, '[^\p{L}\p{N}_''-]', '', 'g'))"
     stop = ", ".join(f"'{w}'" for w in STOPWORDS)
     wd = f"""(SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY {md5(seed, 'doc_id', 'i', 'j')}, j) AS rk FROM (
-      SELECT doc_id, name, i, ws, j, ws[j + 1] AS w FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS j FROM (SELECT *, {words('line')} AS ws FROM {ln} WHERE i < {limit}) WHERE len(ws) >= 4))
+      SELECT doc_id, name, i, ws, j, ws[j + 1] AS w FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS j FROM (SELECT *, {words('line')} AS ws FROM {ln}) WHERE len(ws) >= 4))
       WHERE length({bare}) > 2 AND {bare} NOT IN ({stop}) AND len([x for x in ws if x = w]) = 1)"""
     cnt = f"""(SELECT doc_id, n, array_to_string(ls[st + 1 : st + n], ' | ') AS excerpt FROM (SELECT *, {number(seed + '-at', 'doc_id', 'n')} % (len(ls) - n + 1) AS st,
-      row_number() OVER (PARTITION BY doc_id ORDER BY {md5(seed + '-length', 'doc_id', 'n')}, n) AS rk FROM rec, (SELECT unnest(range(3, 13)) AS n) WHERE len(ls) >= n) WHERE rk <= {limit})"""
+      row_number() OVER (PARTITION BY doc_id ORDER BY {md5(seed + '-length', 'doc_id', 'n')}, n) AS rk FROM rec, (SELECT unnest(range(3, 13)) AS n) WHERE len(ls) >= n))"""
     texts = " UNION ALL ".join(
         f"SELECT doc_id AS record, 'title_to_text' AS category, {_q(t, 'title_to_text', i, name='name')} AS question, trim(text) AS answer, CAST(NULL AS VARCHAR) AS unit FROM rec WHERE len(ls) > 0"
         for i in range(len(generation.wordings(t, "title_to_text", side)))
     )
     return {
-        "excerpt_to_title": f"SELECT doc_id AS record, 'excerpt_to_title' AS category, {_q(t, 'excerpt_to_title', excerpt='excerpt')} AS question, title AS answer, 'excerpt|' || excerpt AS unit FROM {cut} WHERE rk <= {limit} AND {_INFO}",
-        "line_to_title": f"SELECT doc_id AS record, 'line_to_title' AS category, {_q(t, 'line_to_title', line='line')} AS question, title AS answer, 'line|' || doc_id || '|' || i AS unit FROM {ln} WHERE i < {limit} AND NOT {gives_away('title', 'line')}",
-        "next_line": f"SELECT doc_id AS record, 'next_line' AS category, {_q(t, 'next_line', name='name', line='line')} AS question, nxt AS answer, 'pair|' || doc_id || '|' || i AS unit FROM {ln} WHERE i < {limit} AND nxt IS NOT NULL",
+        "excerpt_to_title": f"SELECT doc_id AS record, 'excerpt_to_title' AS category, {_q(t, 'excerpt_to_title', excerpt='excerpt')} AS question, title AS answer, 'excerpt|' || excerpt AS unit FROM {cut} WHERE {_INFO}",
+        "line_to_title": f"SELECT doc_id AS record, 'line_to_title' AS category, {_q(t, 'line_to_title', line='line')} AS question, title AS answer, 'line|' || doc_id || '|' || i AS unit FROM {ln} WHERE NOT {gives_away('title', 'line')}",
+        "next_line": f"SELECT doc_id AS record, 'next_line' AS category, {_q(t, 'next_line', name='name', line='line')} AS question, nxt AS answer, 'pair|' || doc_id || '|' || i AS unit FROM {ln} WHERE nxt IS NOT NULL",
         "cloze": f"""SELECT doc_id AS record, 'cloze' AS category, {_q(t, 'cloze', name='name', line="array_to_string(list_transform(ws, lambda x, p: CASE WHEN p = j + 1 THEN '____' ELSE x END), ' ')")} AS question, w AS answer, 'cloze|' || doc_id || '|' || i || '|' || j AS unit FROM {wd} WHERE rk <= 3""",
-        "recall": f"""{texts} UNION ALL SELECT doc_id, 'title_to_line', {_q(t, 'title_to_line', name='name', n='CAST(i + 1 AS VARCHAR)')}, line, 'line|' || doc_id || '|' || i FROM {ln} WHERE i < {limit}
+        "recall": f"""{texts} UNION ALL SELECT doc_id, 'title_to_line', {_q(t, 'title_to_line', name='name', n='CAST(i + 1 AS VARCHAR)')}, line, 'line|' || doc_id || '|' || i FROM {ln}
           UNION ALL SELECT doc_id, 'title_to_bars', {_q(t, 'title_to_bars', name='name', a='CAST(s + 1 AS VARCHAR)', b='CAST(s + n AS VARCHAR)')}, array_to_string(ls[s + 1 : s + n], ' | '), 'bars|' || doc_id || '|' || s || '|' || n
           FROM (SELECT doc_id, name, ls, n, unnest(range(0, len(ls) - n + 1, n)) AS s FROM rec, (VALUES (2), (4), (8)) z(n) WHERE len(ls) >= n)""",
-        "reasoning": f"""SELECT doc_id AS record, 'highest_note' AS category, {_q(t, 'highest_note', excerpt='excerpt')} AS question, substr({_TOP}, 7) AS answer, 'excerpt|' || excerpt AS unit FROM {cut} WHERE rk <= {limit} AND len(ws) > 0
+        "reasoning": f"""SELECT doc_id AS record, 'highest_note' AS category, {_q(t, 'highest_note', excerpt='excerpt')} AS question, substr({_TOP}, 7) AS answer, 'excerpt|' || excerpt AS unit FROM {cut} WHERE len(ws) > 0
           UNION ALL SELECT doc_id, 'count_bars', {_q(t, 'count_bars', excerpt='excerpt')}, CAST(n AS VARCHAR), 'excerpt|' || excerpt FROM {cnt}""",
     }
 
 
-def families(recs: DataFrame, t: dict, side: str, limit: int, seed: str) -> dict[str, DataFrame]:
+def families(recs: DataFrame, t: dict, side: str, seed: str, limit: int | None = None) -> dict[str, DataFrame]:
     notes = excerpts.word_notes
     return {
         "excerpt_to_title": generation.excerpt_to_title_items(recs, "doc_id", "title", "ls", t["excerpt_to_title"][0], limit, seed, notes),
@@ -298,13 +296,13 @@ def families(recs: DataFrame, t: dict, side: str, limit: int, seed: str) -> dict
 
 
 _BASE = f"WITH {REC}, {SLIDE}, {_NOTES}"
-_TRAIN_SQL = family_sql(TEMPLATES, "train", LIMIT, "g1")
+_TRAIN_SQL = family_sql(TEMPLATES, "train", "g1")
 
 
 def _register(name: str) -> None:
     @query(f"{name}_items", f"{_BASE} SELECT {_DIG} FROM ({_TRAIN_SQL[name]})")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return digests(families(records(spark, sf), TEMPLATES, "train", LIMIT, "g1")[name])
+        return digests(families(records(spark, sf), TEMPLATES, "train", "g1")[name])
 
 
 for _name in _TRAIN_SQL:
@@ -312,14 +310,14 @@ for _name in _TRAIN_SQL:
 
 
 def side_items(spark: SparkSession, sf: str, side: str, reserved: DataFrame | None = None) -> DataFrame:
-    t, limit, seed = (TEMPLATES, LIMIT, "g1") if side == "train" else (TEST_TEMPLATES, LIMIT, "g2")
-    every = list(families(records(spark, sf), t, side, limit, seed).values())
+    t, seed = (TEMPLATES, "g1") if side == "train" else (TEST_TEMPLATES, "g2")
+    every = list(families(records(spark, sf), t, side, seed).values())
     return generation.assemble_side(every, reserved)
 
 
 def _side_sql(side: str) -> str:
-    t, limit, seed = (TEMPLATES, LIMIT, "g1") if side == "train" else (TEST_TEMPLATES, LIMIT, "g2")
-    union = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in family_sql(t, side, limit, seed).values())
+    t, seed = (TEMPLATES, "g1") if side == "train" else (TEST_TEMPLATES, "g2")
+    union = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in family_sql(t, side, seed).values())
     return f"""(SELECT *, CASE WHEN category IN ('highest_note', 'count_bars') THEN 'reasoning' ELSE 'recall' END AS level FROM ({union})
       WHERE trim(answer) <> '' AND (category IN ('highest_note', 'count_bars', 'title_to_bars', 'kind') OR NOT {gives_away('answer', 'question')}))"""
 

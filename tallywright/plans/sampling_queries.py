@@ -148,7 +148,7 @@ def held_out_subset_check(spark: SparkSession, sf: str) -> DataFrame:
 
 # next-line items over whole documents
 
-NEXT_SQL = f"""SELECT doc_id * 1000000 + i AS item_id, doc_id, i AS pos, ls[i] AS question, ls[i + 1] AS answer, lang FROM (
+NEXT_SQL = f"""SELECT doc_id, i AS pos, ls[i] AS question, ls[i + 1] AS answer, lang FROM (
   SELECT doc_id, lang, ls, unnest(range(1, len(ls))) AS i FROM (SELECT doc_id, lang, {lines('text')} AS ls FROM documents))"""
 
 
@@ -160,24 +160,24 @@ def next_lines(spark: SparkSession, sf: str) -> DataFrame:
         lambda nxt, i: F.struct((i + 1).cast("bigint").alias("pos"), F.get("ls", i).alias("question"), nxt.alias("answer")),
     )
     return docs.select("doc_id", "lang", F.explode(pairs).alias("x")).select(
-        (F.col("doc_id") * 1000000 + F.col("x.pos")).alias("item_id"), "doc_id", "x.*", "lang"
+        "doc_id", "x.*", "lang"
     )
 
 
-@query("dedupe_items", f"SELECT min(item_id) AS item_id, md5(question) AS question, md5(answer) AS answer FROM ({NEXT_SQL}) x GROUP BY x.question, x.answer")
+@query("dedupe_items", f"SELECT doc_id, pos, md5(question) AS question, md5(answer) AS answer FROM ({NEXT_SQL}) QUALIFY row_number() OVER (PARTITION BY question, answer ORDER BY doc_id, pos) = 1")
 def dedupe_items(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.dedupe_items(next_lines(spark, sf), ["item_id"]).select(
-        "item_id", F.md5("question").alias("question"), F.md5("answer").alias("answer")
+    return sampling.dedupe_items(next_lines(spark, sf), ["doc_id", "pos"]).select(
+        "doc_id", "pos", F.md5("question").alias("question"), F.md5("answer").alias("answer")
     )
 
 
 @query(
     "drop_clashing",
-    f"""WITH x AS ({NEXT_SQL}) SELECT item_id, doc_id FROM x WHERE question NOT IN
+    f"""WITH x AS ({NEXT_SQL}) SELECT doc_id, pos FROM x WHERE question NOT IN
     (SELECT question FROM x GROUP BY question HAVING count(DISTINCT answer) > 1)""",
 )
 def drop_clashing(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.drop_clashing(next_lines(spark, sf)).select("item_id", "doc_id")
+    return sampling.drop_clashing(next_lines(spark, sf)).select("doc_id", "pos")
 
 
 @query(

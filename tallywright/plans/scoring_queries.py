@@ -100,7 +100,7 @@ def per_record_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "error_summary",
     f"""WITH {SCORED}, w AS (SELECT run, category, trim(reply) AS r FROM scored WHERE lenient = 0),
-    c AS (SELECT run, category, substr(r, 1, 60) AS text, count(*) AS k FROM w GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY run, category ORDER BY k DESC, text) AS rn FROM c),
+    c AS (SELECT run, category, r AS text, count(*) AS k FROM w GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY run, category ORDER BY k DESC, text) AS rn FROM c),
     m AS (SELECT run, category, count(*) AS misses, count(DISTINCT r) AS n_distinct FROM w GROUP BY run, category)
     SELECT m.run, row_number() OVER (PARTITION BY m.run ORDER BY misses DESC, m.category) AS place, m.category, misses, n_distinct, text AS commonest, k AS times
     FROM m JOIN b ON b.run = m.run AND b.category = m.category AND rn = 1""",
@@ -111,14 +111,16 @@ def error_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # slots: several questions of one record and category, matched by position
 
-_SLOT_KEYS = "(SELECT conv_id % 40 AS rec, role AS category, conv_id * 100 + turn AS ord, md5(text) AS gold FROM conversations)"
-_SLOT_PRED = "(SELECT conv_id % 40 AS rec, role AS category, conv_id * 300 + turn * 3 + x AS ord, md5(text || x) AS said FROM conversations, (VALUES (0), (1)) v(x) WHERE x = 0 OR conv_id % 2 = 0)"
+# order of turns over all conversations: a turn is below half of this
+SPAN = 1 << 32
+_SLOT_KEYS = "(SELECT conv_id % 40 AS rec, role AS category, conv_id * 4294967296 + turn AS ord, md5(text) AS gold FROM conversations)"
+_SLOT_PRED = "(SELECT conv_id % 40 AS rec, role AS category, conv_id * 4294967296 + turn * 2 + x AS ord, md5(text || x) AS said FROM conversations, (VALUES (0), (1)) v(x) WHERE x = 0 OR conv_id % 2 = 0)"
 
 
 def slot_keys(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "conversations").select(
         (F.col("conv_id") % 40).alias("rec"), F.col("role").alias("category"),
-        (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.md5("text").alias("gold"),
+        (F.col("conv_id") * SPAN + F.col("turn")).alias("ord"), F.md5("text").alias("gold"),
     )
 
 
@@ -126,7 +128,7 @@ def slot_preds(spark: SparkSession, sf: str) -> DataFrame:
     c = load(spark, sf, "conversations").withColumn("x", F.explode(F.array(F.lit(0), F.lit(1)))).where("x = 0 or conv_id % 2 = 0")
     return c.select(
         (F.col("conv_id") % 40).alias("rec"), F.col("role").alias("category"),
-        (F.col("conv_id") * 300 + F.col("turn") * 3 + F.col("x")).alias("ord"), F.md5(F.concat("text", "x")).alias("said"),
+        (F.col("conv_id") * SPAN + F.col("turn") * 2 + F.col("x")).alias("ord"), F.md5(F.concat("text", "x")).alias("said"),
     )
 
 

@@ -197,26 +197,58 @@ def write_items_jsonl(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _fp(label: str, table: str, cols: list[str]) -> str:
-    parts = ", ".join(f"coalesce('v' || CAST({c} AS VARCHAR), 'n')" for c in cols)
-    return f"""SELECT '{label}' AS label, count(*) AS n_rows, bit_xor(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS xor_digest,
-    CAST(sum(CAST('0x' || substr(h, 9, 8) AS BIGINT)) AS BIGINT) AS sum_digest FROM (SELECT md5(concat_ws('|', {parts})) AS h FROM {table})"""
-
-
+# columns of each table as both engines spell them alike: amounts in hundredths, times in seconds, vectors in millionths
 _PRINTS = {
-    "documents": ["doc_id", "text", "lang", "source"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
-    "labels": ["doc_id", "quality", "toxic"],
-    "conversations": ["conv_id", "turn", "role", "text"],
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "100 c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "100 s_acctbal"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "100 p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "100 o_totalprice", "time o_orderdate", "o_orderpriority"],
+    "lineitem": [
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "100 l_quantity", "100 l_extendedprice", "100 l_discount", "100 l_tax",
+        "l_returnflag", "l_linestatus", "time l_shipdate",
+    ],
+    "events": ["event_id", "time ts", "user_id", "event_type", "10000 value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "vector embedding", "label"],
     "pages": ["page_id", "url", "html"],
     "benchmark": ["item_id", "text"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
 }
 
 
-@query("dataset_fingerprint", " UNION ALL ".join(_fp(t, t, c) for t, c in _PRINTS.items()))
+def _spelled(column: str) -> tuple[str, str, str]:
+    """Name, Spark SQL and DuckDB SQL of a column's text."""
+    how, _, name = column.rpartition(" ")
+    if how == "time":
+        return name, f"CAST(unix_seconds(CAST({name} AS TIMESTAMP)) AS STRING)", f"CAST(CAST(floor(epoch({name})) AS BIGINT) AS VARCHAR)"
+    if how == "vector":
+        return (
+            name, f"array_join(transform({name}, x -> CAST(CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS STRING)), ',')",
+            f"array_to_string([CAST(CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR) FOR x IN {name}], ',')",
+        )
+    if how:
+        return name, f"CAST(CAST(floor({name} * {how} + 0.5) AS BIGINT) AS STRING)", f"CAST(CAST(floor({name} * {how} + 0.5) AS BIGINT) AS VARCHAR)"
+    return name, f"CAST({name} AS STRING)", f"CAST({name} AS VARCHAR)"
+
+
+def _fp(table: str, cols: list[str]) -> str:
+    texts = [_spelled(c)[2] for c in cols]
+    parts = ", ".join(f"coalesce('v' || length({t}) || ':' || {t}, 'n')" for t in texts)
+    sums = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT)) AS BIGINT) AS sum_digest_{k}" for k in range(1, 5))
+    return f"""SELECT '{table}' AS label, count(*) AS n_rows, bit_xor(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS xor_digest, {sums}
+    FROM (SELECT sha256(concat_ws('|', {parts})) AS h FROM {table})"""
+
+
+@query("dataset_fingerprint", " UNION ALL ".join(_fp(t, c) for t, c in _PRINTS.items()))
 def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    frames = [provenance.dataset_fingerprint(load(spark, sf, t), c, t) for t, c in _PRINTS.items()]
+    frames = []
+    for table, cols in _PRINTS.items():
+        spelled = [_spelled(c) for c in cols]
+        texts = load(spark, sf, table).selectExpr(*[f"{expr} AS {name}" for name, expr, _ in spelled])
+        frames.append(provenance.dataset_fingerprint(texts, [name for name, _, _ in spelled], table))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -312,13 +344,11 @@ def fill_if_blank_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "restore_prior_version",
-    _fp("customer", "(SELECT c_custkey, c_name, c_mktsegment FROM customer)", ["c_custkey", "c_name", "c_mktsegment"]),
+    _fp("customer", _PRINTS["customer"]),
 )
 def restore_prior_version(spark: SparkSession, sf: str) -> DataFrame:
-    current = (
-        load(spark, sf, "customer")
-        .select("c_custkey", "c_name", F.lower("c_mktsegment").alias("seg"), "c_mktsegment")
-        .select("c_custkey", "c_name", F.col("seg").alias("c_mktsegment"), F.col("c_mktsegment").alias("printed"))
-    )
+    spelled = [_spelled(c) for c in _PRINTS["customer"]]
+    rows = load(spark, sf, "customer").selectExpr(*[f"{expr} AS {name}" for name, expr, _ in spelled])
+    current = rows.withColumn("printed", F.col("c_mktsegment")).withColumn("c_mktsegment", F.lower("c_mktsegment"))
     restored = provenance.restore_prior_version(current, "c_mktsegment", "printed")
-    return provenance.dataset_fingerprint(restored, ["c_custkey", "c_name", "c_mktsegment"], "customer")
+    return provenance.dataset_fingerprint(restored, [name for name, _, _ in spelled], "customer")

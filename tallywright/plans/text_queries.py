@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import labels, reply, text
 from tallywright.functions.hashing import seeded_number
-from tallywright.operators.pairs import sequence_ratio_column, token_f1_pairs
+from tallywright.operators.pairs import token_f1_pairs
 from tallywright.plans.base import PRED_SQL, predictions
 from tallywright.plans.registry import load, query
 from tallywright.plans.sqlkit import edges, flat, gives_away, lines, norm, number, squeeze, whole_word, words
@@ -290,17 +290,6 @@ def token_f1(spark: SparkSession, sf: str) -> DataFrame:
     return token_f1_pairs(pairs, "doc_id", "pred", "gold").select("doc_id", F.round("f1", 6).alias("f1"))
 
 
-@query("sequence_ratio")
-def sequence_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of neighbouring documents, compared place by place as token sequences."""
-    rows = load(spark, sf, "documents").select("doc_id", F.posexplode(text.lines_of(F.col("text"))).alias("line", "l"))
-    docs = rows.select("doc_id", "line", reply.tokens(F.col("l")).alias("p"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), "line", F.col("p").alias("g"))
-    return docs.join(after, ["doc_id", "line"]).select(
-        "doc_id", F.col("line").cast("bigint").alias("line"), F.round(sequence_ratio_column(F.col("p"), F.col("g")), 6).alias("ratio")
-    )
-
-
 _PHR = " OR ".join(f"contains(lower(r), '{p}')" for p in reply.REFUSAL)
 
 

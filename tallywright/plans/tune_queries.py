@@ -424,7 +424,8 @@ def self_contradiction_join(spark: SparkSession, sf: str) -> DataFrame:
     rf"""WITH {_BODY_SQL}, {_W_SQL}, dp AS (SELECT doc_id, max(verse) AS depth FROM wl GROUP BY doc_id),
     sp AS (SELECT doc_id, grp, body, unnest(CASE WHEN size = 1 THEN range(1, depth + 1) ELSE [verse] END) AS verse FROM (SELECT *, max(verse) OVER (PARTITION BY doc_id, grp) AS size FROM wl) JOIN dp USING (doc_id)),
     rw AS (SELECT doc_id, grp, verse, pos, replace(ts[pos], '|', '') AS raw FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS pos FROM (SELECT *, regexp_split_to_array(substr(body, 3), '\s+') AS ts FROM sp))),
-    tk AS (SELECT *, ends_with(replace(raw, '\-', chr(1)), '-') AS cont, replace(replace(replace(raw, '\-', chr(1)), '~', ' '), '-', '') AS tok FROM rw WHERE raw <> '' AND NOT regexp_matches(raw, '^[_*]+$')),
+    t0 AS (SELECT *, ends_with(replace(raw, '\-', chr(1)), '-') AS cont, replace(replace(replace(raw, '\-', chr(1)), '~', ' '), '-', '') AS tok FROM rw WHERE raw <> '' AND NOT regexp_matches(raw, '^[_*]+$')),
+    tk AS (SELECT * REPLACE (cont OR coalesce(lead(tok = '' AND cont) OVER (PARTITION BY doc_id, verse ORDER BY grp, pos), false) AS cont) FROM t0),
     st AS (SELECT *, sum(CASE WHEN pc THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, verse ORDER BY grp, pos) AS word FROM (SELECT *, coalesce(lag(cont) OVER (PARTITION BY doc_id, verse ORDER BY grp, pos), false) AS pc FROM tk)),
     wd AS (SELECT doc_id, verse, word, replace(string_agg(tok, '' ORDER BY grp, pos), chr(1), '-') AS body, arg_max(grp * 2 + CASE WHEN cont THEN 1 ELSE 0 END, grp * 100000 + pos) AS place FROM st GROUP BY doc_id, verse, word),
     ln AS (SELECT doc_id, verse, place, string_agg(body, ' ' ORDER BY word) AS body FROM wd WHERE body <> '' GROUP BY doc_id, verse, place),

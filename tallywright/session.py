@@ -27,6 +27,7 @@ def local_session(cores: str = "8", shuffle: str = "8", name: str = "tallywright
         builder = builder.config(key, value)
     spark = (
         builder.config("spark.sql.shuffle.partitions", shuffle)
+        .config("spark.sql.files.minPartitionNum", cores)
         .config("spark.driver.memory", "12g")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallywright-"))
         .getOrCreate()
