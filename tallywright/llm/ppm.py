@@ -3,9 +3,8 @@
 The model is a trie of byte contexts up to `order`, counted over all training texts (lower-cased A-Z, one end symbol
 per text). Escape estimation is method D (a context that has seen d different symbols in t places leaves d / 2t to the
 escape and (2c - 1) / 2t to a symbol seen c times) with symbol exclusion: what a longer context has already offered is
-taken out of the shorter one. Every context that a
-longer one has seen, the shorter one has seen too, so the excluded mass is a sum per node that two joins of the trie
-with itself yield; no text is walked for it.
+taken out of the shorter one. Every symbol that a longer context has seen, the shorter one has seen too, so the excluded
+count is a sum per node that one join of the strings with themselves yields; no text is walked for it.
 
 The trie grows with the corpus, so nobody holds all of it. Texts are dealt into blocks by their key; a block asks for
 the strings that occur in it, gets their nodes by an equi join and scores its texts from this part. A block of
@@ -37,8 +36,10 @@ ALPHABET = 257
 BITS = 9
 #: The end token of the baseline; words have other negative codes.
 END_TOKEN = -1
+#: The columns of a node.
+VALUES = ("cnt", "t", "d", "x")
 #: Bytes of text whose symbols are held as numbers at once.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 def tag(length: int) -> int:
@@ -70,13 +71,8 @@ def word_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (hashes | np.uint64(1 << 63)).astype(np.int64), doc
 
 
-def strings_of(codes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each length from 1 to order + 1, the endings of the grams, tagged with their length."""
-    return [codes & (tag(k) - 1) | tag(k) for k in range(1, order + 2)]
-
-
 def tally(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    places, different = pd.factorize(codes)
+    places, different = pd.factorize(codes, sort=True)  # neighbours in order take less room in a shuffle
     return different, np.bincount(places, weights=counts, minlength=len(different)).astype(np.int64)
 
 
@@ -93,6 +89,7 @@ def corpus_counts(docs: DataFrame, text: str, order: int) -> DataFrame:
         if not parts:
             return
         codes, counts = tally(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        parts.clear()
         groups = [(0, codes, counts)]
         if not words:
             groups = []
@@ -109,10 +106,9 @@ def corpus_counts(docs: DataFrame, text: str, order: int) -> DataFrame:
             for data, at, _, _ in lowered(batch.column(0)):
                 grams.append(tally(gram_codes(data, at, order)[0]))
                 words.append(tally(np.concatenate((word_codes(data, at)[0], np.full(len(at) - 1, END_TOKEN)))))
-            if sum(len(p[0]) for p in grams + words) > 4_000_000:
+            if sum(len(p[0]) for p in grams + words) > 1_000_000:
                 yield from emit(grams, False)
                 yield from emit(words, True)
-                grams, words = [], []
         yield from emit(grams, False)
         yield from emit(words, True)
 
@@ -125,81 +121,78 @@ def shorter(code: Column, length: Column) -> Column:
     return F.expr(f"(code & (shiftleft(1L, {BITS} * (len - 1)) - 1)) | shiftleft(1L, {BITS} * (len - 1))")
 
 
-def trie(counts: DataFrame) -> DataFrame:
-    """A row per string or word: logs of its count (seen), and as a context, of the mass it offers (total), of the
-    escape from it (leave), and, after exclusion of what it has seen, of the next shorter context's mass (rest) and of
-    the escape from there (drop)."""
+def trie(counts: DataFrame, order: int) -> DataFrame:
+    """A row per string or word: its count, and as a context, the count of all that follows (t), of the different
+    symbols that follow (d), and of these symbols after the next shorter context (x, the part that exclusion takes)."""
     strings = counts.where("len > 0")
     # every string has at most one row per first symbol here, so no key has more than 257 rows
-    ends = strings.select(F.col("code").alias("end_code"), F.col("cnt").alias("end_cnt"))
+    ends = strings.where(F.col("len") <= order).select(F.col("code").alias("end_code"), F.col("cnt").alias("end_cnt"))
     linked = strings.withColumn("end_code", F.when(F.col("len") > 1, shorter(F.col("code"), F.col("len")))).join(ends, "end_code", "left")
-    nodes = linked.groupBy(F.shiftright("code", BITS).alias("code"), (F.col("len") - 1).alias("len")).agg(
+    contexts = linked.groupBy(F.shiftright("code", BITS).alias("code")).agg(
         F.sum("cnt").alias("t"), F.count("*").alias("d"), F.coalesce(F.sum("end_cnt"), F.lit(0)).alias("x")
     )
-    nodes = materialise(nodes, "contexts")
-    lower = nodes.select(F.col("code").alias("low"), F.col("t").alias("t0"), F.col("d").alias("d0"))
-    contexts = nodes.withColumn("low", F.when(F.col("len") > 0, shorter(F.col("code"), F.col("len")))).join(lower, "low", "left")
-    none = F.lit(None).cast("float")
-
-    def log(x: Column) -> Column:
-        return F.log(x.cast("double")).cast("float")
-
-    rest = 2 * (F.col("t0") - F.col("x"))
-    drop = F.when(rest > 0, log((F.col("d0") - F.col("d")) / rest)).otherwise(F.lit(0.0).cast("float"))
-    as_context = contexts.select(
-        "code", none.alias("seen"), log(2 * F.col("t")).alias("total"), log(F.col("d") / (2 * F.col("t"))).alias("leave"),
-        F.when(F.col("len") > 0, F.when(rest > 0, log(rest)).otherwise(F.lit(0.0).cast("float"))).otherwise(log(F.greatest(F.lit(1), ALPHABET - F.col("d")))).alias("rest"),
-        F.when(F.col("len") > 0, drop).otherwise(F.lit(0.0).cast("float")).alias("drop"),
-    )
-    seen = F.when(F.col("len") > 0, log(2 * F.col("cnt") - 1)).otherwise(log(F.col("cnt")))
-    as_string = counts.select("code", seen.alias("seen"), none.alias("total"), none.alias("leave"), none.alias("rest"), none.alias("drop"))
-    both = as_string.union(as_context)
-    return both.groupBy("code").agg(*(F.max(c).alias(c) for c in ("seen", "total", "leave", "rest", "drop")))
+    zero = [F.lit(0).cast("long").alias(c) for c in ("t", "d", "x")]
+    longest = (F.col("len") == 0) | (F.col("len") > order)  # words and the longest strings are no context of anything
+    inner = strings.where(~longest).select("code", "cnt", *zero).union(contexts.select("code", F.lit(0).cast("long"), "t", "d", "x"))
+    inner = inner.groupBy("code").agg(*(F.sum(c).alias(c) for c in VALUES))
+    return counts.where(longest).select("code", "cnt", *zero).union(inner)
 
 
 class Part:
-    """The nodes that one block asked for."""
+    """The nodes that one block asked for: contexts with all values, words and the longest strings with their count."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, order: int):
         code = table.column("code").to_numpy()
-        order = np.argsort(code)
-        self.code = code[order]
-        self.value = {c: table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("seen", "total", "leave", "rest", "drop")}
-
-    def rows(self, codes: np.ndarray, need: str) -> tuple[np.ndarray, np.ndarray]:
-        """Row of each code, and whether it is there with a value in the column needed."""
-        if not len(self.code):
+        outer = (code < 0) | (code >= tag(order + 1))
+        self.first_outer = tag(order + 1)
+        at, cnt = np.flatnonzero(outer), table.column("cnt").to_numpy()
+        at = at[np.argsort(code[at])]
+        self.outer = {"code": code[at], "cnt": cnt[at]}
+        at = np.flatnonzero(~outer)
+        at = at[np.argsort(code[at])]
+        self.inner = {"code": code[at]} | {c: table.column(c).to_numpy()[at] for c in VALUES}
+
+    @staticmethod
+    def find(table: dict[str, np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each code, and whether it is there."""
+        if not len(table["code"]):
             return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
-        row = np.minimum(np.searchsorted(self.code, codes), len(self.code) - 1)
-        return row, (self.code[row] == codes) & ~np.isnan(self.value[need][row])
+        row = np.minimum(np.searchsorted(table["code"], codes), len(table["code"]) - 1)
+        return row, table["code"][row] == codes
+
+    def counts(self, codes: np.ndarray) -> np.ndarray:
+        """How often the words or the strings of one length were counted; 0 if never."""
+        table = self.outer if len(codes) and (codes[0] < 0 or codes[0] >= self.first_outer) else self.inner
+        row, known = self.find(table, codes)
+        return np.where(known, table["cnt"][row], 0) if len(table["code"]) else np.zeros(len(codes), np.int64)
 
     def log_prob(self, grams: np.ndarray, order: int) -> np.ndarray:
         """Natural log of the probability of each gram's last symbol after its others."""
         out = np.zeros(len(grams))
-        settled = np.zeros(len(grams), bool)
-        entered = np.zeros(len(grams), bool)
-        above = np.zeros(len(grams), np.int64)  # row of the context one symbol longer
+        above_d = np.zeros(len(grams), np.int64)  # of the context one symbol longer; 0 until one is known
+        above_x = np.zeros(len(grams), np.int64)
+        open_ = np.arange(len(grams))  # grams whose symbol no context has offered yet
         for k in range(order, -1, -1):
-            context, known = self.rows((grams >> BITS) & (tag(k) - 1) | tag(k), "total")
-            symbol, hit = self.rows(grams & (tag(k + 1) - 1) | tag(k + 1), "seen")
-            now = known & ~settled
-            top, later = now & ~entered, now & entered
-            hit &= now
-            base = np.where(entered, self.value["rest"][above], self.value["total"][context]) if len(self.code) else out
-            gain = np.where(hit, (self.value["seen"][symbol] if len(self.code) else 0.0) - base, 0.0)
-            out += np.where(hit, gain, 0.0)
-            out += np.where(top & ~hit, self.value["leave"][context] if len(self.code) else 0.0, 0.0)
-            out += np.where(later & ~hit, self.value["drop"][above] if len(self.code) else 0.0, 0.0)
-            settled |= hit
-            entered |= now
-            above = np.where(now, context, above)
-        lost = ~settled
-        last = np.where(entered, self.value["rest"][above], math.log(ALPHABET)) if len(self.code) else np.full(len(grams), math.log(ALPHABET))
-        return np.where(lost, out - last, out)
+            g = grams[open_]
+            row, known = self.find(self.inner, (g >> BITS) & (tag(k) - 1) | tag(k))
+            t, d, x = (np.where(known, self.inner[c][row], 0) if len(self.inner["code"]) else np.zeros(len(g), np.int64) for c in ("t", "d", "x"))
+            known &= t > 0
+            seen = np.where(known, self.counts(g & (tag(k + 1) - 1) | tag(k + 1)), 0)
+            hit = seen > 0
+            mass = 2 * (t - above_x[open_])
+            escape = d - above_d[open_]
+            out[open_[hit]] += np.log((2 * seen[hit] - 1) / mass[hit])
+            # where the longer context has offered all there is, the shorter one is left without a cost
+            leave = known & ~hit & (mass > 0)
+            out[open_[leave]] += np.log(escape[leave] / mass[leave])
+            above_d[open_], above_x[open_] = np.where(known, d, 0), np.where(known, x, 0)
+            open_ = open_[~hit]
+        out[open_] -= np.log(np.maximum(1, ALPHABET - above_d[open_]))
+        return out
 
 
 def scores(
-    docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", order: int = 4, block_bytes: int = 32 << 20
+    docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", order: int = 5, block_bytes: int = 32 << 20
 ) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability of each whole text)."""
     if not 1 <= order <= 5:
@@ -210,10 +203,10 @@ def scores(
     counts = materialise(corpus_counts(rows.where("train"), "text", order), "counts")
     total = counts.where("code < 0").agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, v_train = int(total["n"]), int(total["v"])
-    nodes = materialise(trie(counts), "trie")
+    nodes = materialise(trie(counts, order), "trie")
     amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // block_bytes))
-    dealt = rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    dealt = rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -223,14 +216,20 @@ def scores(
             parts.append(grams)
             parts.append(pd.unique(word_codes(data, at)[0]))
         codes = pd.unique(np.concatenate(parts))
-        grams = codes[codes >= 0]
-        wanted = [codes[codes < 0], np.array([END_TOKEN, tag(0)])]
-        wanted += strings_of(grams, order) + [(grams >> BITS) & (tag(k) - 1) | tag(k) for k in range(1, order + 1)]
-        code = pd.unique(np.concatenate([pd.unique(w) for w in wanted]))
-        return pa.table({"block": pa.array(np.full(len(code), block, np.int64)), "code": pa.array(code.astype(np.int64))})
+        parts.clear()
+        strings = codes[codes >= 0] | tag(order + 1)
+        wanted = [codes[codes < 0], np.array([END_TOKEN, tag(0)]), strings]
+        for k in range(order, 0, -1):  # endings and contexts of length k, from those that are one symbol longer
+            strings = pd.unique(np.concatenate((strings & (tag(k) - 1) | tag(k), strings >> BITS)))
+            wanted.append(strings)
+        code = np.concatenate(wanted)
+        code.sort()
+        pa.default_memory_pool().release_unused()
+        return pa.table({"block": pa.array(np.full(len(code), block, np.int32)), "code": pa.array(code.astype(np.int64))})
 
     def answer(texts: pa.Table, part_rows: pa.Table) -> pa.Table:
-        part = Part(part_rows)
+        part = Part(part_rows, order)
+        pa.default_memory_pool().release_unused()
         floor = math.log10(0.5 / (n_train + 0.5 * (v_train + 1)))
         n_tokens, n_known, base, score = [], [], [], []
         for data, at, _, _ in lowered(texts.column("text")):
@@ -242,9 +241,9 @@ def scores(
             codes, doc = word_codes(data, at)
             codes, doc = np.concatenate((codes, np.full(n, END_TOKEN))), np.concatenate((doc, np.arange(n)))
             places, different = pd.factorize(codes)
-            row, known = part.rows(different, "seen")
-            c = np.where(known, np.exp(part.value["seen"][row]) if len(part.code) else 0.0, 0.0)
-            value = np.where(known, np.log10((np.rint(c) + 0.5) / (n_train + 0.5 * (v_train + 1))), floor)
+            c = part.counts(different)
+            known = c > 0
+            value = np.where(known, np.log10((c + 0.5) / (n_train + 0.5 * (v_train + 1))), floor)
             base.append(np.bincount(doc, weights=value[places], minlength=n))
             n_tokens.append(np.bincount(doc, minlength=n))
             n_known.append(np.bincount(doc, weights=known[places], minlength=n).astype(np.int64))
@@ -253,8 +252,8 @@ def scores(
             "base_score": pa.array(np.concatenate(base)), "score": pa.array(np.concatenate(score)),
         })
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block long, code long")
-    parts = asked.join(nodes, "code").select("block", "code", "seen", "total", "leave", "rest", "drop")
+    asked = dealt.groupBy("block").applyInArrow(ask, "block int, code long")
+    parts = asked.join(nodes, "code").select("block", "code", *VALUES)
     id_type = rows.schema["id"].dataType.simpleString()
     out = dealt.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(
         answer, f"id {id_type}, n_tokens long, n_known long, base_score double, score double"

@@ -85,7 +85,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, STEP_BYTES + 1)
+        size = 1 << max(16, (n - 1).bit_length())
         for name, base in (("up", BASE), ("down", BASE_INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
