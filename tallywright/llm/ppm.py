@@ -192,7 +192,7 @@ class Part:
 
 
 def scores(
-    docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", order: int = 5, block_bytes: int = 32 << 20
+    docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", order: int = 5, block_bytes: int = 16 << 20
 ) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability of each whole text)."""
     if not 1 <= order <= 5:
@@ -205,7 +205,7 @@ def scores(
     n_train, v_train = int(total["n"]), int(total["v"])
     nodes = materialise(trie(counts, order), "trie")
     amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // block_bytes))
+    blocks = max(1, -(-amount // block_bytes))  # the size of a block counts, not the number of partitions: each asks anew
     dealt = rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
 
     def ask(table: pa.Table) -> pa.Table:
