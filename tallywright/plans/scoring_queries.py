@@ -240,15 +240,15 @@ def mc_report(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.mc_report(scored_choices(spark, sf))
 
 
-# log-probabilities from embedding components: component 5 * option + token
+# log-probabilities from all embedding components, dealt to the five options in turn
 
-_LP = "(SELECT vec_id, substr('ABCDE', CAST(1 + (i - 1) // 4 AS INT), 1) AS letter, CAST(embedding[i] AS DOUBLE) AS lp FROM (SELECT vec_id, embedding, unnest(range(1, 21)) AS i FROM embeddings))"
+_LP = "(SELECT vec_id, substr('ABCDE', CAST(1 + (i - 1) % 5 AS INT), 1) AS letter, CAST(embedding[i] AS DOUBLE) AS lp FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"
 
 
 def logprobs(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 20)).alias("i", "lp"))
+    e = load(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "lp"))
     return e.select(
-        "vec_id", F.substr(F.lit("ABCDE"), (1 + F.floor(F.col("i") / 4)).cast("int"), F.lit(1)).alias("letter"), F.col("lp").cast("double").alias("logprob")
+        "vec_id", F.substr(F.lit("ABCDE"), (1 + F.col("i") % 5).cast("int"), F.lit(1)).alias("letter"), F.col("lp").cast("double").alias("logprob")
     )
 
 
