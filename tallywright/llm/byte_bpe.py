@@ -33,6 +33,8 @@ SHORT = 64
 #: Pieces of a generation; a worker keeps those of the running and of the last one.
 KEPT = 300_000
 NONE = int(np.iinfo(np.int32).max)
+#: Above rank * width + place of any piece; a tree of its own has Python's numbers.
+BEYOND = 1 << 62
 #: \\p{L} and \\p{N} up to U+02AF; texts without later characters are split by the faster of the two engines.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
 NUMBERS = "0-9²³¹¼-¾"
@@ -158,7 +160,7 @@ class Ranks:
         width = 1 << (n - 1).bit_length()
         token = [int(self.single[b]) for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank, none = self.pair_rank, NONE
+        rank, none = self.pair_rank, BEYOND
         tree = [none] * (2 * width)
         for i in range(n - 1):
             r = rank.get(token[i] * self.width + token[i + 1])

@@ -108,6 +108,21 @@ def test_byte_bpe_like_the_library():
         assert ids == own.encode_ordinary(text) and model.decode(ids) == text.encode()
 
 
+@pytest.mark.parametrize("size", [40_000, 140_000, 1_100_000])
+def test_byte_bpe_of_very_long_pieces(size):
+    import tiktoken
+
+    with open(queries.BYTE_RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    model = byte_bpe.Ranks(queries.BYTE_RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(size)
+    words = sorted(w.decode() for w in ranks if w.isalpha() and w.isascii() and len(w) > 3)
+    text = "".join(rng.choice(words) for _ in range(size // 4))[:size]
+    assert model.split(text) == [text]
+    assert np.frombuffer(model.encode([text])[0], "<i4").tolist() == own.encode_ordinary(text)
+
+
 def test_packing_covers_every_id_once(spark):
     from tokenizers import Tokenizer
 
