@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and strings that a battery of randomness tests doesn't tell from random ones.
 
-Candidates are long runs of encoding characters. An encoding is inferred (hex, base 32, base 36, base 64); runs of one
-kind of letter or of digits alone have none. Under the hypothesis that a string is random in its encoding, three tests
+Candidates are long runs of encoding characters, also right after a sign of equality. An encoding is inferred (hex, base
+32, base 36 in either case, base 64, one case with hyphens and underscores); letters or digits alone have none. Of a run
+without an encoding, as a path that ends in a key, the parts between separators are tested. Under the hypothesis that a string is random in its encoding, three tests
 give p-values: chi-squared uniformity over the alphabet, the number of runs above and below its middle, and the
 correlation of neighbours; Fisher's rule combines them. Ordinary text gathers at p near 0 and random strings are spread
 evenly, so the share of random strings above any p is known from the upper half of the p-values. For each encoding and
@@ -34,15 +35,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Alphabets in the order of their values; the first that holds all characters is inferred.
+LEAST = 20
+#: A sign of equality ends a run as padding, or else stands between a name and the next run.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+#: Parts of a run, from coarse to fine, that are tried if the whole has no encoding.
+PARTS = tuple(re.compile(p) for p in ("[^/]+", "[^_-]+", "[^/_-]+", "[^+/_-]+"))
+#: Alphabets in the order of their values; the first that holds all characters is inferred. Those with separators have no
+#: such order: their letters stand by frequency, so that words joined by hyphens are far from uniform.
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "BASE36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "base38": "etaoinsrhldcumfpgwybvkxjqz0123456789-_",
+    "BASE38": "ETAOINSRHLDCUMFPGWYBVKXJQZ0123456789-_",
 }
 VALUES = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
 LENGTHS = (20, 32, 48, 64, 128)
@@ -58,10 +67,24 @@ def encoding(run: str) -> str | None:
     for name, values in VALUES.items():
         if all(c in values for c in body):
             mixed = any(c.islower() for c in body) and any(c.isupper() for c in body)
-            return name if mixed or not name.startswith("base64") else None
+            if mixed or not name.startswith("base64"):
+                return name
     return None
 
 
+def tested(run: str) -> list[tuple[int, int, str]]:
+    """Start, end and encoding of what is tested of a run: the whole, or else its longest parts that have an encoding."""
+    if name := encoding(run):
+        return [(0, len(run), name)]
+    parts = {m.span() for cut in PARTS for m in cut.finditer(run) if len(m[0].rstrip("=")) >= LEAST}
+    covered, out = bytearray(len(run)), []
+    for a, b in sorted(parts, key=lambda s: (s[0] - s[1], s[0])):
+        if covered.find(1, a, b) < 0 and (name := encoding(run[a:b])):
+            covered[a:b] = b"\1" * (b - a)
+            out.append((a, b, name))
+    return sorted(out)
+
+
 def normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -123,10 +146,10 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     """Start, end, stratum and p of the runs that no pattern has found."""
     out = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        name = encoding(m[0])
-        if name and not any(s < b and a < e for s, e, _ in taken):
-            out.append((a, b, stratum(name, b - a), random_p(m[0], name)))
+        for i, j, name in tested(m[0]):
+            a, b = m.start() + i, m.start() + j
+            if not any(s < b and a < e for s, e, _ in taken):
+                out.append((a, b, stratum(name, b - a), random_p(text[a:b], name)))
     return out
 
 

@@ -206,6 +206,22 @@ def test_secret_tests():
     assert 0.3 < np.mean(random_p) < 0.7 and secret_tests.random_p("ab" * 30, "hex") < 1e-6
 
 
+def test_secrets_after_signs_in_one_case_and_in_paths():
+    rng = random.Random(8)
+    draw = lambda name, n: "".join(rng.choice(secret_tests.ALPHABETS[name]) for _ in range(n))
+    wide, url, upper, lower = draw("base64", 40), draw("base64url", 40).strip("-_"), "ASIA0189" + draw("BASE36", 32), "a1-z_" + draw("base38", 30) + "q"
+    one = {"AWS_SECRET_ACCESS_KEY=" + wide: wide, "?sig=" + url + "&x=1": url, f"id {upper}.": upper, f"<{lower}>": lower, f"client={wide}==": wide + "=="}
+    path = draw("base36", 30) + "9z"
+    one |= {f"https://a.b/some_long-path/of-words/{path}/x": path, f"name_of_it-{wide}": wide}
+    for text, key in one.items():
+        assert key in [text[a:b] for a, b, _, _ in secret_tests.candidates(text, [])], text
+    assert secret_tests.candidates("https://a.b/some_long-path/of-words-alone/and_more-words-here", []) == []
+    slug = "the-ten-best-places-to-see-in-the-north-of-england-in-2024"
+    assert secret_tests.random_p(slug, secret_tests.encoding(slug)) < 1e-3
+    run = "/".join(f"part_{k}-{draw('base36', 24)}" for k in range(20_000))
+    assert len(secret_tests.tested(run)) == 20_000
+
+
 def test_redaction_takes_effect(spark):
     docs = spark.createDataFrame([(1, "a password=hunter22 b"), (2, None), (3, "plain")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in secret_tests.redact(docs).collect()) == [(1, "a [assign] b"), (2, None), (3, "plain")]
