@@ -7,8 +7,13 @@ give p-values: chi-squared uniformity over the alphabet, the number of runs abov
 correlation of neighbours; Fisher's rule combines them. Ordinary text gathers at p near 0 and random strings are spread
 evenly, so the share of random strings above any p is known from the upper half of the p-values. For each encoding and
 length class the bar is the lowest p above which at most `rate` of the strings are expected to be ordinary: long strings,
-which the tests tell apart well, have a low bar, short ones a high bar. The p-values of all documents count for this; the
-driver sees one histogram per class, whose size is fixed.
+which the tests tell apart well, have a low bar, short ones a high bar. The p-values of all documents count for this,
+each different string once, however many copies it has; the driver sees one histogram per class, whose size is fixed.
+
+A class with fewer than `ENOUGH` different strings takes in the next shorter and longer classes of its encoding, step by
+step, until they have as many; if the whole encoding hasn't, it takes in all strings of the table. If these are too few
+as well, there is nothing to estimate from, and each string is tested alone: the bar is `rate`, which a random string
+misses with that probability.
 
 Null and empty texts have no spans. Spans are in code points, end exclusive. A span found by the tests is left out where
 a pattern's span already covers part of it. Every row has one result, repeated rows and rows with a null key too. An empty
@@ -23,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +62,8 @@ ALPHABETS = {
 VALUES = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
 LENGTHS = (20, 32, 48, 64, 128)
 BINS = 100
+#: Different strings that an estimate needs.
+ENOUGH = 100
 SPAN = "struct<kind:string,start:int,end:int>"
 
 
@@ -135,6 +143,11 @@ def stratum(name: str, length: int) -> str:
     return f"{name}:{max(n for n in LENGTHS if n <= max(length, LENGTHS[0]))}"
 
 
+def signature(string: str) -> int:
+    """A signed 64-bit hash."""
+    return xxhash.xxh64_intdigest(string.encode()) - (1 << 63)
+
+
 def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     spans = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
@@ -154,10 +167,10 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, found: spans of the patterns; tried: candidates with stratum and p."""
+    """key, found: spans of the patterns; tried: candidates with stratum, p and hash."""
     textkit.bounded_batches(docs.sparkSession)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    tried_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.string()), ("p", pa.float64())]))
+    tried_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.string()), ("p", pa.float64()), ("hash", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,23 +178,39 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
             for t in batch.column(1).to_pylist():
                 spans = pattern_spans(t or "")
                 found.append([{"kind": k, "start": a, "end": b} for a, b, k in spans])
-                tried.append([{"start": a, "end": b, "stratum": s, "p": p} for a, b, s, p in candidates(t or "", spans)])
+                tried.append([{"start": a, "end": b, "stratum": s, "p": p, "hash": signature(t[a:b])} for a, b, s, p in candidates(t or "", spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, span), pa.array(tried, tried_type)], names=["id", "found", "tried"])
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(
-        run, f"id {rows.schema['id'].dataType.simpleString()}, found array<{SPAN}>, tried array<struct<start:int,end:int,stratum:string,p:double>>"
+        run, f"id {rows.schema['id'].dataType.simpleString()}, found array<{SPAN}>, tried array<struct<start:int,end:int,stratum:string,p:double,hash:long>>"
     )
 
 
+def pooled(counts: dict[str, np.ndarray], name: str) -> np.ndarray:
+    """The histogram that the bar of a stratum comes from: its own, or with its neighbours if it has too few strings."""
+    code, length = name.split(":")
+    at = LENGTHS.index(int(length))
+    for reach in range(len(LENGTHS)):
+        near = LENGTHS[max(0, at - reach) : at + reach + 1]
+        seen = sum(counts[n] for n in (f"{code}:{k}" for k in near) if n in counts)
+        if seen.sum() >= ENOUGH:
+            return seen
+    return sum(counts.values())
+
+
 def bars(scanned: DataFrame, rate: float) -> dict[str, float]:
-    """The lowest p of each stratum above which at most `rate` of the strings are expected to be ordinary."""
-    tried = scanned.select(F.explode("tried").alias("t")).select("t.stratum", F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    """The lowest p of each stratum above which at most `rate` of the different strings are expected to be ordinary."""
+    tried = scanned.select(F.explode("tried").alias("t")).select("t.stratum", "t.hash", F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     counts: dict[str, np.ndarray] = {}
-    for row in tried.groupBy("stratum", "bin").count().collect():  # strata times bins rows at most
+    for row in tried.distinct().groupBy("stratum", "bin").count().collect():  # strata times bins rows at most
         counts.setdefault(row["stratum"], np.zeros(BINS, np.int64))[row["bin"]] = row["count"]
     out = {}
-    for name, seen in counts.items():
+    for name in counts:
+        seen = pooled(counts, name)
+        if seen.sum() < ENOUGH:
+            out[name] = rate
+            continue
         above = seen[::-1].cumsum()[::-1]
         random = 2.0 * above[BINS // 2]  # strings that are random, of which half have p above one half
         false = np.maximum(0.0, above - random * (1 - np.arange(BINS) / BINS))

@@ -222,6 +222,27 @@ def test_secrets_after_signs_in_one_case_and_in_paths():
     assert len(secret_tests.tested(run)) == 20_000
 
 
+def scanned_strings(spark, rows):
+    """A table as scan() makes it; rows: stratum, p, hash, copies."""
+    tried = [([(0, 1, s, p, h)],) for s, p, h, copies in rows for _ in range(copies)]
+    return spark.createDataFrame(tried, "tried array<struct<start:int,end:int,stratum:string,p:double,hash:long>>")
+
+
+def test_copies_of_a_string_do_not_move_the_bar(spark):
+    mixed = [("hex:32", k / 400 % 1, k, 1) for k in range(400)] + [("hex:32", 0.003, 1000 + k, 1) for k in range(100)]
+    alone = secret_tests.bars(scanned_strings(spark, mixed), 0.05)
+    assert alone["hex:32"] < 0.1
+    for p in (0.3, 0.9):
+        assert secret_tests.bars(scanned_strings(spark, [*mixed, ("hex:32", p, -1, 2000)]), 0.05)["hex:32"] == pytest.approx(alone["hex:32"], abs=0.01)
+
+
+def test_rare_classes_share_the_bar_of_their_neighbours(spark):
+    many = [("hex:32", k / 400 % 1, k, 1) for k in range(400)]
+    got = secret_tests.bars(scanned_strings(spark, [*many, ("hex:64", 0.2, -1, 1), ("base32:20", 0.2, -2, 1)]), 0.05)
+    assert got["hex:64"] < 0.2 and got["base32:20"] < 0.2
+    assert secret_tests.bars(scanned_strings(spark, [("hex:64", 0.2, -1, 50)]), 0.05) == {"hex:64": 0.05}
+
+
 def test_redaction_takes_effect(spark):
     docs = spark.createDataFrame([(1, "a password=hunter22 b"), (2, None), (3, "plain")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in secret_tests.redact(docs).collect()) == [(1, "a [assign] b"), (2, None), (3, "plain")]
