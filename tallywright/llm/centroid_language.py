@@ -2,9 +2,11 @@
 
 Document frequencies come from every training text. Centroids come from a bounded sample of them: at most
 `per_language` texts of a language in expectation and `most` in all, picked by a hash of the text, grouped by
-spherical k-means. A text has the language of the centroid with the greatest cosine. It is rejected if the cosine is
-below `slack` times the least that any text of the sample has with its own centroid: then it is farther from every
-language than texts of a language are, however short.
+spherical k-means. A text has the language of the centroid with the greatest cosine. Each centroid has a floor for each
+class of length, and a text below it is rejected: `slack` times the `low` quantile of the cosines that the sample's texts
+of this centroid have, whole and cut to lengths of the class. A class with fewer than FEW of them has the floor of all
+centroids of the language, and if these have too few as well, that of the next shorter class; the shortest then has none.
+A few short, noisy or mislabelled texts thus move no floor.
 
 Null texts and texts without a letter are `und`, with score 0, and rejected. Rows with a null language are not learned
 from. With no training row every text is `und` and rejected. Every row has one result, repeated rows and rows with a null
@@ -28,6 +30,11 @@ SIZE = 4096
 LETTER = np.arange(256, dtype=np.uint8)
 LETTER[[b for b in range(128) if not chr(b).isalpha()]] = 32
 UNKNOWN = "und"
+#: Classes of length by the number of n-grams: under 32, then doubling; and the lengths to which texts are cut for them.
+CLASSES = 9
+CUTS = [1 << k for k in range(3, 12)]
+#: Cosines that a floor needs.
+FEW = 20
 
 
 def gram_counts(column: pa.Array) -> np.ndarray:
@@ -59,6 +66,10 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(1e-12, np.sqrt((x * x).sum(axis=1, keepdims=True)))
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(1, counts.sum(axis=1))).astype(int) - 4, 0, CLASSES - 1)
+
+
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of the texts each slot stands, and how many texts there are."""
 
@@ -78,21 +89,23 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:SIZE], int(out[SIZE])
 
 
-def sample(docs: DataFrame, per_language: int, most: int) -> list[tuple[str, np.ndarray]]:
-    """Languages and counts of the sample."""
+def sample(docs: DataFrame, per_language: int, most: int) -> DataFrame:
+    """The rows of the sample."""
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # a row per language
-    if not sizes:
-        return []
     each = max(1, min(per_language, most // len(sizes)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))])
-    draw = (F.xxhash64("text").bitwiseAND(0x7FFFFFFF) / float(1 << 31)) < F.element_at(share, F.col("lang"))
+    return docs.where((F.xxhash64("text").bitwiseAND(0x7FFFFFFF) / float(1 << 31)) < F.element_at(share, F.col("lang"))).select("lang", "text")
+
+
+def sample_counts(drawn: DataFrame) -> list[tuple[str, np.ndarray]]:
+    """Languages and counts of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [r.astype(np.float32).tobytes() for r in gram_counts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "counts"])
 
-    picked = docs.where(draw).select("lang", "text").mapInArrow(run, "lang string, counts binary").collect()
+    picked = drawn.mapInArrow(run, "lang string, counts binary").collect()
     return [(r["lang"], np.frombuffer(r["counts"], np.float32)) for r in picked]
 
 
@@ -108,6 +121,40 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centre
 
 
+def measured(drawn: DataFrame, model: Model) -> list[tuple[int, int, float]]:
+    """Centroid, class of length and cosine of the sample's texts, whole and cut, each with the nearest of its language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(model.names)
+        for batch in batches:
+            for cut in [*CUTS, None]:
+                some = batch if cut is None else batch.filter(pc.greater(pc.utf8_length(batch.column(1)), cut))
+                texts = some.column(1) if cut is None else pc.utf8_slice_codeunits(some.column(1), 0, cut)
+                counts = gram_counts(texts)
+                cosine = weighted(counts, model.idf) @ model.centres.T
+                cosine[np.array(some.column(0).to_pylist(), object)[:, None] != names] = -1
+                best = np.argmax(cosine, axis=1)
+                good = counts.any(axis=1) & (cosine.max(axis=1) >= 0)
+                out = best, length_class(counts), cosine.max(axis=1).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in out], names=["centre", "size", "cosine"])
+
+    rows = drawn.mapInArrow(run, "centre long, size long, cosine double").collect()  # the sample's size times the cuts
+    return [(r["centre"], r["size"], r["cosine"]) for r in rows]
+
+
+def floors_of(names: list[str], seen: list[tuple[int, int, float]], slack: float, low: float) -> np.ndarray:
+    """The floor of each centroid and class of length."""
+    centre, size, cosine = (np.array(x) for x in zip(*seen, strict=True)) if seen else (np.zeros(0),) * 3
+    out = np.zeros((len(names), CLASSES))
+    for c, name in enumerate(names):
+        kin = np.isin(centre, [k for k, other in enumerate(names) if other == name])
+        for n in range(CLASSES):
+            own, all_ = cosine[(centre == c) & (size == n)], cosine[kin & (size == n)]
+            some = own if len(own) >= FEW else all_
+            out[c, n] = slack * np.quantile(some, low) if len(some) >= FEW else out[c, n - 1] if n else 0.0
+    return out
+
+
 class Model:
     def __init__(self, idf: np.ndarray, names: list[str], centres: np.ndarray, floors: np.ndarray):
         self.idf, self.names, self.centres, self.floors = idf, names, centres, floors
@@ -117,42 +164,40 @@ class Model:
         if not self.names:
             return [UNKNOWN] * len(column), np.zeros(len(column)), [True] * len(column)
         lettered = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
-        cosine = weighted(gram_counts(column), self.idf) @ self.centres.T
+        counts = gram_counts(column)
+        cosine = weighted(counts, self.idf) @ self.centres.T
         best = np.argmax(cosine, axis=1)
         score = np.clip(cosine[np.arange(len(best)), best].astype(np.float64), 0.0, 1.0)
-        rejected = ~lettered | (score < self.floors[best])
+        rejected = ~lettered | (score < self.floors[best, length_class(counts)])
         lang = [self.names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
         return lang, np.where(lettered, score, 0.0), rejected.tolist()
 
 
 def fit(
     docs: DataFrame, training: Column, text: str = "text", lang: str = "lang", per_language: int = 500, most: int = 4000,
-    centroids: int = 4, slack: float = 0.35,
+    centroids: int = 4, slack: float = 0.7, low: float = 0.1,
 ) -> Model:
     """training: which rows may be learned from."""
     textkit.bounded_batches(docs.sparkSession)
     rows = docs.where(training & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     seen, n = document_frequency(rows.select("text"))
     idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
-    drawn = sample(rows, per_language, most) if n else []
     names: list[str] = []
-    centres, floors = [], []
-    for name in sorted({l for l, _ in drawn}):
-        counts = np.stack([c for l, c in drawn if l == name])
+    centres = []
+    drawn = sample(rows, per_language, most) if n else None
+    picked = sample_counts(drawn) if n else []
+    for name in sorted({l for l, _ in picked}):
+        counts = np.stack([c for l, c in picked if l == name])
         counts = counts[counts.any(axis=1)]
         if not len(counts):
             continue
-        x = weighted(counts, idf)
-        own = clusters(x, centroids)
-        cosine = x @ own.T
-        member = np.argmax(cosine, axis=1)
-        for c in range(len(own)):
-            mine = cosine[member == c, c]
-            names.append(name)
-            centres.append(own[c])
-            floors.append(slack * float(mine.min()) if len(mine) else 0.0)
-    low = min(floors, default=0.0)
-    return Model(idf, names, np.array(centres, np.float32), np.full(len(floors), low))
+        own = clusters(weighted(counts, idf), centroids)
+        names += [name] * len(own)
+        centres += list(own)
+    model = Model(idf, names, np.array(centres, np.float32), np.zeros((len(names), CLASSES)))
+    if names:
+        model.floors = floors_of(names, measured(drawn, model), slack, low)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -288,6 +288,41 @@ def test_held_out_accuracy(spark):
     assert lang.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
 
 
+def unlearned_texts(size):
+    """Texts of about `size` characters in other languages and scripts, code, and noise."""
+    rng = random.Random(size)
+    words = {
+        "Finnish": "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan oikeuksiltaan heille on annettu järki omatunto heidän toimittava toisiaan kohtaan veljeyden hengessä",
+        "Polish": "wszyscy ludzie rodzą się wolni równi pod względem swej godności swych praw są oni obdarzeni rozumem sumieniem powinni postępować wobec innych duchu braterstwa",
+        "Turkish": "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl vicdana sahiptirler birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler",
+        "Russian": "все люди рождаются свободными и равными в своем достоинстве правах они наделены разумом совестью должны поступать отношении друг друга духе братства",
+        "Greek": "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια τα δικαιώματα είναι προικισμένοι με λογική συνείδηση οφείλουν να συμπεριφέρονται",
+    }
+    for text in words.values():
+        for _ in range(10):
+            yield " ".join(rng.choice(text.split()) for _ in range(size // 8))
+    for _ in range(10):
+        yield "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(size))
+        yield "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(size))
+        yield "".join(f"if (x{rng.randrange(99)} != NULL) fn_ptr[{rng.randrange(99)}] = ykz; " for _ in range(size // 35))
+
+
+def test_rejection_of_unlearned_languages_and_loss_of_clean_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    # some short and mislabelled texts must not open the bar for all
+    bad = spark.createDataFrame([(-k, t, "en") for k, t in enumerate(["x", "q z", *unlearned_texts(400)][:6], 1)], "doc_id long, text string, lang string")
+    learned = docs.where("doc_id % 4 <> 2").select("doc_id", "text", "lang").unionByName(bad)
+    model = centroid_language.fit(learned, F.lit(True))
+    clean = [r.text for r in docs.where("doc_id % 4 = 2").collect()]
+    shares = {}
+    for size in (120, 400, 2000):
+        foreign = model.predict(pa.array(list(unlearned_texts(size)), pa.string()))[2]
+        cut = model.predict(pa.array([t[:size] for t in clean], pa.string()))[2]
+        shares[size] = np.mean(foreign), np.mean(cut)
+    whole = np.mean(model.predict(pa.array(clean, pa.string()))[2])
+    assert all(foreign > 0.95 and lost < 0.03 for foreign, lost in shares.values()) and whole < 0.02, (shares, whole)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     n = docs.count()
