@@ -3,7 +3,8 @@
 A line (lower case, one space for white space, 0 for digits) that stands in at least `least` different texts of a host
 and in at least `share` of the host's different texts is taken for furniture. Its words don't count; a document that
 keeps less than `remain` of its words is depleted and rejected, as is one that fails the base rules. Copies are one text
-here, so a document isn't depleted by its own copies. Lines travel as 64-bit hashes, texts don't travel at all.
+here, so a document isn't depleted by its own copies. Lines travel as 64-bit hashes; for judge(), texts don't travel at
+all. clean() returns the texts without these lines, from the same removals that judge() counts.
 
 Null and empty texts have no words and fail the base rules. A null host is a host of its own. Rows with a null or
 repeated key have results of their own. An empty table gives an empty result. Other columns are ignored, whatever their
@@ -76,12 +77,13 @@ def frequent_lines(lines: DataFrame, texts: DataFrame, least: int, share: float)
     return spread.join(texts, "host").where(F.col("n_texts") >= share * F.col("host_texts")).select("host", "line")
 
 
-def judge(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = 20, share: float = 0.02, remain: float = 0.2
-) -> DataFrame:
-    """key, the five base numbers, base_failed, removed_words and kept; one row per row of docs."""
-    own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(text, F.lit("")).alias("text"))
-    cut = own.select("id", "host", F.xxhash64("text").alias("body"), F.posexplode(worded_lines(F.col("text"))).alias("pos", "raw"))
+def own_rows(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    return docs.select(F.col(key).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def removals(docs: DataFrame, key: str, text: str, host: str, least: int, share: float) -> DataFrame:
+    """gid, ghost, gbody (hash of the text), removed_words and places of the frequent lines among the lines with words, of the texts that have any."""
+    cut = own_rows(docs, key, text, host).select("id", "host", F.xxhash64("text").alias("body"), F.posexplode(worded_lines(F.col("text"))).alias("pos", "raw"))
     lines = materialise(
         cut.select("id", "host", "body", "pos", F.xxhash64(normal_line(F.col("raw"))).alias("line"), F.size(words_of(F.col("raw"))).alias("n")), "lines"
     )
@@ -89,11 +91,42 @@ def judge(
     often = materialise(frequent_lines(lines, texts, least, share), "often")
     # rows that are equal in key and text share one entry here, and repeated lines of a text count each time
     gone = lines.join(often, ["host", "line"]).select("id", "host", "body", "pos", "n").distinct()
-    gone = materialise(gone.groupBy("id", "host", "body").agg(F.sum("n").alias("removed_words")), "gone")
+    gone = gone.groupBy("id", "host", "body").agg(F.sum("n").alias("removed_words"), F.collect_list("pos").alias("places"))
+    return materialise(gone.select(F.col("id").alias("gid"), F.col("host").alias("ghost"), F.col("body").alias("gbody"), "removed_words", "places"), "gone")
+
+
+def same_text() -> Column:
+    return F.col("id").eqNullSafe(F.col("gid")) & (F.col("host") == F.col("ghost")) & (F.col("body") == F.col("gbody"))
+
+
+def without_lines(rows: DataFrame) -> DataFrame:
+    """rows with the text without those of its lines with words that stand at `places`, the others in order."""
+    split = rows.withColumn("parts", F.split("text", "\n"))
+    worded = F.filter(F.transform("parts", lambda line, i: F.when(F.length(trimmed(line)) > 0, i)), lambda i: i.isNotNull())
+    held = split.withColumn("worded", worded)
+    out = held.withColumn("out", F.transform("places", lambda p: F.get(F.col("worded"), p)))
+    left = out.withColumn("left", F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("out")))
+    return left.withColumn("text", F.array_join(F.transform("left", lambda i: F.get(F.col("parts"), i)), "\n"))
+
+
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = 20, share: float = 0.02) -> DataFrame:
+    """key and the text without its frequent lines; one row per row of docs, null texts stay null."""
+    gone = removals(docs, key, text, host, least, share)
+    none = docs.where(F.col(text).isNull()).select(F.col(key).alias("id"), F.lit(None).cast("string").alias("text"))
+    some = own_rows(docs.where(F.col(text).isNotNull()), key, text, host).withColumn("body", F.xxhash64("text"))
+    # texts with nothing to remove keep their bytes
+    made = without_lines(some.join(gone, same_text(), "left").withColumn("whole", F.when(F.col("places").isNull(), F.col("text"))))
+    out = made.select("id", F.coalesce("whole", "text").alias("text")).unionByName(none)
+    return out.select(F.col("id").alias(key), F.col("text").alias(text))
+
+
+def judge(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = 20, share: float = 0.02, remain: float = 0.2
+) -> DataFrame:
+    """key, the five base numbers, base_failed, removed_words and kept; one row per row of docs."""
+    lost = removals(docs, key, text, host, least, share).drop("places")
     base = base_features(docs, key, text, host)
-    lost = gone.select(F.col("id").alias("gid"), F.col("host").alias("ghost"), F.col("body").alias("gbody"), "removed_words")
-    match = F.col("id").eqNullSafe(F.col("gid")) & (F.col("host") == F.col("ghost")) & (F.col("body") == F.col("gbody"))
-    out = base.join(lost, match, "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+    out = base.join(lost, same_text(), "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("removed_words") < remain * F.col("n_words")
     return out.select(

@@ -282,6 +282,19 @@ def test_queries_against_sql(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, cur.fetchall()))
 
 
+def test_frequent_lines_are_removed(spark):
+    words = "one two three four five six seven eight nine ten eleven"
+    rows = [(k, f"Share  this page {k}\n\n{words} {'abcdefghij'[k % 10]}{'klm'[k // 10]}\n \nshare this page 7\nEnd x{'abcdefghij'[k % 10]}{'klm'[k // 10]}\n", "a", "x") for k in range(30)]
+    rows += [(5, rows[5][1], "a", "x"), (None, rows[6][1], "a", "x"), (90, None, "a", "x"), (91, "", "a", "x"), (92, "Share this page 1", None, "x"), (93, "share this page 1", "a", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, id string").repartition(3)
+    got = sorted((str(r.doc_id), r.text) for r in line_frequency.clean(docs).collect())
+    kept = lambda t: "\n".join(x for x in t.split("\n") if not x.lower().startswith("share"))
+    assert got == sorted(((str(k), t if k in (90, 92) else kept(t)) for k, t, _, _ in rows), key=lambda r: (r[0], r[1] or ""))
+    judged = {r.doc_id: r for r in line_frequency.judge(docs).collect()}
+    cleaned = {k: len(t.split()) for k, t in got if t is not None}
+    assert all(r.n_words - r.removed_words == cleaned.get(str(k), 0) for k, r in judged.items())
+
+
 def test_held_out_accuracy(spark):
     docs = queries.documents(spark, SF)
     lang = queries.op4_centroid_language(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
