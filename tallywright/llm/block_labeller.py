@@ -10,7 +10,8 @@ the page. Labels come from the pages' own markup where it is explicit, and from
 main blocks and other blocks are set into furniture of many kinds (menus, headers, side bars, notices, adverts, forms,
 comments), so that the network has seen kinds that the pages at hand lack.
 
-Null and empty pages have no blocks and an empty text. Scripts, styles and comments of the markup are never blocks.
+Null and empty pages have no blocks and an empty text. Scripts, styles and comments of the markup are never blocks, nor
+are templates, frames, noscript parts, titles and text fields; words of drawings, formulas and objects are.
 Every row has one result, repeated rows and rows with a null key too. An empty table gives an empty result. Other
 columns are ignored, whatever their names.
 """
@@ -37,7 +38,7 @@ HIDDEN = 16
 
 #: Comments, elements whose content isn't markup, and tags with quoted attributes.
 TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|object|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<(?!title\b[^>]*/>)(script|style|noscript|template|iframe|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
     r"""|<[!?][^>]*>|</?[a-zA-Z][^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*>""",
     re.DOTALL | re.IGNORECASE,
 )
@@ -45,6 +46,9 @@ NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9-]*)")
 MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 PART = re.compile(r"[a-z]+|[0-9]+")
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Drawings, formulas and embedded objects stand in a line of text; their words are words of the block around them.
+INLINE |= set("svg g defs use symbol path circle ellipse line rect polygon polyline text tspan textpath desc lineargradient radialgradient stop clippath mask title object".split())
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mtable mtr mtd semantics annotation".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag of the first ends an open one of these.
 CLOSES = {
@@ -346,6 +350,23 @@ def remade(main: list[str], other: list[str], rng: random.Random) -> tuple[str,
     return "<body>" + "".join(parts) + "</body>", [" ".join(t.split()) for t in chosen]
 
 
+#: Blocks of a window of training; and of a batch, padding included, so that long pages are learned in few rows at a time.
+WINDOW, BATCH = 2_000, 6_400
+
+
+def batches(data: list[tuple[np.ndarray, np.ndarray]], size: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """data in runs of at most `size` pages and BATCH padded blocks; data is sorted by length, roughly."""
+    out: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    longest = 0
+    for d in data:
+        longest = max(longest, len(d[0]))
+        if not out or len(out[-1]) == size or longest * (len(out[-1]) + 1) > BATCH:
+            out.append([])
+            longest = len(d[0])
+        out[-1].append(d)
+    return out
+
+
 def train(pages: list[str], rounds: int = 6, seed: int = 5, rate: float = 0.02, size: int = 32) -> Labeller:
     rng = random.Random(seed)
     data: list[tuple[np.ndarray, np.ndarray]] = []
@@ -356,7 +377,8 @@ def train(pages: list[str], rounds: int = 6, seed: int = 5, rate: float = 0.02,
         main += [b[0] for b, good in zip(found, y, strict=True) if good]
         other += [b[0] for b, good in zip(found, y, strict=True) if not good]
         if found:
-            data.append((positioned(vectors(found)), y))
+            x = positioned(vectors(found))
+            data += [(x[k : k + WINDOW], y[k : k + WINDOW]) for k in range(0, len(y), WINDOW)]
     if main and other:
         for _ in range(2 * len(pages)):
             found = blocks(remade(main, other, rng)[0])
@@ -365,13 +387,13 @@ def train(pages: list[str], rounds: int = 6, seed: int = 5, rate: float = 0.02,
     for turn in range(rounds):
         rng.shuffle(data)
         data.sort(key=lambda d: len(d[0]) // 8)
-        starts = list(range(0, len(data), size))
-        rng.shuffle(starts)
-        for i in starts:
-            x, mask = padded([d[0][:200] for d in data[i : i + size]])
+        groups = batches(data, size)
+        rng.shuffle(groups)
+        for group in groups:
+            x, mask = padded([d[0] for d in group])
             y = np.zeros(mask.shape, np.float32)
-            for row, (_, label) in enumerate(data[i : i + size]):
-                y[row, : len(label[:200])] = label[:200]
+            for row, (_, label) in enumerate(group):
+                y[row, : len(label)] = label
             net.learn(x, mask, y, rate * (0.5 if turn >= rounds // 2 else 1))
     return net
 

@@ -270,6 +270,21 @@ def test_pages():
     assert kept.tolist() == [False, True, True, False] and block_labeller.blocks(page)
 
 
+def test_drawings_formulas_and_objects_lose_no_words():
+    page = "<p>One <svg width='2'/><svg><title/></svg> two <math/> three</p><p>Four <object data='x'>five<p>Six <math><mi>x</mi><mo>=</mo><mn>2</mn></math> seven</p><svg><title/><path d='M'></svg><p>Eight</p><svg><p>Nine"
+    assert [b[0] for b in block_labeller.blocks(page)] == ["One two three", "Four five", "Six x=2 seven", "Eight", "Nine"]
+    assert [b[0] for b in block_labeller.blocks("<p>A</p><script>x <p>B</p></script><style>c</style><template><p>D</p></template><p>E")] == ["A", "E"]
+
+
+def test_training_reads_every_block_of_a_long_page(monkeypatch):
+    seen = []
+    learn = block_labeller.Labeller.learn
+    monkeypatch.setattr(block_labeller.Labeller, "learn", lambda self, x, mask, y, rate: (seen.append((int(mask.sum()), mask.size, float(y.sum()))), learn(self, x, mask, y, rate))[1])
+    pages = ["<article>" + "<p>main words</p>" * n + "</article>" for n in (3, 250, 5_000)]
+    block_labeller.train(pages, rounds=1)
+    assert sum(n for n, _, _ in seen) == sum(y for _, _, y in seen) == 5_253 and max(size for _, size, _ in seen) <= block_labeller.BATCH
+
+
 @pytest.mark.parametrize("name", ["op1_line_frequency", "op8_bbit_minhash"])
 def test_queries_against_sql(spark, name):
     import duckdb
