@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -24,42 +25,68 @@ STOPWORDS = [
 ]
 
 
+# fixed values: the first syllable, and how many vowels and tails a lead is written with
+HANGUL, VOWELS, TAILS = 0xAC00, 21, 28
+
+
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str, dict[str, str]]:
-    """(accented, plain, multi): compatibility forms without combining marks, over the basic plane.
+    """(accented, plain, multi): compatibility forms without combining marks, over all planes.
 
     `accented[i]` folds to `plain[i]`; combining marks sit behind the end of `plain`, which is how translate() is told
-    to delete them. `multi` spells a character with several. Hangul syllables, which only come apart into their letters,
-    stay whole.
+    to delete them. `multi` spells a character with several. Hangul syllables are computed and in no table.
     """
     single: dict[str, str] = {}
     multi: dict[str, str] = {}
     marks = []
-    for point in [*range(0xA0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x10000)]:
+    for point in [*range(0xA0, HANGUL), *range(0xD7A4, 0xD800), *range(0xF900, sys.maxunicode + 1)]:
         char = chr(point)
-        if unicodedata.combining(char):
-            marks.append(char)
-            continue
         flat = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if flat == char or not flat:
+        if flat == char:
             continue
-        if len(flat) == 1:
+        if not flat:
+            marks.append(char)
+        elif len(flat) == 1:
             single[char] = flat
         else:
             multi[char] = flat
     return "".join([*single, *marks]), "".join(single.values()), multi
 
 
+def _letters_of_syllable(char: Column) -> Column:
+    """Lead, vowel and tail of one Hangul syllable."""
+    at = F.ascii(char) - HANGUL
+
+    def letter(first: int, n: int, i: Column) -> Column:
+        return F.get(F.array(*[F.lit(chr(first + k)) for k in range(n)]), i.cast("int"))
+
+    tail = F.when(at % TAILS == 0, F.lit("")).otherwise(letter(0x11A7, TAILS, at % TAILS))
+    return F.concat(letter(0x1100, 19, F.floor(at / (VOWELS * TAILS))), letter(0x1161, VOWELS, F.floor(at / TAILS) % VOWELS), tail)
+
+
 def fold_accents(text: Column) -> Column:
-    """Compatibility fold without combining marks."""
+    """Compatibility fold without combining marks.
+
+    ASCII texts are returned as they are. Characters that are spelled with several are looked for by translate(), whose
+    table is hashed, and only the rows that hold one, or a Hangul syllable, are taken apart.
+    """
     accented, plain, multi = _fold_table()
-    rare = "[" + "".join(multi) + "]"
+    rare = "".join(multi)
+    syllable = "[\uac00-\ud7a3]"
     table = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")  # one folded literal
     spelled = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.when(c.rlike(rare), F.element_at(table, c)).otherwise(c)), ""
+        F.transform(
+            F.split(text, ""),
+            lambda c: F.when(F.octet_length(c) < 2, c)
+            .when(F.translate(c, rare, "") == "", F.element_at(table, c))
+            .when(c.between("\uac00", "\ud7a3"), _letters_of_syllable(c))
+            .otherwise(c),
+        ),
+        "",
     )
-    # only the few rows that hold such a character are taken apart
-    return F.translate(F.when(text.rlike(rare), spelled).otherwise(text), accented, plain)
+    holds = (F.length(F.translate(text, rare, "")) < F.length(text)) | text.rlike(syllable)
+    folded = F.translate(F.when(holds, spelled).otherwise(text), accented, plain)
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def squeeze(text: Column) -> Column:

@@ -1,5 +1,7 @@
 """Distributed ranks, samples and choices against their plain definitions."""
 
+import sys
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -182,3 +184,17 @@ def test_strides_never_repeat(spark):
     got = choices.with_offsets(ms, "s", ["id"], F.col("m"), 4).groupBy("id", "m").agg(F.collect_set("o").alias("o")).collect()
     assert len(got) == 600
     assert all(len(r.o) == 4 and 0 <= min(r.o) and max(r.o) < r.m for r in got)
+
+
+def test_folding_of_every_character(spark):
+    points = [p for p in range(1, sys.maxunicode + 1) if not 0xD800 <= p < 0xE000]
+    texts = ["".join(map(chr, points[i : i + 2000])) for i in range(0, len(points), 2000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fold_accents(F.col("t")).alias("f")).collect()
+    for r in got:
+        want = "".join(c for c in unicodedata.normalize("NFKD", texts[r.i]) if not unicodedata.combining(c))
+        assert r.f == want, hex(ord(texts[r.i][0]))
+
+
+def test_folding_beyond_the_basic_plane(spark):
+    r = spark.createDataFrame([("𝐀 한글 값 𝒞 😀 ｶﾞ",)], "t string").select(fold_accents(F.col("t")).alias("f")).first()
+    assert r.f == "".join(c for c in unicodedata.normalize("NFKD", "𝐀 한글 값 𝒞 😀 ｶﾞ") if not unicodedata.combining(c)) and r.f.startswith("A ")
