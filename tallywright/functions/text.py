@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -41,6 +42,8 @@ def _fold_table() -> tuple[str, str, dict[str, str]]:
     marks = []
     for point in [*range(0xA0, HANGUL), *range(0xD7A4, 0xD800), *range(0xF900, sys.maxunicode + 1)]:
         char = chr(point)
+        if not (unicodedata.combining(char) or unicodedata.decomposition(char)):
+            continue
         flat = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
         if flat == char:
             continue
@@ -53,12 +56,17 @@ def _fold_table() -> tuple[str, str, dict[str, str]]:
     return "".join([*single, *marks]), "".join(single.values()), multi
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it, also behind pushed-down filters."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _letters_of_syllable(char: Column) -> Column:
     """Lead, vowel and tail of one Hangul syllable."""
     at = F.ascii(char) - HANGUL
 
     def letter(first: int, n: int, i: Column) -> Column:
-        return F.get(F.array(*[F.lit(chr(first + k)) for k in range(n)]), i.cast("int"))
+        return F.get(F.split(F.lit(" ".join(chr(first + k) for k in range(n))), " "), i.cast("int"))
 
     tail = F.when(at % TAILS == 0, F.lit("")).otherwise(letter(0x11A7, TAILS, at % TAILS))
     return F.concat(letter(0x1100, 19, F.floor(at / (VOWELS * TAILS))), letter(0x1161, VOWELS, F.floor(at / TAILS) % VOWELS), tail)
@@ -72,21 +80,25 @@ def fold_accents(text: Column) -> Column:
     """
     accented, plain, multi = _fold_table()
     rare = "".join(multi)
-    syllable = "[\uac00-\ud7a3]"
     table = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")  # one folded literal
-    spelled = F.array_join(
-        F.transform(
-            F.split(text, ""),
+
+    def spelled(t: Column) -> Column:
+        letters = F.transform(
+            F.split(t, ""),
             lambda c: F.when(F.octet_length(c) < 2, c)
             .when(F.translate(c, rare, "") == "", F.element_at(table, c))
             .when(c.between("\uac00", "\ud7a3"), _letters_of_syllable(c))
             .otherwise(c),
-        ),
-        "",
-    )
-    holds = (F.length(F.translate(text, rare, "")) < F.length(text)) | text.rlike(syllable)
-    folded = F.translate(F.when(holds, spelled).otherwise(text), accented, plain)
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
+        )
+        return F.array_join(letters, "")
+
+    def fold(t: Column) -> Column:
+        holds = (F.length(F.translate(t, rare, "")) < F.length(t)) | t.rlike("[\uac00-\ud7a3]")
+        return F.when(F.octet_length(t) == F.length(t), t).otherwise(
+            F.translate(F.when(holds, spelled(t)).otherwise(t), accented, plain)
+        )
+
+    return let(text, fold)
 
 
 def squeeze(text: Column) -> Column:
@@ -153,8 +165,7 @@ def flat(text: Column) -> Column:
 
 def gives_away(answer: Column, prompt: Column) -> Column:
     """Does the prompt already contain the answer, on flattened whole words?"""
-    key = flat(answer)
-    return (F.trim(key) != "") & F.contains(flat(prompt), key)
+    return let(flat(answer), lambda key: (F.trim(key) != "") & F.contains(flat(prompt), key))
 
 
 def bare_word(word: Column) -> Column:

@@ -87,10 +87,12 @@ def picked_excerpts(
         starts = _starts(b, n, 1)
         if fill and notes is not None:
             starts = F.filter(starts, lambda s: informative_excerpt(notes(window_text(b, s, n))))
+        if limit is None:
+            return F.transform(starts, lambda s: _window(b, s, n))
         ranked = F.sort_array(
             F.transform(starts, lambda s: F.struct(seeded_key(seed, F.col(key), F.lit(n), s).alias("h"), s.alias("s")))
         )
-        return F.transform(ranked if limit is None else F.slice(ranked, 1, limit), lambda r: _window(b, r["s"], n))
+        return F.transform(F.slice(ranked, 1, limit), lambda r: _window(b, r["s"], n))
 
     out = _explode_windows(records, bars, [picked(n) for n in sizes])
     if notes is not None and not fill:

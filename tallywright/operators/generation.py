@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.hashing import seeded_key, seeded_number
-from tallywright.functions.text import gives_away, is_content_word, is_missing, words_of
+from tallywright.functions.text import gives_away, is_content_word, is_missing, let, words_of
 from tallywright.operators.choices import pick_other_values
 from tallywright.operators.excerpts import (
     COUNT_BARS,
@@ -209,13 +209,19 @@ def cloze_items(
     once in the line are blanked, each in an item of its own."""
     rows = _numbered(records, key, lines, {"name": name}).where(below(F.col("i"), limit))
     split = rows.withColumn("ws", words_of(F.col("line"))).where(F.size("ws") >= 4)
-    spots = F.filter(
-        F.transform("ws", lambda w, j: F.struct(seeded_key(seed, F.col("record"), F.col("i"), j).alias("h"), j.alias("j"), w.alias("w"))),
-        lambda s: (s["j"] > 0)
-        & (s["j"] < F.size("ws") - 1)
-        & is_content_word(s["w"])
-        & (F.size("ws") - F.size(F.array_remove("ws", s["w"])) == 1),
-    )
+    # equal words are neighbours once sorted, so a word that occurs once differs from both of its own
+    placed = F.array_sort(F.transform("ws", lambda w, j: F.struct(w.alias("w"), j.alias("j"))))
+
+    def single(ps: Column) -> Column:
+        def other(p: Column, i: Column) -> Column:
+            return ~F.get(ps, i)["w"].eqNullSafe(p["w"])
+
+        last = F.size(ps) - 1
+        alone = F.filter(ps, lambda p, i: other(p, i - 1) & other(p, i + 1))
+        inner = F.filter(alone, lambda p: (p["j"] > 0) & (p["j"] < last) & is_content_word(p["w"]))
+        return F.transform(inner, lambda p: F.struct(seeded_key(seed, F.col("record"), F.col("i"), p["j"]).alias("h"), p["j"].alias("j"), p["w"].alias("w")))
+
+    spots = let(placed, single)
     cut = split.withColumn("s", F.explode(F.slice(F.sort_array(spots), 1, BLANKS_PER_LINE)))
     return cut.select(
         *item(

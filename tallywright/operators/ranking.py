@@ -26,6 +26,15 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key before they are cut into many more.
+
+    The session's number of shuffle partitions is named, since adaptive execution, which sees only the size before the
+    cut, would merge partitions whose number isn't.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def running_sum(
     df: DataFrame,
     strata: Sequence[str],

@@ -19,6 +19,7 @@ from tallywright.plans.item_queries import (
     parts,
     records,
 )
+from tallywright.operators.ranking import deal
 from tallywright.plans.registry import load, query
 from tallywright.plans.sampling_queries import split, split_sql
 from tallywright.plans.sqlkit import gives_away, md5, number, words
@@ -475,7 +476,7 @@ def _grams(table: str, key: str) -> str:
 
 
 def worded(spark: SparkSession, sf: str, table: str, key: str) -> DataFrame:
-    return load(spark, sf, table).select(key, F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("ws"))
+    return deal(load(spark, sf, table).select(key, "text"), key).select(key, F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("ws"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions.text import STOPWORDS, lines_of
 from tallywright.operators import excerpts, generation, sampling
+from tallywright.operators.ranking import deal
 from tallywright.plans.registry import load, query
 from tallywright.plans.sqlkit import gives_away, lines, md5, number, words
 
@@ -14,8 +15,11 @@ SIZES = [2, 4, 8]
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as records: lines are bars, the title is the last line's first word."""
-    docs = load(spark, sf, "documents").select("doc_id", "text", "lang", lines_of(F.col("text")).alias("ls"))
+    """Documents as records: lines are bars, the title is the last line's first word.
+
+    Records are dealt by id before they are cut: what is cut from them is many times their size and never moves.
+    """
+    docs = deal(load(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id").select("doc_id", "text", "lang", lines_of(F.col("text")).alias("ls"))
     title = F.coalesce(F.regexp_extract(F.get("ls", F.size("ls") - 1), r"^(\S+)", 1), F.lit(""))
     return docs.withColumn("title", title).withColumn("name", F.concat("title", F.lit(" "), "doc_id"))
 
@@ -64,7 +68,7 @@ def excerpt_owners(spark: SparkSession, sf: str) -> DataFrame:
 )
 def word_gram_owners(spark: SparkSession, sf: str) -> DataFrame:
     """Eight-word grams over whole texts and how many documents hold each."""
-    docs = load(spark, sf, "documents").select("doc_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("ws"))
+    docs = deal(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("ws"))
     grams = excerpts.sliding_excerpts(docs, "ws", [8])
     return excerpts.excerpt_owners(grams, "doc_id").groupBy("n_owners").agg(F.count(F.lit(1)).alias("n_grams"))
 
