@@ -14,6 +14,7 @@ from tallywright.llm import (
     byte_bpe,
     centroid_language,
     line_frequency,
+    merkle,
     minhash,
     packing,
     ppm,
@@ -90,6 +91,55 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = [F.translate(c, merkle.UPPER, merkle.UPPER.lower()) if c == "text" else F.col(c) for c in fields]
+    forged = F.when(fold(F.col("doc_id"), 3) == 0, merkle.leaf(tampered)).alias("forged")
+    proofs = merkle.prove(documents(spark, sf_dir), merkle.leaf([F.col(c) for c in fields]), carry=[forged])
+    checked = merkle.folded(proofs.withColumn("start", F.coalesce("forged", "digest")), "start")
+    text = {c: F.lower(F.hex(c)) for c in ("digest", "subroot", "root", "folded")}
+    return checked.select(
+        "doc_id", text["digest"].alias("leaf"), text["subroot"].alias("subroot"), text["root"].alias("root"),
+        F.sha2(F.lower(F.hex("others")), 256).alias("proof_sha256"), text["folded"].alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
+def op11_oracle() -> str:
+    """DuckDB SQL: runs of eight become digests level by level; a path is folded upwards one run at a time."""
+
+    def item(c: str) -> str:
+        v = f"CAST({c} AS VARCHAR)"
+        return f"coalesce(octet_length(encode({v})) || ':' || {v}, '-')"
+
+    def digest(text: str) -> str:
+        return "sha256(" + " || ".join(item(text if c == "text" else c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+    def levels(source: str) -> str:
+        return f"""SELECT 0 AS l, lang, i, h, n FROM {source} UNION ALL
+  SELECT any_value(l) + 1, lang, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM {{0}} WHERE n > 1 GROUP BY lang, i // 8"""
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = "list_reduce(list_prepend(4294967295, [CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(k AS INT), 1)) AS BIGINT) FOR k IN range(1, length(CAST(doc_id AS VARCHAR)) + 1)]), lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(x AS BIGINT) FOR x IN range(8)]), lambda c, d: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    return f"""
+WITH RECURSIVE leaves AS MATERIALIZED (SELECT doc_id, lang, {digest('text')} AS h, CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN {digest(lower)} END AS forged,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+low AS ({levels('leaves').format('low')}),
+sub AS MATERIALIZED (SELECT lang AS own, h, 0 AS lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS ({levels('sub').format('high')}),
+nodes AS MATERIALIZED (SELECT 0 AS side, l, lang, i, h, n FROM low UNION ALL SELECT 1, l, NULL, i, h, n FROM high),
+steps AS MATERIALIZED (SELECT lang, i AS leaf_i, 0 AS side, i, n FROM leaves),
+climb AS (SELECT doc_id, d.lang, d.h AS leaf, coalesce(forged, d.h) AS cur, 0 AS side, 0 AS l, d.i, d.n, '' AS proof, s.i AS si, s.n AS sn, s.h AS subroot
+  FROM leaves d JOIN sub s ON s.own IS NOT DISTINCT FROM d.lang
+  UNION ALL
+  SELECT doc_id, lang, leaf, CASE WHEN n > 1 THEN sha256(coalesce(lft, '') || cur || coalesce(rgt, '')) ELSE cur END, CASE WHEN n > 1 THEN side ELSE 1 END, CASE WHEN n > 1 THEN l + 1 ELSE 0 END,
+    CASE WHEN n > 1 THEN i // 8 ELSE si END, CASE WHEN n > 1 THEN (n + 7) // 8 ELSE sn END, CASE WHEN n > 1 THEN proof || coalesce(lft, '') || coalesce(rgt, '') ELSE proof END, si, sn, subroot
+  FROM (SELECT c.*, string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < c.i) AS lft, string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > c.i) AS rgt
+    FROM climb c LEFT JOIN nodes x ON x.side = c.side AND x.l = c.l AND x.lang IS NOT DISTINCT FROM CASE WHEN c.side = 0 THEN c.lang END AND x.i // 8 = c.i // 8 AND c.n > 1
+    WHERE NOT (c.side = 1 AND c.n = 1) GROUP BY ALL))
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = r.h AS verified
+FROM climb, (SELECT h FROM high WHERE n = 1) r WHERE side = 1 AND climb.n = 1"""
+
+
 def op8_oracle(percent: int = 80) -> str:
     """DuckDB SQL for the groups: exact links between different sets of word pairs, then least reachable keys."""
     return rf"""
@@ -119,8 +169,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bbit_minhash": op8_bbit_minhash,
     "op9_dp_packing": op9_dp_packing,
     "op10_ppm": op10_ppm,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op1_line_frequency": line_frequency.oracle(), "op8_bbit_minhash": op8_oracle()}
+ORACLES: dict[str, str] = {"op1_line_frequency": line_frequency.oracle(), "op8_bbit_minhash": op8_oracle(), "op11_merkle_manifest": op11_oracle()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
