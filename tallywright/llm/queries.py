@@ -16,13 +16,16 @@ from tallywright.llm import (
     line_frequency,
     merkle,
     minhash,
+    negatives,
     packing,
     ppm,
     pu_quality,
     quartile_digest,
     secret_tests,
+    warc,
 )
 from tallywright.llm.textkit import documents, fold
+from tallywright.session import scratch_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -140,6 +143,41 @@ SELECT doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, cur AS
 FROM climb, (SELECT h FROM high WHERE n = 1) r WHERE side = 1 AND climb.n = 1"""
 
 
+def op12_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = scratch_path(spark, "warc")
+    warc.write(pages, path)
+    back = warc.records(spark, path)
+    key = pages.schema["page_id"].dataType
+    return back.select(F.col("key").cast(key).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(key).alias("refers_to"), "intact")
+
+
+def op13_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table, F.col("vec_id") % 100 == 0, label=label)
+
+
+OP13_ORACLE = """
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum([x[1] * x[2] FOR x IN list_zip(a.q, b.q)]) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS MATERIALIZED (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+
+#: A payload's digest and length decide which records are equal.
+OP12_ORACLE = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS DISTINCT FROM page_id AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to, TRUE AS intact FROM m"""
+
+
 def op8_oracle(percent: int = 80) -> str:
     """DuckDB SQL for the groups: exact links between different sets of word pairs, then least reachable keys."""
     return rf"""
@@ -170,8 +208,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_dp_packing": op9_dp_packing,
     "op10_ppm": op10_ppm,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_zip_warc": op12_zip_warc,
+    "op13_kronecker_negatives": op13_kronecker_negatives,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op1_line_frequency": line_frequency.oracle(), "op8_bbit_minhash": op8_oracle(), "op11_merkle_manifest": op11_oracle()}
+ORACLES: dict[str, str] = {"op1_line_frequency": line_frequency.oracle(), "op8_bbit_minhash": op8_oracle(), "op11_merkle_manifest": op11_oracle(), "op12_zip_warc": OP12_ORACLE, "op13_kronecker_negatives": OP13_ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
