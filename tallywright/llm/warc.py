@@ -178,16 +178,17 @@ def directory(file: Ranges, length: int) -> list[Member]:
     ends = length - reach + at
     if ends >= 20:
         locator = file.read_at(20, ends - 20)
-        if locator[:4] == LOCATOR64 and (count == 0xFFFF or WIDE in (size, offset)):
-            stated = struct.unpack_from("<Q", locator, 8)[0]
-            record = file.read_at(56, stated)
-            if record[:4] != END64:  # shifted: the record ends at the locator
-                stated = ends - 20 - 56
-                record = file.read_at(56, stated)
-            if record[:4] != END64:
-                raise ValueError("no ZIP64 end of the central directory")
-            count, size, offset = struct.unpack_from("<QQQ", record, 32)
-            ends = stated
+        if locator[:4] == LOCATOR64:
+            # where the locator says, or, if something stands before the file, right before the locator
+            for at in (struct.unpack_from("<Q", locator, 8)[0], ends - 20 - 56):
+                record = file.read_at(56, at) if 0 <= at <= length - 56 else b""
+                if record[:4] == END64:
+                    count, size, offset = struct.unpack_from("<QQQ", record, 32)
+                    ends = at
+                    break
+            else:
+                if count == 0xFFFF or WIDE in (size, offset):
+                    raise ValueError("no ZIP64 end of the central directory")
     shift = ends - size - offset
     central = file.read_at(size, offset + shift)
     members, p = [], 0

@@ -30,8 +30,8 @@ def brute(rows):
     return sorted(out)
 
 
-def mined(spark, rows, **sizes):
-    table = spark.createDataFrame([(*r, 1, 2, "p", 3) for r in rows], SCHEMA).repartition(3)
+def mined(spark, data, **sizes):
+    table = spark.createDataFrame([(*r, 1, 2, "p", 3) for r in data], SCHEMA).repartition(3)
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     got = negatives.mine(table, F.col("vec_id") % 100 == 0, label=label, **sizes)
     return sorted(tuple(r) for r in got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
