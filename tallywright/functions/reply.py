@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallywright.functions.text import WORD, contains_whole_word, norm_answer, squeeze
+from tallywright.functions.text import contains_whole_word, let, norm_answer, squeeze
 
 # fixed values: phrases that decline to answer
 REFUSAL = [
@@ -24,6 +24,7 @@ NEGATE = ["tidak", "bukan", "kurang", "belum"]
 # fixed values: share of agreement that still counts as the same text
 PASS_RATIO = 0.80
 
+# fixed values: patterns that a reply is read by
 THINK = r"(?is)<think>(.*?)</think>"
 NUMBER = r"-?\d+"
 MELODY = r"[#b]*[0-7][',]*_*\.?|-|\|"
@@ -95,20 +96,27 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(norm_answer(text), " "), lambda t: t != "")
 
 
-def token_f1_arrays(p: Column, g: Column) -> Column:
-    """Multiset overlap F1 of two token arrays of a row.
+def occurrences(tokens: Column) -> Column:
+    """Each token with the number of equal ones before it: distinct texts, as many as there are tokens."""
 
-    Each distinct common token scans both arrays once, so this is for short texts; token_f1_pairs is linear.
-    """
-    ps, gs = F.sort_array(p), F.sort_array(g)
-    uniq = F.array_intersect(ps, gs)
+    def numbered(ts: Column) -> Column:
+        starts = F.filter(F.transform(ts, lambda t, i: F.when(F.coalesce(F.get(ts, i - 1) != t, F.lit(True)), i)), lambda i: i.isNotNull())
+
+        def runs(at: Column) -> Column:
+            def one(s: Column, j: Column) -> Column:
+                n = F.coalesce(F.get(at, j + 1), F.size(ts)) - s
+                return F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.get(ts, s), F.lit("\u0000"), k.cast("string")))
+
+            return F.flatten(F.transform(at, one))
 
-    def times(arr: Column, t: Column) -> Column:
-        return F.size(arr) - F.size(F.array_remove(arr, t))
+        return let(starts, runs)
 
-    common = F.aggregate(
-        uniq, F.lit(0), lambda acc, t: acc + F.least(times(ps, t), times(gs, t))
-    ).cast("double")
+    return let(F.sort_array(tokens), numbered)
+
+
+def token_f1_arrays(p: Column, g: Column) -> Column:
+    """Multiset overlap F1 of two token arrays of a row: one sort of each, and one hashed intersection."""
+    common = F.size(F.array_intersect(occurrences(p), occurrences(g))).cast("double")
     n_p, n_g = F.size(p), F.size(g)
     return (
         F.when((n_p == 0) | (n_g == 0), F.when((n_p == 0) & (n_g == 0), F.lit(1.0)).otherwise(F.lit(0.0)))

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
+#: Stands at word ends in a marked text.
+EDGE = "\u0001"
 
 # fixed values: cells that mean "the source leaves this blank"
 MISSING = ["", "-", "–", "—"]
@@ -145,16 +147,18 @@ def blank_to_empty(text: Column, values: list[str] = MISSING) -> Column:
     return F.when(clean.isin(values), F.lit("")).otherwise(clean)
 
 
+def marked(text: Column) -> Column:
+    """The text with a mark at both ends and around every character that is no part of a word."""
+    return F.concat(F.lit(EDGE), F.regexp_replace(text, rf"([^{WORD}])", f"{EDGE}$1{EDGE}"), F.lit(EDGE))
+
+
 def contains_whole_word(hay: Column, needle: Column) -> Column:
     """Literal needle bounded by non-word characters.
 
-    The plain contains() test comes first, so a pattern is compiled only for
-    rows that hold the needle at all.
+    Between marks, word ends are characters like others, so no pattern is made from the needle; what is marked is
+    marked by one constant pattern, and only for rows that hold the needle at all.
     """
-    quoted = F.concat(
-        F.lit(rf"(^|[^{WORD}])\Q"), F.replace(needle, F.lit("\\E"), F.lit("")), F.lit(rf"\E([^{WORD}]|$)")
-    )
-    return F.contains(hay, needle) & F.regexp_like(hay, quoted)
+    return F.contains(hay, needle) & F.contains(marked(hay), marked(needle))
 
 
 def flat(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions.hashing import seeded_number
+from tallywright.functions.text import norm_loose
 from tallywright.operators.ranking import join_null_safe, running_sum, seeded_rank
 
 
@@ -106,18 +107,24 @@ def tiered_distractors(
 ) -> DataFrame:
     """(key, level, others): k other names from the tightest tier that has k.
 
-    tiers: (label, columns), tight to loose; names are unique. Each tier costs
-    one ranking of the records, and each record k lookups in its own tier.
+    tiers: (label, columns), tight to loose. Names that read alike once normalised are one candidate of a tier's group,
+    that of the least key, and no record is offered a name like its own. Each tier costs one ranking of its candidates,
+    and each record k lookups in its own tier.
     """
-    ranked = records
-    for i, (_, cols) in enumerate(tiers):
-        ranked = seeded_rank(ranked, list(cols), [key], seed, out=f"__p{i}", total=f"__m{i}", counts_from=records)
+    ranked = records.withColumn("__like", norm_loose(F.col(name)))
+    index = None
     level, pos, m, group = F.lit(None), F.lit(None), F.lit(None), F.lit(None)
 
     def group_key(cols: Sequence[str]) -> Column:
         parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols]
         return F.concat_ws("\u0001", *parts)
 
+    for i, (_, cols) in enumerate(tiers):
+        alike = ranked.groupBy(*cols, "__like").agg(F.min(key).alias(key), F.min_by(name, key).alias("__name"))
+        placed = seeded_rank(alike, list(cols), [key], seed, out=f"__p{i}", total=f"__m{i}", counts_from=alike)
+        entry = placed.select("__name", F.lit(i).alias("tier"), group_key(cols).alias("grp"), F.col(f"__p{i}").alias("pos"))
+        index = entry if index is None else index.unionByName(entry)
+        ranked = join_null_safe(ranked, placed.select(*cols, "__like", f"__p{i}", f"__m{i}"), [*cols, "__like"])
     for i in reversed(range(len(tiers))):
         fits = F.col(f"__m{i}") - 1 >= k
         level = F.when(fits, F.lit(i)).otherwise(level)
@@ -130,13 +137,6 @@ def tiered_distractors(
     asks = with_offsets(chosen, seed, [key], F.col("m") - 1, k).select(
         key, "tier", "grp", "j", ((F.col("own") + F.col("o")) % F.col("m") + 1).alias("pos")
     )
-    entry = F.array(
-        *[
-            F.struct(F.lit(i).alias("tier"), group_key(cols).alias("grp"), F.col(f"__p{i}").alias("pos"))
-            for i, (_, cols) in enumerate(tiers)
-        ]
-    )
-    index = ranked.select(F.col(name).alias("__name"), F.explode(entry).alias("e")).select("__name", "e.*")
     picked = fetch(asks, index, [key, "tier"], ["tier", "grp"], "__name", "others")
     labels = F.array(*[F.lit(label) for label, _ in tiers])
     return picked.select(key, F.element_at(labels, (F.col("tier") + 1).cast("int")).alias("level"), "others")

@@ -7,12 +7,14 @@ the rows of one bucket are sorted together. The result equals the plain window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.hashing import seeded_key
+from tallywright.functions.text import let
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -111,19 +113,44 @@ def seeded_top(df: DataFrame, strata: Sequence[str], key: Sequence[str], seed: i
     return df.withColumn("__rn", F.row_number().over(window)).where(F.col("__rn") <= k).drop("__rn")
 
 
-def id_bucket(df: DataFrame, key: str, buckets: int = 4096) -> Column:
-    """Ordered bucket of a numeric key: equal widths between its least and greatest value."""
-    span = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi")).alias("s"))
-    lo = span.select(F.col("s.lo")).scalar()
-    hi = span.select(F.col("s.hi")).scalar()
-    return F.floor((F.col(key) - lo) / (F.floor((hi - lo) / buckets) + 1)).cast("bigint")
+def quantile_cuts(df: DataFrame, order: Sequence[str], buckets: int = 4096) -> DataFrame:
+    """One row: boundaries that cut the rows in the order of these columns, numbers or texts, into even ranges.
+
+    The distinct rows are dealt into slots by a hash of the columns, and the one with the least hash stays of each, which
+    is an even draw of as many rows as there are slots. Only hashes are aggregated; the rows are picked by a broadcast of
+    one hash per slot. The boundaries come in sqrt(buckets) groups, for a search in two steps.
+    """
+    side = math.isqrt(buckets)
+    hashed = df.select(*order, F.xxhash64(*order).alias("__h"))
+    least = hashed.groupBy(F.pmod("__h", F.lit(side * side)).alias("__slot")).agg(F.min("__h").alias("__h")).select("__h")
+    picked = hashed.join(F.broadcast(least), "__h", "left_semi").select(F.struct(*order).alias("k")).distinct()
+    cuts = picked.agg(F.array_sort(F.collect_list("k")).alias("a"))
+    return cuts.select(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.slice("a", i * side + 1, F.lit(side))).alias("groups"))
+
+
+def range_bucket(df: DataFrame, order: Sequence[str], buckets: int = 4096, out: str = "__b") -> DataFrame:
+    """Adds a bucket that never decreases along `order`: the number of boundaries that are not above the row.
+
+    One outlier or a long common prefix changes nothing, since boundaries are drawn from the rows themselves. Columns
+    after the first deal out its equal values.
+    """
+    side = math.isqrt(buckets)
+    groups, row = F.col("__cuts"), F.struct(*order)
+    ahead = F.size(F.filter(groups, lambda g: F.get(g, F.lit(0)) <= row))
+
+    def within(i: Column) -> Column:
+        return (i - 1) * side + F.size(F.filter(F.get(groups, i - 1), lambda cut: cut <= row))
+
+    place = let(ahead, lambda i: F.when(i > 0, within(i)).otherwise(F.lit(0))).cast("bigint")
+    cuts = quantile_cuts(df, order, buckets).scalar()  # a column first: functions over arrays take no subquery
+    return df.withColumn("__cuts", cuts).withColumn(out, place).drop("__cuts")
 
 
 def ordered_rank(
     df: DataFrame, strata: Sequence[str], key: str, out: str = "rn", total: str | None = None, buckets: int = 4096
 ) -> DataFrame:
-    """1-based rank by a unique numeric key, whole or within strata."""
-    bucketed = df.withColumn("__b", id_bucket(df, key, buckets))
+    """1-based rank by a unique key, number or text, whole or within strata."""
+    bucketed = range_bucket(df, [key], buckets)
     ranked = running_sum(bucketed, strata, "__b", [key], out=out, total=total)
     return ranked.withColumn(out, F.col(out) + 1).drop("__b")
 
@@ -131,12 +158,12 @@ def ordered_rank(
 def previous_row(
     df: DataFrame, strata: Sequence[str], key: str, carry: Sequence[str], buckets: int = 4096
 ) -> DataFrame:
-    """Adds prev_<c> from the row before in numeric key order.
+    """Adds prev_<c> from the row before in key order.
 
     lag() runs inside one bucket; the first row of a bucket takes the last row
     of the nearest earlier bucket, from a table of one row per bucket.
     """
-    bucketed = df.withColumn("__b", id_bucket(df, key, buckets))
+    bucketed = range_bucket(df, [key], buckets)
     inside = Window.partitionBy(*strata, "__b").orderBy(key)
     row = F.struct(*[F.col(c).alias(c) for c in carry])
     lagged = bucketed.withColumn("__prev", F.lag(row).over(inside))

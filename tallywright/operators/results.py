@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.operators.ranking import join_null_safe, running_sum
+from tallywright.operators.ranking import join_null_safe, range_bucket, running_sum
 
 OVERALL = "overall"
 # fixed values: items that count as noise between runs; points that make a gain real
@@ -310,7 +310,7 @@ def completeness_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def titles_by_owner(records: DataFrame, owner: str, title: str) -> DataFrame:
     """(owner, position, title, n_titles): an owner's titles in order, as rows;
     a cell per owner would grow with the owner."""
-    bucketed = records.select(owner, title).withColumn("__b", F.substring(title, 1, 12))
+    bucketed = range_bucket(records.select(owner, title), [title, owner])
     ranked = running_sum(bucketed, [owner], "__b", [title], out="position", total="n_titles").drop("__b")
     return ranked.withColumn("position", F.col("position") + 1)
 
@@ -337,14 +337,17 @@ def projected_cost(probes: DataFrame, rates: DataFrame, steps: int) -> DataFrame
     """(card, rate, hours, usd, cheapest): a probe scaled to the whole run.
 
     probes: card, seconds_per_step; rates: key, usd_per_hour. The rate is that
-    of the longest key the card's name contains, zero without one. The rate
-    table is a price list: its rows are folded into one array.
+    of the longest key the card's name contains, zero without one.
     """
-    listed = rates.agg(
-        F.sort_array(F.collect_list(F.struct(F.length("key").alias("n"), "key", "usd_per_hour")), asc=False).alias("r")
-    ).scalar()
-    fits = F.filter(F.col("__rates"), lambda r: F.contains(F.lower("card"), F.lower(r["key"])))
-    rated = probes.withColumn("__rates", listed).withColumn("rate", F.coalesce(F.get(fits, F.lit(0))["usd_per_hour"], F.lit(0.0)))
+    # every part of a name that is as long as some key meets the keys; no array of prices is copied to each row
+    lengths = rates.agg(F.collect_set(F.length("key"))).scalar()
+    low = F.lower("card")
+    parts = F.flatten(F.transform("__lengths", lambda n: F.transform(
+        F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: i + n - 1 <= F.length(low)), lambda i: F.substr(low, i, n))))
+    asked = probes.select("card").distinct().withColumn("__lengths", lengths).select("card", F.explode(F.array_distinct(parts)).alias("__part"))
+    keyed = rates.select(F.lower("key").alias("__part"), F.struct(F.length("key"), "key").alias("__long"), "usd_per_hour")
+    fits = asked.join(keyed, "__part").groupBy("card").agg(F.max_by("usd_per_hour", "__long").alias("__usd"))
+    rated = join_null_safe(probes, fits, ["card"], "left").withColumn("rate", F.coalesce("__usd", F.lit(0.0)))
     hours = F.col("seconds_per_step") * steps / 3600
     priced = rated.select("card", "rate", F.round(hours, 6).alias("hours"), F.round(hours * F.col("rate"), 6).alias("usd"))
     cheapest = priced.where("rate > 0").agg(F.min_by("card", F.struct("usd", "card")).alias("c")).scalar()

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.functions.hashing import gram_key
-from tallywright.operators.ranking import join_null_safe, running_sum, seeded_rank, seeded_top
+from tallywright.functions.hashing import gram_key, seeded_key
+from tallywright.operators.ranking import join_null_safe, range_bucket, running_sum, seeded_rank, seeded_top
 
 
 def stratified_split(
@@ -99,8 +99,8 @@ def waterfill(df: DataFrame, category: str, target: int) -> DataFrame:
     counts = df.groupBy(category).agg(F.count(F.lit(1)).alias("supply"))
     if target == 0:
         return counts.withColumn("seats", F.col("supply"))
-    bucketed = counts.withColumn("__b", F.floor(F.log2("supply")).cast("bigint"))
     order = ["supply", category]
+    bucketed = range_bucket(counts, order)
     pos = running_sum(bucketed, [], "__b", order, out="__before", total="__m")
     filled = running_sum(pos, [], "__b", order, weight=F.col("supply"), out="__taken")
     quota = F.floor((F.lit(target) - F.col("__taken")) / (F.col("__m") - F.col("__before")))
@@ -125,13 +125,26 @@ def waterfill_sample(df: DataFrame, category: str, key: Sequence[str], target: i
     return take_seats(df, waterfill(df, category, target), [category], key, seed)
 
 
-def carve_validation(df: DataFrame, key: Sequence[str], seed: int | str, percent: int = 5) -> DataFrame:
-    """Adds `part`: max(1, floor(n * percent / 100)) rows become validation."""
-    ranked = seeded_rank(df, [], key, seed, out="__rn", total="__n")
-    held = F.greatest(F.lit(1), F.floor(F.col("__n") * percent / F.lit(100)))
-    return ranked.withColumn(
-        "part", F.when(F.col("__rn") <= held, F.lit("validation")).otherwise(F.lit("train"))
-    ).drop("__rn", "__n")
+def carve_validation(df: DataFrame, key: Sequence[str], seed: int | str, percent: int = 5, digits: int = 4) -> DataFrame:
+    """Adds `part`: max(1, floor(n * percent / 100)) rows become validation.
+
+    Selection instead of sorting: a histogram of the digests' leading digits tells which bucket holds the last row to be
+    held out, only that bucket is sorted, and all rows are then compared with its digest. Rows with one key share a part.
+    """
+    digest = df.select(*key, seeded_key(seed, *[F.col(k) for k in key]).alias("__h")).withColumn("__b", F.substring("__h", 1, digits))
+    counts = digest.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy("__b"))  # a row per bucket
+    whole = counts.agg(F.sum("__c").alias("n")).scalar()
+    wanted = F.greatest(F.lit(1), F.floor(whole * percent / F.lit(100)))
+    edge = counts.select("__b", "__c", upto.alias("__upto")).where(F.col("__upto") >= wanted).agg(
+        F.min_by(F.struct("__b", (F.col("__upto") - F.col("__c")).alias("before")), "__b").alias("e")
+    )
+    bucket, before = edge.select("e.__b").scalar(), edge.select("e.before").scalar()
+    row = F.struct("__h", *key)
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *key))
+    last = digest.where(F.col("__b") == bucket).withColumn("__rn", place).where(F.col("__rn") == wanted - before).agg(F.max(row).alias("r")).scalar()
+    own = F.struct(seeded_key(seed, *[F.col(k) for k in key]).alias("__h"), *key)
+    return df.withColumn("part", F.when(F.coalesce(own <= last, F.lit(False)), F.lit("validation")).otherwise(F.lit("train")))
 
 
 def held_out_subset_check(full: DataFrame, held: DataFrame, record: str, question: str) -> DataFrame:
@@ -148,7 +161,7 @@ def held_out_subset_check(full: DataFrame, held: DataFrame, record: str, questio
     ).withColumn("ok", (F.col("outside") == 0) & (F.col("remaining") > 0) & (F.col("shared_questions") == 0))
 
 
-def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def first_of_group(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
     """The row of each key that comes first in `order`.
 
     An aggregate rather than a window: equal rows shrink on the map side, so a
@@ -156,19 +169,20 @@ def first_of_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     """
     row = F.struct(*[F.col(c) for c in df.columns])
     rank = F.struct(*[F.col(c) for c in order])
-    return df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
+    return df.groupBy(*[(F.col(k) if isinstance(k, str) else k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(
         F.min_by(row, rank).alias("r")
     ).select("r.*")
 
 
 def dedupe_items(items: DataFrame, order: Sequence[str], question: str = "question", answer: str = "answer") -> DataFrame:
-    return first_of_group(items, [question, answer], order)
+    """The first item of each question and answer, which meet as digests."""
+    return first_of_group(items, [gram_key(F.col(question)), gram_key(F.col(answer))], order)
 
 
 def dedupe_choice_items(items: DataFrame, order: Sequence[str]) -> DataFrame:
     """The same for choice items: question plus the sorted option texts."""
-    keyed = items.withColumn("__o", F.to_json(F.sort_array(F.map_values("options"))))
-    return first_of_group(keyed, ["question", "__o"], order).drop("__o")
+    options = F.to_json(F.sort_array(F.map_values("options")))
+    return first_of_group(items, [gram_key(F.col("question")), gram_key(options)], order)
 
 
 def clashing_questions(items: DataFrame, question: str = "question", answer: str = "answer") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import reply as R
 from tallywright.functions.hashing import seeded_number
-from tallywright.functions.text import WORD, contains_whole_word, norm_answer
+from tallywright.functions.text import WORD, marked, norm_answer
 from tallywright.operators.pairs import sequence_pass
 from tallywright.operators.ranking import join_null_safe, ordered_rank, seeded_rank
 
@@ -99,13 +99,14 @@ def rival_hits(preds: DataFrame, key: Sequence[str], rivals: DataFrame) -> DataF
 
     preds: key, category, p, g (normalised reply and gold). A reply is cut into
     word n-grams of the lengths its rivals have and meets them in an equi join,
-    so cost follows the replies and not replies times rivals. Hits are checked
-    against the exact rule afterwards.
+    so cost follows the replies and not replies times rivals. Symbols and word
+    ends are then tested on marked texts, spelled once per reply and rival: no
+    pattern is made from a rival.
     """
     word = rf"[{WORD}]+"
     spelled = F.regexp_extract_all("rival", F.lit(word), F.lit(0))
     keyed = rivals.where("rival <> ''").select(
-        "category", "rival", F.size(spelled).alias("n"), F.array_join(spelled, " ").alias("gram")
+        "category", "rival", F.size(spelled).alias("n"), F.array_join(spelled, " ").alias("gram"), marked(F.col("rival")).alias("rm")
     )
     lengths = keyed.groupBy("category").agg(F.collect_set("n").alias("lengths"))
     worded = preds.join(lengths, "category").withColumn("ws", F.regexp_extract_all("p", F.lit(word), F.lit(0)))
@@ -122,12 +123,10 @@ def rival_hits(preds: DataFrame, key: Sequence[str], rivals: DataFrame) -> DataF
             )
         )
     )
-    asked = worded.select(*key, "category", "p", "g", F.explode(grams).alias("gram"))
-    met = asked.join(keyed.select("category", "gram", "rival"), ["category", "gram"])
-    judged = met.select(
-        *key,
-        R.rival_named(F.col("p"), F.col("g"), F.col("rival")).alias("names"),
-        ((F.length("rival") > 3) & contains_whole_word(F.col("p"), F.col("rival"))).alias("long"),
+    asked = worded.select(*key, "category", "g", marked(F.col("p")).alias("pm"), F.explode(grams).alias("gram"))
+    met = asked.join(keyed.select("category", "gram", "rival", "rm"), ["category", "gram"])
+    judged = met.where(F.contains("pm", F.col("rm"))).select(
+        *key, (~F.contains("g", F.col("rival"))).alias("names"), (F.length("rival") > 3).alias("long")
     )
     return judged.groupBy(*key).agg(F.bool_or("names").alias("names_rival"), F.bool_or("long").alias("names_long"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.functions.labels import render_chat
-from tallywright.operators import audit, choice_items, choices, excerpts, generation
+from tallywright.operators import audit, choice_items, choices, excerpts, generation, sampling
 from tallywright.plans.item_queries import (
     _INFO,
     _NOTES,
@@ -65,14 +65,14 @@ def stride_sql(m: str, k: int, seed: str, *key: str) -> str:
 MC_SQL = f"""{PARTS}, facts AS (SELECT p_partkey AS record, 'maker' AS category, 'Who makes ' || name || '?' AS question, maker AS answer, '' AS hardness FROM pt WHERE maker <> '-'
   UNION ALL SELECT p_partkey, 'kind', 'Of what kind is ' || name || '?', p_type, '' FROM pt
   UNION ALL SELECT p_partkey, 'size', 'What size is ' || name || '?', CAST(p_size AS VARCHAR), 'outside values' FROM pt),
-dom AS (SELECT category, answer, row_number() OVER (PARTITION BY category ORDER BY {md5('mc1', 'answer')}, answer) AS pos, count(*) OVER (PARTITION BY category) AS m
+dom AS MATERIALIZED (SELECT category, answer, row_number() OVER (PARTITION BY category ORDER BY {md5('mc1', 'answer')}, answer) AS pos, count(*) OVER (PARTITION BY category) AS m
   FROM (SELECT category, answer FROM facts UNION SELECT 'size', unnest({OUTSIDE}))),
-oth AS (SELECT record, a.category, j, d.answer AS other FROM (SELECT f.record, f.category, j, (pos + {stride_sql('m - 1', 4, 'mc1', 'f.record', 'f.category')}) % m + 1 AS want
+oth AS MATERIALIZED (SELECT record, a.category, j, d.answer AS other FROM (SELECT f.record, f.category, j, (pos + {stride_sql('m - 1', 4, 'mc1', 'f.record', 'f.category')}) % m + 1 AS want
   FROM facts f JOIN dom USING (category, answer), (SELECT unnest(range(4)) AS j) WHERE m - 1 >= 4) a JOIN dom d ON d.category = a.category AND d.pos = a.want),
-opt AS (SELECT f.record || '-' || f.category AS uid, f.record, f.category, question, answer, hardness, text,
+opt AS MATERIALIZED (SELECT f.record || '-' || f.category AS uid, f.record, f.category, question, answer, hardness, text,
   substr('ABCDE', CAST(row_number() OVER (PARTITION BY f.record, f.category ORDER BY {md5('place', "f.record || '-' || f.category", 'text')}, text) AS INT), 1) AS letter
   FROM facts f JOIN (SELECT record, category, other AS text FROM oth UNION ALL SELECT record, category, answer FROM facts) o ON o.record = f.record AND o.category = f.category),
-mc AS (SELECT uid, record, category, question, answer, hardness, letter AS key FROM opt WHERE text = answer)"""
+mc AS MATERIALIZED (SELECT uid, record, category, question, answer, hardness, letter AS key FROM opt WHERE text = answer)"""
 
 
 @query(
@@ -230,7 +230,9 @@ def line_mc(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {REC}, w AS (SELECT doc_id, name, ls, i, {words('line')} AS ws FROM {_FIRST}),
     sp AS (SELECT *, ws[j + 1] AS a FROM (SELECT *, unnest(range(1, len(ws) - 1)) AS j FROM w WHERE len(ws) >= 5) WHERE length(ws[j + 1]) > 2
       QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY {md5('c1', 'doc_id', 'i', 'j')}) = 1),
-    rs AS (SELECT *, list_distinct([x for x in flatten([{words('l')} for l in ls]) if length(x) > 2 AND lower(x) <> lower(a)]) AS rest FROM sp)
+    vw AS (SELECT DISTINCT doc_id, unnest(flatten([{words('l')} for l in ls])) AS x FROM rec),
+    vo AS (SELECT doc_id, list(x) AS vocab FROM (SELECT * FROM vw WHERE length(x) > 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {md5('c1-words', 'doc_id', 'x')}, x) <= 64) GROUP BY doc_id),
+    rs AS (SELECT sp.*, [x for x in vocab if lower(x) <> lower(a)] AS rest FROM sp JOIN vo USING (doc_id))
     SELECT doc_id || '-cloze-' || i AS uid, 'cloze' AS category, md5(replace(replace({_lit(TEST_TEMPLATES['cloze'][0])}, '{{name}}', name), '{{line}}', array_to_string(list_transform(ws, lambda x, p: CASE WHEN p = j + 1 THEN '____' ELSE x END), ' '))) AS question,
       md5(a) AS answer, {_four('c1', 'doc_id', 'i')} AS others, 'same record' AS hardness FROM rs WHERE len(rest) >= 4""",
 )
@@ -238,6 +240,23 @@ def cloze_mc(spark: SparkSession, sf: str) -> DataFrame:
     return raw_view(choice_items.cloze_mc(records(spark, sf), "doc_id", "name", "ls", TEST_TEMPLATES["cloze"][0], None, "c1"))
 
 
+_TWICE = f"""SELECT uid || CASE x WHEN 0 THEN '' ELSE '-again' END AS uid, category, question, x FROM mc, (VALUES (0), (1)) v(x) WHERE x = 0 OR record % 3 = 0"""
+
+
+@query(
+    "dedupe_choice_items",
+    f"""WITH {MC_SQL}, tw AS ({_TWICE}) SELECT md5(question) AS question, min(tw.uid) AS uid, category FROM tw JOIN (
+      SELECT uid, string_agg(text, '|' ORDER BY text) AS texts FROM opt GROUP BY uid) o ON o.uid = replace(tw.uid, '-again', '') GROUP BY tw.question, texts, category""",
+)
+def dedupe_choice_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third record's items come twice, the second time with their options in another order."""
+    items = mc_items(spark, sf)
+    turned = F.map_from_arrays(F.map_keys("options"), F.reverse(F.map_values("options")))
+    again = items.where("record % 3 = 0").withColumn("uid", F.concat("uid", F.lit("-again"))).withColumn("options", turned)
+    kept = sampling.dedupe_choice_items(items.unionByName(again), ["uid"])
+    return kept.select(F.md5("question").alias("question"), "uid", "category")
+
+
 TARGET = 5700
 BAL_SQL = f"""{MC_SQL}, cc AS (SELECT category, count(*) AS n FROM mc GROUP BY category),
 r1 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {md5('b1', 'uid')}, uid) <= (SELECT {TARGET} // count(*) FROM cc) AS ins FROM mc),
@@ -247,7 +266,7 @@ bal AS (SELECT *, row_number() OVER (ORDER BY {md5('b1-order', 'uid')}, uid) AS
 
 
 def balanced(spark: SparkSession, sf: str) -> DataFrame:
-    return choice_items.balance_to_target(mc_items(spark, sf), TARGET, "b1")
+    return choice_items.balance_to_target(sampling.dedupe_choice_items(mc_items(spark, sf), ["uid"]), TARGET, "b1")
 
 
 @query("balance_to_target", f"WITH {BAL_SQL} SELECT uid, category, key, 'mc-' || lpad(CAST(place AS VARCHAR), greatest(4, length(CAST(place AS VARCHAR)))::INTEGER, '0') AS item_id FROM bal")
@@ -412,11 +431,10 @@ def inferred_source_used(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "ambiguous_title_option",
-    f"WITH {AUD_SQL} SELECT DISTINCT uid, category FROM ao WHERE trim(text) IN (SELECT p_brand FROM part WHERE p_size < 3 GROUP BY p_brand HAVING count(*) > 3)",
+    f"WITH {AUD_SQL} SELECT DISTINCT uid, category FROM ao WHERE trim(text) IN (SELECT p_brand FROM part GROUP BY p_brand HAVING count(DISTINCT p_partkey) > 1)",
 )
 def ambiguous_title_option(spark: SparkSession, sf: str) -> DataFrame:
-    few = load(spark, sf, "part").where("p_size < 3").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).where("n > 3")
-    titles = few.select(F.col("n").alias("record"), F.col("p_brand").alias("title"), F.explode(F.array(F.lit(1), F.lit(2))))
+    titles = load(spark, sf, "part").select(F.col("p_partkey").alias("record"), F.col("p_brand").alias("title"))
     return audit.ambiguous_title_option(audited(spark, sf), titles)
 
 

@@ -195,6 +195,13 @@ def recorded_lists(numbered: DataFrame) -> DataFrame:
     )
 
 
+def recorded_cells(numbered: DataFrame) -> DataFrame:
+    """(id, cell): the recorded names as comma-joined cells, some with a blank behind the comma."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("recorded_at", "file"))), lambda x: x["file"])
+    cells = recorded_lists(numbered).groupBy("id").agg(ordered.alias("files"))
+    return cells.select("id", F.when(F.col("id") % 5 == 3, F.array_join("files", ", ")).otherwise(F.array_join("files", ",")).alias("cell"))
+
+
 @query(
     "compare_file_lists",
     rf"""SELECT id, CASE id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'broken' WHEN 2 THEN 'added'
@@ -205,7 +212,7 @@ def recorded_lists(numbered: DataFrame) -> DataFrame:
 )
 def compare_file_lists(spark: SparkSession, sf: str) -> DataFrame:
     numbered = cleaning.number_files(scan_files(spark, sf))
-    return cleaning.compare_file_lists(numbered, recorded_lists(numbered))
+    return cleaning.compare_file_lists(numbered, cleaning.recorded_files(recorded_cells(numbered)))
 
 
 @query(

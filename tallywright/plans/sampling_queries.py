@@ -209,6 +209,49 @@ def side_leak_gates(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.side_leak_gates(train, test, test.select("unit"), items, "split")
 
 
+_ALL = f"""WITH x AS (SELECT doc_id, pos, question, md5(question || answer) AS unit FROM ({NEXT_SQL})),
+  tr AS (SELECT doc_id AS record, question, unit FROM x WHERE pos % 2 = 0), te AS (SELECT doc_id AS record, question, unit FROM x WHERE pos % 2 = 1)"""
+
+
+@query(
+    "side_leak_gates_all",
+    _ALL
+    + """, g AS (SELECT 'records without a training item' AS gate, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT record FROM tr)) AS value
+    UNION ALL SELECT 'reserved content in training', (SELECT count(*) FROM (SELECT DISTINCT unit FROM tr) JOIN (SELECT DISTINCT unit FROM te) USING (unit))
+    UNION ALL SELECT 'same question on both sides', (SELECT count(*) FROM te WHERE question IN (SELECT question FROM tr)))
+    SELECT gate, value, value = 0 AS passed FROM g""",
+)
+def side_leak_gates_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The regime in which every record is on both sides and only its content is kept apart."""
+    items = next_lines(spark, sf).select(F.col("doc_id").alias("record"), "pos", "question", F.md5(F.concat("question", "answer")).alias("unit"))
+    train, test = items.where("pos % 2 = 0"), items.where("pos % 2 = 1")
+    records = load(spark, sf, "documents").select(F.col("doc_id").alias("record"))
+    return sampling.side_leak_gates(train, test, test.select("unit"), records, "all")
+
+
+@query(
+    "checked_sides",
+    _SIDES
+    + """, kept AS (SELECT * FROM tr WHERE unit NOT IN (SELECT unit FROM te) AND question NOT IN (SELECT question FROM te))
+    SELECT 'train' AS side, record, count(*) AS n FROM kept GROUP BY record UNION ALL SELECT 'test', record, count(*) FROM te GROUP BY record""",
+)
+def checked_sides(spark: SparkSession, sf: str) -> DataFrame:
+    """Items per record of two sides that have passed the leak gates and the gate of the wordings."""
+    from tallywright.operators import gates
+    from tallywright.plans.item_queries import TEMPLATES, TEST_TEMPLATES
+
+    items = next_lines(spark, sf).join(split(spark, sf).select("doc_id", "side"), "doc_id").select(
+        F.col("doc_id").alias("record"), F.md5("question").alias("question"), F.md5(F.concat("question", "answer")).alias("unit"), "side"
+    )
+    test = items.where("side = 'test'")
+    train = items.where("side = 'train'").join(test.select("unit").distinct(), "unit", "left_anti").join(test.select("question").distinct(), "question", "left_anti")
+    wordings = [(k, side, i == 0, w) for side, table in (("train", TEMPLATES), ("test", TEST_TEMPLATES)) for k, ws in table.items() for i, w in enumerate(ws)]
+    templates = spark.createDataFrame(wordings, "category string, side string, is_base boolean, wording string")
+    sides = gates.checked_sides(train, test, test.select("unit"), items, "split", templates)
+    counts = [side.groupBy("record").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("side"), "record", "n") for name, side in zip(("train", "test"), sides, strict=True)]
+    return counts[0].unionByName(counts[1])
+
+
 @query(
     "mixture_summary",
     """SELECT mix, n, round(n / sum(n) OVER (), 6) AS share, n <= 20 OR n / sum(n) OVER () >= 0.03 AS ok FROM

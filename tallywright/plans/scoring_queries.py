@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.functions import reply
 from tallywright.functions.hashing import seeded_number
-from tallywright.functions.text import norm_answer
-from tallywright.operators import choice_items, scoring
+from tallywright.functions.text import lines_of, norm_answer, words_of
+from tallywright.operators import choice_items, gates, provenance, scoring
 from tallywright.plans.base import PRED_SQL, QA_SQL, predictions, qa_items
 from tallywright.plans.choice_queries import MC_SQL, mc_items
 from tallywright.plans.registry import load, query
-from tallywright.plans.sqlkit import edges, md5, norm, number, words
+from tallywright.plans.sqlkit import edges, lines, md5, norm, number, words
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,6 +77,71 @@ def rival_sets(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.rival_sets(qa_items(spark, sf))
 
 
+# every rule of the scorer that has its own reading of a reply, over cases spelled from documents
+
+_CASE_SQL = f"""cs AS (SELECT doc_id, n, line, substr('CDEFGAB', 1 + n % 7, 1) AS x, substr('CDEFGAB', CAST(1 + (n + doc_id) % 7 AS INTEGER), 1) AS y, CAST(n % 8 AS VARCHAR) AS a, CAST((n + 1) % 8 AS VARCHAR) AS b
+  FROM (SELECT doc_id, CAST(len({words('text')}) AS INTEGER) AS n, coalesce(({lines('text')})[1], '') AS line FROM documents)),
+ca AS (SELECT doc_id, 'verifikasi_isi' AS category, ['Itu benar.', 'Tidak benar sama sekali', 'Menurut saya salah', 'Kurang tepat', 'Entahlah', '<think>salah</think> Benar'][1 + doc_id % 6] AS reply,
+    ['Benar, memang begitu.', 'Salah.'][1 + n % 2] AS answer FROM cs
+  UNION ALL SELECT doc_id, 'nada_dasar', ['Nada dasarnya ' || x, x || ' mayor', 'kunci ' || y, x, 'do ' || x || ' atau do ' || y, 'tidak tahu'][1 + doc_id % 6], 'do = ' || x FROM cs
+  UNION ALL SELECT doc_id, 'nada_tertinggi', ['Nada ' || a || chr(39), a || ',', '#' || a || chr(39), 'tidak ada', a || chr(39) || ' itu'][1 + doc_id % 5], a || chr(39) || ' ' || b FROM cs
+  UNION ALL SELECT doc_id, 'judul_ke_baris', ['>> ' || line || ' <<', array_to_string(({words('line')})[1 : (len({words('line')}) + 1) // 2], ' '), line || ' dan lagi sesuatu yang lain sama sekali', ''][1 + doc_id % 4], line FROM cs
+  UNION ALL SELECT doc_id, 'hitung_bar', ['Ada ' || n || ' bar', '1, 2, ' || n, n || ' dari 9', 'tidak tahu'][1 + doc_id % 4], CAST(n AS VARCHAR) FROM cs),
+cr AS MATERIALIZED (SELECT *, {norm('said')} AS p, {norm('answer')} AS g FROM (SELECT *, {edges("regexp_replace(reply, '(?is)<think>.*?</think>', ' ', 'g')")} AS said FROM ca)),
+tk AS (SELECT doc_id, t, sum(sp) AS np, sum(sg) AS ng FROM (SELECT doc_id, unnest(string_split(p, ' ')) AS t, 1 AS sp, 0 AS sg FROM cr WHERE category = 'judul_ke_baris'
+  UNION ALL SELECT doc_id, unnest(string_split(g, ' ')), 0, 1 FROM cr WHERE category = 'judul_ke_baris') WHERE t <> '' GROUP BY doc_id, t),
+f1 AS (SELECT doc_id, 'judul_ke_baris' AS category, sum(least(np, ng)) AS c, sum(np) AS np, sum(ng) AS ng FROM tk GROUP BY doc_id)"""
+_VERDICT = r"'(?:(tidak|bukan|kurang|belum)\s+)?(benar|tepat|salah|keliru)'"
+_JUDGED = f"CASE WHEN regexp_extract({{0}}, {_VERDICT}, 2) = '' THEN NULL ELSE (regexp_extract({{0}}, {_VERDICT}, 2) IN ('benar', 'tepat')) <> (regexp_extract({{0}}, {_VERDICT}, 1) <> '') END"
+_KEY_BEFORE = r"(?:do|nada dasar(?:nya)?|bernada dasar|kunci|key)\s+([a-g])([^a-z]|$)"
+_KEYED = rf"""list_sort(list_distinct(list_concat(regexp_extract_all({{0}}, '{_KEY_BEFORE}', 1),
+  regexp_extract_all(regexp_replace({{0}}, '{_KEY_BEFORE}', '1\2', 'g'), '(?:^|[^a-z])([a-g])\s+(?:mayor|major|minor|mol)(?:[^a-z]|$)', 1))))"""
+_NAMED = f"CASE WHEN len({_KEYED}) = 0 AND regexp_matches({{0}}, '^[a-g]$') THEN [{{0}}] ELSE {_KEYED} END"
+_TONE = r"regexp_extract({0}, '[#b]*[0-7]['',]*_*\.?|-|\|')"
+
+
+@query(
+    "rule_cases",
+    rf"""WITH {_CASE_SQL} SELECT cr.doc_id, cr.category, CAST(CASE WHEN p = g THEN 1 ELSE 0 END AS BIGINT) AS strict, CAST(CASE WHEN coalesce(CASE cr.category
+      WHEN 'verifikasi_isi' THEN {_JUDGED.format('p')} = {_JUDGED.format('g')}
+      WHEN 'nada_dasar' THEN len({_NAMED.format('g')}) > 0 AND {_NAMED.format('p')} = {_NAMED.format('g')}
+      WHEN 'nada_tertinggi' THEN {_TONE.format('said')} <> '' AND {_TONE.format('said')} = {_TONE.format('answer')}
+      WHEN 'hitung_bar' THEN answer = regexp_extract(replace(said, ',', ''), '-?\d+') OR answer = regexp_extract(replace(said, ',', ''), '(-?\d+)[^0-9]*$', 1)
+      ELSE CASE WHEN f1.doc_id IS NULL THEN true WHEN np = 0 OR ng = 0 THEN false ELSE 2.0 * c / (np + ng) >= 0.8 END END, false) THEN 1 ELSE 0 END AS BIGINT) AS lenient
+    FROM cr LEFT JOIN f1 ON f1.doc_id = cr.doc_id AND f1.category = cr.category""",
+)
+def rule_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies of every document for the rules verdict, keys, first note, number and overlap."""
+    cases = rule_replies(spark, sf)
+    rules = {k: v for k, v in scoring.RULES.items() if v != "sequence"}
+    rivals = spark.createDataFrame([], "category string, rival string")  # none of these rules looks at rivals
+    return scoring.score(cases, ["doc_id", "category"], rivals, rules).select("doc_id", "category", "strict", "lenient")
+
+
+def rule_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, category, reply, answer)."""
+    spelled = load(spark, sf, "documents").select("doc_id", F.size(words_of(F.col("text"))).alias("n"), F.coalesce(F.get(lines_of(F.col("text")), F.lit(0)), F.lit("")).alias("line"))
+    n, d, line = F.col("n"), F.col("doc_id"), F.col("line")
+    letter = lambda k: F.substr(F.lit("CDEFGAB"), (1 + k % 7).cast("int"), F.lit(1))
+    x, y = letter(n), letter(n + d)
+    a, b = (n % 8).cast("string"), ((n + 1) % 8).cast("string")
+    ws = words_of(line)
+
+    def case(category: str, replies: list, answers: list) -> Column:
+        texts = [F.array(*[F.lit(t) if isinstance(t, str) else t for t in ts]) for ts in (replies, answers)]
+        said, key = (F.element_at(t, (1 + i % m).cast("int")) for t, i, m in zip(texts, (d, n), (len(replies), len(answers)), strict=True))
+        return F.struct(F.lit(category).alias("category"), said.alias("reply"), key.alias("answer"))
+
+    told = F.array(
+        case("verifikasi_isi", ["Itu benar.", "Tidak benar sama sekali", "Menurut saya salah", "Kurang tepat", "Entahlah", "<think>salah</think> Benar"], ["Benar, memang begitu.", "Salah."]),
+        case("nada_dasar", [F.concat(F.lit("Nada dasarnya "), x), F.concat(x, F.lit(" mayor")), F.concat(F.lit("kunci "), y), x, F.concat(F.lit("do "), x, F.lit(" atau do "), y), "tidak tahu"], [F.concat(F.lit("do = "), x)]),
+        case("nada_tertinggi", [F.concat(F.lit("Nada "), a, F.lit("'")), F.concat(a, F.lit(",")), F.concat(F.lit("#"), a, F.lit("'")), "tidak ada", F.concat(a, F.lit("' itu"))], [F.concat(a, F.lit("' "), b)]),
+        case("judul_ke_baris", [F.concat(F.lit(">> "), line, F.lit(" <<")), F.array_join(F.slice(ws, F.lit(1), F.floor((F.size(ws) + 1) / 2).cast("int")), " "), F.concat(line, F.lit(" dan lagi sesuatu yang lain sama sekali")), ""], [line]),
+        case("hitung_bar", [F.concat(F.lit("Ada "), n, F.lit(" bar")), F.concat(F.lit("1, 2, "), n), F.concat(n, F.lit(" dari 9")), "tidak tahu"], [n.cast("string")]),
+    )
+    return spelled.select("doc_id", F.explode(told).alias("c")).select("doc_id", "c.*")
+
+
 TALLY = f"""{SCORED}, tally AS (SELECT run, category, count(*) AS n, CAST(sum(strict) AS BIGINT) AS strict, CAST(sum(lenient) AS BIGINT) AS lenient FROM scored GROUP BY GROUPING SETS ((run, category), (run)))"""
 
 
@@ -192,17 +257,17 @@ def choice_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _MC_RUNS = ", ".join(f"('{r}', {k})" for r, k in MC_RUNS.items())
-MCS = rf"""{MC_SQL}, mp0 AS (SELECT uid, record, category, key, run, form, oth, CASE WHEN luck < skill THEN key ELSE oth END AS pick FROM (
+MCS = rf"""{MC_SQL}, mp0 AS MATERIALIZED (SELECT uid, record, category, key, run, form, oth, CASE WHEN luck < skill THEN key ELSE oth END AS pick FROM (
   SELECT *, {number('mluck', 'run', 'uid')} % 10 AS luck, substr('ABCDE', CAST(1 + {number('mother', 'run', 'uid')} % 5 AS INT), 1) AS oth, {number('mform', 'run', 'uid')} % 7 AS form FROM mc, (VALUES {_MC_RUNS}) r(run, skill))),
-mp AS (SELECT m.*, CASE form WHEN 0 THEN pick WHEN 1 THEN '**(' || pick || ')** indeed' WHEN 2 THEN 'jawabannya adalah ' || pick || ', surely' WHEN 3 THEN 'it is ' || o.text
+mp AS MATERIALIZED (SELECT m.*, CASE form WHEN 0 THEN pick WHEN 1 THEN '**(' || pick || ')** indeed' WHEN 2 THEN 'jawabannya adalah ' || pick || ', surely' WHEN 3 THEN 'it is ' || o.text
    WHEN 4 THEN 'I pick ' || pick || ' here' WHEN 5 THEN '<think>A or B</think>' || pick || '. yes' ELSE pick || ' or ' || oth END AS reply FROM mp0 m JOIN opt o ON o.uid = m.uid AND o.letter = m.pick),
-mt AS (SELECT *, trim(regexp_replace(regexp_replace(trim(regexp_replace(reply, '(?is)<think>.*?</think>', ' ', 'g')), '[*_`#]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM mp),
+mt AS MATERIALIZED (SELECT *, trim(regexp_replace(regexp_replace(trim(regexp_replace(reply, '(?is)<think>.*?</think>', ' ', 'g')), '[*_`#]+', '', 'g'), '\s+', ' ', 'g')) AS t FROM mp),
 tx AS (SELECT run, mt.uid, length(trim(text)) AS n, letter, row_number() OVER (PARTITION BY run, mt.uid ORDER BY length(trim(text)) DESC, letter DESC) AS rn,
    lead(length(trim(text))) OVER (PARTITION BY run, mt.uid ORDER BY length(trim(text)) DESC, letter DESC) AS nx FROM mt JOIN opt ON opt.uid = mt.uid WHERE contains(lower(t), lower(trim(text)))),
 mr AS (SELECT mt.*, regexp_extract(t, '^\(?([A-E])\)?\s*(?:[.):\-]|$)', 1) AS a, upper(regexp_extract(t, '(?i)(?:jawaban(?:nya)?|pilihan(?:nya)?|answer)\s*(?:adalah|ialah|:|=)?\s*\(?([A-E])\)?(?:[^A-Za-z]|$)', 1)) AS b,
    CASE WHEN nx IS NULL OR n > nx THEN letter END AS c, list_distinct(regexp_extract_all(regexp_replace(t, '([^A-Za-z])', '\1\1', 'g'), '(?:^|[^A-Za-z])([A-E])(?:[^A-Za-z]|$)', 1)) AS d
    FROM mt LEFT JOIN tx ON tx.run = mt.run AND tx.uid = mt.uid AND rn = 1),
-ms AS (SELECT run, uid, record, category, key, choice, CASE WHEN choice = key THEN 1 ELSE 0 END AS correct, CASE WHEN choice <> '' THEN 1 ELSE 0 END AS readable FROM (
+ms AS MATERIALIZED (SELECT run, uid, record, category, key, choice, CASE WHEN choice = key THEN 1 ELSE 0 END AS correct, CASE WHEN choice <> '' THEN 1 ELSE 0 END AS readable FROM (
   SELECT *, CASE WHEN a <> '' THEN a WHEN b <> '' THEN b WHEN c IS NOT NULL THEN c WHEN len(d) = 1 THEN d[1] ELSE '' END AS choice FROM mr))"""
 
 
@@ -230,6 +295,29 @@ def completeness_gate(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.completeness_gate(preds, mc_items(spark, sf), "run", "uid")
 
 
+@query("gated_choices", f"WITH {MCS} SELECT run, category, count(*) AS n, CAST(sum(correct) AS BIGINT) AS correct FROM ms GROUP BY run, category")
+def gated_choices(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of runs that answer every item of the current build; anything else ends the job."""
+    items = mc_items(spark, sf).select("uid", "record", "category", "key", "options")
+    preds = choice_predictions(spark, sf)
+    build = provenance.dataset_fingerprint(items.select("uid", "key"), ["uid", "key"], "mc").select(F.col("label").alias("question_file"), F.hex("xor_digest").alias("sha"))
+    headers = preds.select(F.col("run").alias("file"), F.lit("mc").alias("question_file")).distinct().join(build, "question_file")
+    return gates.scored_choices(preds, items, headers, build, "uid").groupBy("run", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("correct").alias("correct"))
+
+
+@query(
+    "gated_matches",
+    f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY rec, category ORDER BY ord) AS i, count(*) OVER (PARTITION BY rec, category) AS m FROM {_SLOT_KEYS}),
+    p AS (SELECT *, row_number() OVER (PARTITION BY rec, category ORDER BY ord) AS i FROM {_SLOT_PRED})
+    SELECT p.rec, p.category, count(*) AS n, count(DISTINCT gold) AS n_keys FROM p JOIN k ON k.rec = p.rec AND k.category = p.category AND k.i = least(p.i, k.m) GROUP BY ALL""",
+)
+def gated_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions matched by position, if each of them has a key."""
+    preds, keys = slot_preds(spark, sf), slot_keys(spark, sf)
+    matched = gates.passed(scoring.match_by_position(preds, keys, ["rec", "category"], "ord"), gates.matched_gate(preds, keys, ["rec", "category"]))
+    return matched.groupBy("rec", "category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("gold").alias("n_keys"))
+
+
 @query(
     "mc_report",
     f"""WITH {MCS}, l AS (SELECT run, choice, count(*) AS c, row_number() OVER (PARTITION BY run ORDER BY count(*) DESC, choice) AS rn, sum(count(*)) OVER (PARTITION BY run) AS a FROM ms WHERE readable = 1 GROUP BY run, choice)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallywright.operators import provenance
 from tallywright.plans.registry import load, query
 from tallywright.session import scratch_path
-from tallywright.sources import external, records
+from tallywright.sources import external, records, staging
 
 
 @query(
@@ -44,6 +44,53 @@ def scan_jsonl_items(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("item_id", F.md5("text").alias("digest"), header.agg(F.max("version")).scalar().alias("version"))
 
 
+@query("scan_file_per_record", "SELECT doc_id AS id, lang || ' + ' || source AS name, md5(text) AS digest FROM documents")
+def scan_file_per_record(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a file of its own, written, read back, and refused if an id had two files."""
+    path = scratch_path(spark, "file-per-record")
+    docs = load(spark, sf, "documents").select("doc_id", F.concat("lang", F.lit(" + "), "source").alias("name"), "text")
+    records.save_file_per_record(docs, "doc_id", "name", "text", path)
+    files = records.one_file_per_id(records.scan_file_per_record(spark, path))
+    return files.select("id", "name", F.md5("text").alias("digest"))
+
+
+def rebuilt_documents(docs: DataFrame) -> DataFrame:
+    """A second build: some rows gone, some new, some texts other, some rows twice."""
+    kept = docs.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    fresh = docs.where("doc_id % 7 = 0").withColumn("doc_id", -1 - F.col("doc_id"))
+    return kept.unionByName(fresh).unionByName(kept.where("doc_id % 13 = 0"))
+
+
+_CHANGED = """WITH o AS (SELECT doc_id, lang, text FROM documents), k AS (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text FROM o WHERE doc_id % 11 <> 0),
+n AS (SELECT * FROM k UNION ALL SELECT -1 - doc_id, lang, text FROM o WHERE doc_id % 7 = 0 UNION ALL SELECT * FROM k WHERE doc_id % 13 = 0)"""
+
+
+@query(
+    "staged_write_preview",
+    _CHANGED
+    + """, a AS (SELECT doc_id, count(*) AS c, min(text) AS t FROM o GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS c, min(text) AS t FROM n GROUP BY doc_id)
+    SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+    coalesce(a.c, 0) AS old_rows, coalesce(b.c, 0) AS new_rows FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.c <> b.c OR a.t <> b.t""",
+)
+def staged_write_preview(spark: SparkSession, sf: str) -> DataFrame:
+    """What a second build of the documents would change in the published one."""
+    root = scratch_path(spark, "published-documents")
+    docs = load(spark, sf, "documents").select("doc_id", "lang", "text")
+    staging.publish(docs, root, ["doc_id"])
+    return staging.preview(rebuilt_documents(docs), root, ["doc_id"])
+
+
+@query("published_version", _CHANGED + " SELECT lang, count(*) AS n, min(md5(text)) AS lo, max(md5(text)) AS hi, CAST(2 AS BIGINT) AS number FROM n GROUP BY lang")
+def published_version(spark: SparkSession, sf: str) -> DataFrame:
+    """The second build, published over the first and read by its marker."""
+    root = scratch_path(spark, "published-documents")
+    docs = load(spark, sf, "documents").select("doc_id", "lang", "text")
+    first = staging.publish(docs, root, ["doc_id"])
+    number = staging.publish(rebuilt_documents(docs), root, ["doc_id"], base=first, least_kept=0.5)
+    back = staging.read_current(spark, root)
+    return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.md5("text")).alias("lo"), F.max(F.md5("text")).alias("hi")).withColumn("number", F.lit(number).cast("bigint"))
+
+
 @query(
     "scan_run_manifests",
     """SELECT 'user-' || user_id || '-' || (event_id // 500) AS run_id, count(*) AS total_steps, round(sum(value), 4) AS total_s,

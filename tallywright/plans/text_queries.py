@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.functions import labels, reply, text
+from tallywright.functions import contract, labels, reply, text
 from tallywright.functions.hashing import seeded_number
 from tallywright.operators.pairs import token_f1_pairs
 from tallywright.plans.base import PRED_SQL, predictions
@@ -88,18 +88,14 @@ def is_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "contains_whole_word",
-    f"""SELECT doc_id, needle, {whole_word('n', 'needle')} AS hit FROM (
-    SELECT doc_id, n, trim(substr(n, 1, 3)) AS needle FROM (SELECT doc_id, {norm('text')} AS n FROM documents)
-    WHERE trim(substr(n, 1, 3)) <> '')""",
+    f"""WITH n AS MATERIALIZED (SELECT doc_id, {norm('text')} AS n FROM documents), w AS (SELECT doc_id - 1 AS doc_id, trim(substr(n, 1, 3)) AS needle FROM n)
+    SELECT doc_id, needle, {whole_word('n', 'needle')} AS hit FROM n JOIN w USING (doc_id) WHERE needle <> ''""",
 )
 def contains_whole_word(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        load(spark, sf, "documents")
-        .select("doc_id", text.norm_answer(F.col("text")).alias("n"))
-        .withColumn("needle", F.trim(F.substring("n", 1, 3)))
-        .where("needle <> ''")
-        .select("doc_id", "needle", text.contains_whole_word(F.col("n"), F.col("needle")).alias("hit"))
-    )
+    """Each document is asked for the first letters of the next one."""
+    norms = load(spark, sf, "documents").select("doc_id", text.norm_answer(F.col("text")).alias("n"))
+    needles = norms.select((F.col("doc_id") - 1).alias("doc_id"), F.trim(F.substring("n", 1, 3)).alias("needle")).where("needle <> ''")
+    return norms.join(needles, "doc_id").select("doc_id", "needle", text.contains_whole_word(F.col("n"), F.col("needle")).alias("hit"))
 
 
 @query(
@@ -404,6 +400,44 @@ def contract_check(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pages").select("page_id", F.explode(labels.contract_check(rules)).alias("violation"))
 
 
+HOUSE = contract.Contract(directives=("page-key",), fields=("X", "T", "C", "Q", "M", "L", "K"), forbidden=("build-id", "build-file"), excuse="% chords only")
+
+
+def delivered(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, file): notation files with faults of every kind; the bars are the words of a document's first line."""
+    first = F.coalesce(F.get(text.lines_of(F.col("text")), F.lit(0)), F.lit(""))
+    docs = load(spark, sf, "documents").select("doc_id", "lang", F.array_join(text.words_of(first), " | ").alias("bars"))
+    d = F.col("doc_id")
+    title, composer = F.concat(F.lit("T:"), "lang", F.lit("\n")), F.when(d % 4 == 0, F.lit("C:\n")).otherwise(F.lit("C:anon\n"))
+    file = F.concat(
+        F.when(d % 6 == 0, F.lit("%abc-2.0\n")).otherwise(F.lit("%abc-2.1\n")),
+        F.when(d % 5 != 0, F.lit("% page-key do = C\n")).when(d % 10 == 0, F.lit("%% page-key G\n")).otherwise(F.lit("")),
+        F.when(d % 17 == 0, F.lit("%%build-id 7\n")).otherwise(F.lit("")),
+        F.lit("X:1\n"),
+        F.when(d % 7 == 0, F.concat(composer, title)).otherwise(F.concat(title, composer)),
+        F.when(d % 3 == 0, F.lit("")).otherwise(F.lit("Q:1/4=90\n")),
+        F.lit("M:4/4\n"),
+        F.when(d % 9 == 0, F.lit("L:1/16\n")).otherwise(F.lit("L: 1/8 \n")),
+        F.lit("K:C\n| "), "bars",
+        F.when(d % 8 == 0, F.lit("\n% chords only")).otherwise(F.lit("")),
+        F.lit("\nw: a | b | c | d | e | f | g | h | i\n"),
+    )
+    return docs.select("doc_id", file.alias("file"))
+
+
+@query(
+    "contract_rules",
+    f"""WITH f AS (SELECT doc_id AS d, 1 + length(b) - length(replace(b, '|', '')) AS bars FROM (SELECT doc_id, coalesce(array_to_string({words('coalesce(l[1], chr(32))')}, ' | '), '') AS b FROM (SELECT doc_id, {lines('text')} AS l FROM documents)))
+    SELECT d AS doc_id, unnest([r for r in [
+      CASE WHEN d % 6 = 0 THEN 'first line is not the version mark' END, CASE WHEN d % 10 = 5 THEN 'no directive page-key' END,
+      CASE WHEN d % 4 = 0 THEN 'field C is empty' END, CASE WHEN d % 3 = 0 THEN 'no field Q' END, CASE WHEN d % 7 = 0 THEN 'fields out of order' END,
+      CASE WHEN d % 9 = 0 THEN 'field L is not 1/8' END, CASE WHEN d % 17 = 0 THEN 'holds a directive that only the build may write' END,
+      CASE WHEN bars < 8 AND d % 8 <> 0 THEN 'fewer than 8 bar lines' END] if r IS NOT NULL]) AS violation FROM f""",
+)
+def contract_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return delivered(spark, sf).select("doc_id", F.explode(contract.violations(F.col("file"), HOUSE)).alias("violation"))
+
+
 _HOST = "regexp_extract(url, 'https?://([a-z0-9.]*)', 1)"
 
 
@@ -429,6 +463,22 @@ def parse_run_label(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pages").select("page_id", labels.parse_run_label(name).alias("l")).select("page_id", "l.*")
 
 
+@query(
+    "parse_external_label",
+    f"SELECT page_id, {_HOST} AS model, CASE WHEN page_id % 4 IN (1, 3) THEN 'neutral' ELSE 'own' END AS prompt FROM pages",
+)
+def parse_external_label(spark: SparkSession, sf: str) -> DataFrame:
+    host = F.regexp_extract("url", "https?://([a-z0-9.]*)", 1)
+    k = F.col("page_id") % 4
+    name = (
+        F.when(k == 0, F.concat(host, F.lit("--exam.jsonl")))
+        .when(k == 1, F.concat(host, F.lit("-netral--exam.jsonl")))
+        .when(k == 2, F.concat(F.lit("arm-"), host, F.lit("-peluang-opsi--exam.jsonl")))
+        .otherwise(F.concat(host, F.lit("-peluang-netral--exam.jsonl")))
+    )
+    return load(spark, sf, "pages").select("page_id", labels.parse_external_label(name, "exam", ["arm-"]).alias("l")).select("page_id", "l.*")
+
+
 @query(
     "canonicalise_values",
     """WITH m AS (SELECT n_name AS printed, CASE WHEN n_nationkey % 7 = 0 THEN '' ELSE 'NATION_' || (n_nationkey % 5) END AS canonical

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tallywright.functions.text import lines_of, words_of
 from tallywright.operators import lyrics, tunes
+from tallywright.operators.ranking import deal
 from tallywright.plans.registry import load, query
 from tallywright.plans.sqlkit import lines, words
-from tallywright.session import materialise
 
 METERS = ["4/4", "3/4", "C", "6/8", "2+3/8", "none"]
 KEYS = ["C", "G", "Dm", "Bb", "F#", "Am", "Eb mix", "none"]
@@ -59,8 +59,8 @@ def _lyric(ws: Column, i: Column) -> Column:
 
 
 def spelled_tunes(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, lang, tune): no shuffle, one expression per document."""
-    docs = load(spark, sf, "documents").select("doc_id", "lang", lines_of(F.col("text")).alias("ls"))
+    """(doc_id, lang, tune): one expression per document, dealt by document before it is worked out."""
+    docs = deal(load(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id").select("doc_id", "lang", lines_of(F.col("text")).alias("ls"))
     body = F.array_join(
         F.transform(
             "ls",
@@ -118,8 +118,8 @@ FROM documents d LEFT JOIN (SELECT doc_id, string_agg(
 
 # the oracle's own reading of a tune: body lines, tokens, running state
 _BODY_SQL = rf"""tunes AS MATERIALIZED ({TUNES_SQL}),
-all_lines AS (SELECT doc_id, lang, tune, p AS line, trim(ls[p]) AS body, k_at FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS p FROM
-  (SELECT doc_id, lang, tune, string_split(tune, chr(10)) AS ls, list_position([starts_with(x, 'K:') for x in string_split(tune, chr(10))], true) AS k_at FROM tunes))),
+cut AS MATERIALIZED (SELECT doc_id, lang, tune, string_split(tune, chr(10)) AS ls, list_position([starts_with(x, 'K:') for x in string_split(tune, chr(10))], true) AS k_at FROM tunes),
+all_lines AS MATERIALIZED (SELECT doc_id, lang, tune, unnest(range(1, len(ls) + 1)) AS line, trim(unnest(ls)) AS body, k_at FROM cut),
 heads AS (SELECT doc_id, any_value(lang) AS lang, any_value(tune) AS tune, any_value(k_at) AS k_at,
   coalesce(max(CASE WHEN line < k_at AND starts_with(body, 'M:') THEN substr(body, 3) END), '') AS meter,
   coalesce(max(CASE WHEN line = k_at THEN substr(body, 3) END), '') AS key_text FROM all_lines GROUP BY doc_id),
@@ -151,8 +151,9 @@ ev AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY seg) AS bar,
 
 
 def stored_tunes(spark: SparkSession, sf: str) -> DataFrame:
-    """The spelled tunes as a stored table, which is what a corpus is."""
-    return materialise(spelled_tunes(spark, sf), "tunes")
+    """The spelled tunes, dealt by tune: texts are shuffled once and the tokens cut from them stay where they are. No
+    operator works the spelling out again, which lies behind the shuffle."""
+    return deal(spelled_tunes(spark, sf), "doc_id")
 
 
 def _headers(spark: SparkSession, sf: str) -> DataFrame:
@@ -409,8 +410,8 @@ def repair_from_evidence(spark: SparkSession, sf: str) -> DataFrame:
     "self_contradiction_join",
     rf"""WITH {_BODY_SQL}, sy AS (SELECT doc_id, line, pos - 1 AS pos, ts[pos] AS token FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS pos FROM (
       SELECT doc_id, line, [t for t in regexp_split_to_array(substr(body, 3), '[\s|]+') if t <> ''] AS ts FROM all_lines WHERE starts_with(body, 'w:')))),
-    pr AS (SELECT *, lead(token) OVER (PARTITION BY doc_id, line ORDER BY pos) AS nxt FROM sy),
-    wit AS (SELECT DISTINCT doc_id, lower(regexp_replace(token, '-$', '')) AS a, lower(regexp_replace(nxt, '-+$', '')) AS b FROM pr WHERE ends_with(token, '-') AND nxt IS NOT NULL
+    pr AS MATERIALIZED (SELECT *, lead(token) OVER (PARTITION BY doc_id, line ORDER BY pos) AS nxt FROM sy),
+    wit AS MATERIALIZED (SELECT DISTINCT doc_id, lower(regexp_replace(token, '-$', '')) AS a, lower(regexp_replace(nxt, '-+$', '')) AS b FROM pr WHERE ends_with(token, '-') AND nxt IS NOT NULL
       AND regexp_replace(token, '-$', '') NOT IN ('', '_', '*', '|', '-') AND regexp_replace(nxt, '-+$', '') NOT IN ('', '_', '*', '|', '-'))
     SELECT pr.doc_id, line, pos, token, nxt AS next, token || '- ' || nxt AS joined FROM pr JOIN wit ON wit.doc_id = pr.doc_id AND a = lower(token) AND b = lower(regexp_replace(nxt, '-+$', ''))
     WHERE NOT ends_with(token, '-') AND NOT contains(token, '\-') AND token NOT IN ('_', '*', '|', '-') AND regexp_replace(nxt, '-+$', '') NOT IN ('_', '*', '|', '-') AND NOT regexp_matches(nxt, '^\p{{Lu}}')""",

@@ -1,5 +1,6 @@
 """Distributed ranks, samples and choices against their plain definitions."""
 
+import random
 import sys
 import unicodedata
 from collections import Counter
@@ -9,7 +10,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallywright.functions.hashing import seeded_key
-from tallywright.functions.text import fold_accents, norm_answer
+from tallywright.functions.reply import token_f1_arrays
+from tallywright.functions.text import contains_whole_word, fold_accents, norm_answer
 from tallywright.operators import audit, choices, generation, ranking, sampling, scoring
 
 
@@ -198,3 +200,65 @@ def test_folding_of_every_character(spark):
 def test_folding_beyond_the_basic_plane(spark):
     r = spark.createDataFrame([("𝐀 한글 값 𝒞 😀 ｶﾞ",)], "t string").select(fold_accents(F.col("t")).alias("f")).first()
     assert r.f == "".join(c for c in unicodedata.normalize("NFKD", "𝐀 한글 값 𝒞 😀 ｶﾞ") if not unicodedata.combining(c)) and r.f.startswith("A ")
+
+
+def test_range_buckets_are_even(spark):
+    """One outlier, a long common prefix and a hot value change nothing."""
+    n = 40_000
+    shapes = {
+        "outlier": F.when(F.col("id") == 7, F.lit(1 << 60)).otherwise(F.col("id") * 3),
+        "prefix": F.concat(F.lit("the same first words of all: "), F.format_string("%012d", F.col("id") * F.col("id"))),
+        "hot": F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")),
+    }
+    df = spark.range(n).select("id", *[c.alias(name) for name, c in shapes.items()])
+    for name in shapes:
+        placed = ranking.range_bucket(df, [name, "id"], buckets=1024, out="b").cache()
+        sizes = placed.groupBy("b").count().agg(F.max("count")).first()[0]
+        assert sizes < n / 50, (name, sizes)
+        window = Window.orderBy(name, "id")
+        assert placed.withColumn("before", F.lag("b").over(window)).where("b < before").count() == 0
+    assert ranking.range_bucket(df.where("id < 0"), ["id"]).count() == 0
+    texts = df.select(F.col("prefix").alias("k")).limit(3000)
+    assert ranking.ordered_rank(texts, [], "k", buckets=64).withColumn("w", F.row_number().over(Window.orderBy("k"))).where("rn <> w").count() == 0
+
+
+def test_carving_by_selection(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 100003).alias("k"))
+    rank = F.row_number().over(Window.orderBy(seeded_key(13, F.col("k")), "k"))
+    for percent in (0, 5, 100):
+        got = sampling.carve_validation(df, ["k"], 13, percent)
+        held = max(1, 5000 * percent // 100)
+        assert got.withColumn("rn", rank).where((F.col("part") == "validation") != (F.col("rn") <= held)).count() == 0
+        assert sampling.carve_validation(df, ["k"], 13, percent, digits=1).exceptAll(got).count() == 0
+    assert rows(sampling.carve_validation(df.limit(1), ["k"], 13), "part") == [("validation",)]
+    assert sampling.carve_validation(df.where("k < 0"), ["k"], 13).count() == 0
+
+
+def test_whole_words_without_patterns(spark):
+    cases = [
+        ("a c# b", "c#", True), ("xc#", "c#", False), ("a #c", "#c", True), ("a#c", "#c", False), ("one/two", "two", True), ("onetwo", "two", False),
+        ("two", "two", True), ("a.b", "a.b", True), ("a.bc", "a.b", False), ("(x)", "(x)", True), ("a \\Eb c", "\\Eb", True), ("ab", "", False), ("", "", True), ("naïve x", "na", False),
+    ]
+    df = spark.createDataFrame(cases, "hay string, needle string, want boolean")
+    got = df.where(contains_whole_word(F.col("hay"), F.col("needle")) != F.col("want")).collect()
+    assert got == []
+
+
+def test_token_overlap(spark):
+    rng = random.Random(3)
+    data = [([rng.choice("abcdef") for _ in range(rng.randrange(30))], [rng.choice("abcxyz") for _ in range(rng.randrange(30))]) for _ in range(200)] + [(["a"] * 5000, ["a"] * 4000)]
+    got = spark.createDataFrame(data, "p array<string>, g array<string>").select("p", "g", token_f1_arrays(F.col("p"), F.col("g")).alias("f")).collect()
+    for r in got:
+        common = sum((Counter(r.p) & Counter(r.g)).values())
+        want = float(len(r.p) == len(r.g)) if not r.p or not r.g else 2 * common / (len(r.p) + len(r.g))
+        assert r.f == pytest.approx(want)
+
+
+def test_distractors_that_read_alike(spark):
+    names = ["Song One", "song  one!", "SONG ONE", "Two", "Three", "Four", "Five"]
+    recs = spark.createDataFrame([(i, n, "g") for i, n in enumerate(names)], "id int, name string, g string")
+    got = choices.tiered_distractors(recs, "id", "name", [("group", ["g"]), ("any", [])], 4, "s").collect()
+    assert len(got) == 7
+    for r in got:
+        like = ["".join(c for c in n.lower() if c.isalpha()) for n in r.others]
+        assert len(set(like)) == 4 and "".join(c for c in names[r.id].lower() if c.isalpha()) not in like
