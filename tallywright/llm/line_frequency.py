@@ -1,9 +1,9 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 A line (lower case, one space for white space, 0 for digits) that stands in at least `least` different texts of a host
-and in at least `share` of the host's different texts is taken for furniture. Its words don't count; a document that
-keeps less than `remain` of its words is depleted and rejected, as is one that fails the base rules. Copies are one text
-here, so a document isn't depleted by its own copies. Lines travel as 64-bit hashes; for judge(), texts don't travel at
+and in `share` of the host's documents, or in `many` of them on however large a host, is taken for furniture. Its words
+don't count; a document that keeps less than `remain` of its words is depleted and rejected, as is one that fails the base
+rules. Copies are one text here, so a document isn't depleted by its own copies; documents are told apart by key and text. Lines travel as 64-bit hashes; for judge(), texts don't travel at
 all. clean() returns the texts without these lines, from the same removals that judge() counts.
 
 Null and empty texts have no words and fail the base rules. A null host is a host of its own. Rows with a null or
@@ -71,24 +71,26 @@ def base_features(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return starts.withColumn("n_repeat_words", repeat).drop("starts")
 
 
-def frequent_lines(lines: DataFrame, texts: DataFrame, least: int, share: float) -> DataFrame:
-    """host, line: lines above both limits. texts: host and number of different texts."""
-    spread = lines.select("host", "line", "body").distinct().groupBy("host", "line").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") >= least)
-    return spread.join(texts, "host").where(F.col("n_texts") >= share * F.col("host_texts")).select("host", "line")
+def frequent_lines(lines: DataFrame, hosts: DataFrame, least: int, share: float, many: int) -> DataFrame:
+    """host, line: lines above the limits. hosts: host and number of documents."""
+    per_text = lines.select("host", "line", "body", "id").distinct().groupBy("host", "line", "body").agg(F.count("*").alias("n"))
+    spread = per_text.groupBy("host", "line").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_docs")).where(F.col("n_texts") >= least)
+    often = (F.col("n_docs") >= share * F.col("host_docs")) | (F.col("n_docs") >= many)
+    return spread.join(hosts, "host").where(often).select("host", "line")
 
 
 def own_rows(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def removals(docs: DataFrame, key: str, text: str, host: str, least: int, share: float) -> DataFrame:
+def removals(docs: DataFrame, key: str, text: str, host: str, least: int, share: float, many: int) -> DataFrame:
     """gid, ghost, gbody (hash of the text), removed_words and places of the frequent lines among the lines with words, of the texts that have any."""
     cut = own_rows(docs, key, text, host).select("id", "host", F.xxhash64("text").alias("body"), F.posexplode(worded_lines(F.col("text"))).alias("pos", "raw"))
     lines = materialise(
         cut.select("id", "host", "body", "pos", F.xxhash64(normal_line(F.col("raw"))).alias("line"), F.size(words_of(F.col("raw"))).alias("n")), "lines"
     )
-    texts = lines.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("host_texts"))
-    often = materialise(frequent_lines(lines, texts, least, share), "often")
+    hosts = lines.select("host", "body", "id").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    often = materialise(frequent_lines(lines, hosts, least, share, many), "often")
     # rows that are equal in key and text share one entry here, and repeated lines of a text count each time
     gone = lines.join(often, ["host", "line"]).select("id", "host", "body", "pos", "n").distinct()
     gone = gone.groupBy("id", "host", "body").agg(F.sum("n").alias("removed_words"), F.collect_list("pos").alias("places"))
@@ -109,9 +111,9 @@ def without_lines(rows: DataFrame) -> DataFrame:
     return left.withColumn("text", F.array_join(F.transform("left", lambda i: F.get(F.col("parts"), i)), "\n"))
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = 20, share: float = 0.02) -> DataFrame:
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = 20, share: float = 0.02, many: int = 500) -> DataFrame:
     """key and the text without its frequent lines; one row per row of docs, null texts stay null."""
-    gone = removals(docs, key, text, host, least, share)
+    gone = removals(docs, key, text, host, least, share, many)
     none = docs.where(F.col(text).isNull()).select(F.col(key).alias("id"), F.lit(None).cast("string").alias("text"))
     some = own_rows(docs.where(F.col(text).isNotNull()), key, text, host).withColumn("body", F.xxhash64("text"))
     # texts with nothing to remove keep their bytes
@@ -121,10 +123,10 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
 
 def judge(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = 20, share: float = 0.02, remain: float = 0.2
+    docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = 20, share: float = 0.02, remain: float = 0.2, many: int = 500
 ) -> DataFrame:
     """key, the five base numbers, base_failed, removed_words and kept; one row per row of docs."""
-    lost = removals(docs, key, text, host, least, share).drop("places")
+    lost = removals(docs, key, text, host, least, share, many).drop("places")
     base = base_features(docs, key, text, host)
     out = base.join(lost, same_text(), "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -134,7 +136,7 @@ def judge(
     )
 
 
-def oracle(least: int = 20, share: str = "0.02", remain: str = "0.2") -> str:
+def oracle(least: int = 20, share: str = "0.02", remain: str = "0.2", many: int = 500) -> str:
     """DuckDB SQL for judge() over documents, with lines and windows as text."""
     white = r"[\x20\x09-\x0D]"
     trim = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
@@ -148,9 +150,9 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest
 split AS (SELECT doc_id, host, text, unnest(lines) AS raw FROM w),
 norm AS (SELECT doc_id, host, text, regexp_replace(lower(regexp_replace({trim.format("raw")}, '{white}+', ' ', 'g')), '[0-9]', '0', 'g') AS line,
         len([x FOR x IN regexp_split_to_array(raw, '{white}+') IF x <> '']) AS n FROM split),
-texts AS (SELECT host, count(DISTINCT text) AS host_texts FROM norm GROUP BY host),
-often AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS c FROM norm GROUP BY host, line) JOIN texts USING (host)
-        WHERE c >= {least} AND c >= {share} * host_texts),
+hosts AS (SELECT host, count(DISTINCT (doc_id, text)) AS host_docs FROM norm GROUP BY host),
+often AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS c, count(DISTINCT (doc_id, text)) AS n FROM norm GROUP BY host, line) JOIN hosts USING (host)
+        WHERE c >= {least} AND (n >= {share} * host_docs OR n >= {many})),
 gone AS (SELECT doc_id, sum(n) AS n FROM norm JOIN often USING (host, line) GROUP BY doc_id),
 f AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
