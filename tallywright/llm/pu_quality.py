@@ -9,7 +9,7 @@ the bars that half of the positives reach is taken.
 
 Features come from the whole text: lengths, shares of character classes, of repeated words, neighbours and lines.
 The fit uses at most `most` positives and `most` unlabelled texts in expectation, picked by a hash of
-the text; nobody else's labels are read.
+the key, in the order of their features; nobody else's labels are read.
 
 Null and empty texts are scored like any other, from features that are all 0. Labels other than 1 count as no label. A
 document with several labels is positive if one of them is 1. Without positives or without unlabelled texts every score
@@ -204,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id
 
     drawn = rows.where(F.xxhash64("id").bitwiseAND(0x7FFFFFFF) / float(1 << 31) < F.lit(min(1.0, max(most / p, most / (n - p)))))
     got = drawn.join(F.broadcast(keys), "id").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text").mapInArrow(run, "trusted boolean, x binary").collect()
-    x = {flag: [np.frombuffer(r["x"], np.float32) for r in got if r["trusted"] is flag] for flag in (True, False)}
+    # in the order of their bytes: training draws by position, which no partitioning may decide
+    x = {flag: [np.frombuffer(b, np.float32) for b in sorted(bytes(r["x"]) for r in got if r["trusted"] is flag)] for flag in (True, False)}
     if not x[True] or not x[False]:
         return None
     return train(np.stack(x[True]), np.stack(x[False]))[0]
