@@ -6,9 +6,12 @@ LSTM reads the vectors of all blocks of the page, so each label depends on the w
 main text or not.
 
 The network is trained here with numpy, on a bounded sample of at most `most` pages in expectation, picked by a hash of
-the page. Labels come from the pages' own markup where it is explicit, and from pages put together anew: the sample's
-main blocks and other blocks are set into furniture of many kinds (menus, headers, side bars, notices, adverts, forms,
-comments), so that the network has seen kinds that the pages at hand lack.
+the page, copies once. Labels come from the markup of pages where it is explicit, the others teach nothing; and from
+pages put together anew, whose labels are known from how they were made: the sample's main blocks and other blocks are
+set into furniture of many kinds (menus, headers, side bars, notices, adverts, forms, comments) and into containers
+without a name. Half of all pages are disguised before they are learned: their class words are dropped or replaced by
+random ones, some lose their sectioning tags too, so the network has to read words, shapes and neighbours. Comments, which
+only their container tells from an article, aren't labelled there.
 
 Null and empty pages have no blocks and an empty text. Scripts, styles and comments of the markup are never blocks, nor
 are templates, frames, noscript parts, titles and text fields; words of drawings, formulas and objects are.
@@ -76,7 +79,16 @@ SECTIONS = {
     "comments": ["<section class=\"comments\"{}>{}</section>", "<div id=\"comments\"{}>{}</div>", "<div class=\"comment-list\"{}>{}</div>", "<ol class=\"comments\"{}>{}</ol>", "<section id=\"discussion\" class=\"replies\"{}>{}</section>"],
     "footer": ["<footer{}>{}</footer>", "<div id=\"footer\"{}>{}</div>", "<div class=\"footer\"{}>{}</div>", "<footer role=\"contentinfo\"{}>{}</footer>"],
 }
+#: Containers that say nothing, for furniture and for main text.
+for _kind, _forms in SECTIONS.items():
+    if _kind != "comments":
+        _forms += ["<div{}>{}</div>", "<table{}><tr><td>{}</td></tr></table>", "<div><div{}>{}</div></div>"]
+SECTIONING = set("article main section nav aside header footer".split())
+COMMENT_WORDS = set("comment comments reply replies discussion responses disqus".split())
+#: Stands in a page that is put together before each piece of main text.
+SIGN = "\ue000"
 BODIES = [
+    "<div>{}</div>", "<table><tr><td>{}</td></tr></table>", "<section>{}</section>", "<div><div>{}</div></div>",
     "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class=\"content\">{}</div>", "<div id=\"content\"><div class=\"post\">{}</div></div>",
     "<article class=\"post\">{}</article>", "<div class=\"article-body\">{}</div>", "<div id=\"main\">{}</div>", "<section class=\"entry-content\">{}</section>", "<div class=\"wrap\"><article>{}</article></div>",
 ]
@@ -248,13 +260,13 @@ class Labeller:
         return states @ self.p["out"] + self.p["bias"][0]
 
     def learn(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, rate: float) -> float:
-        """One Adam step of back-propagation through time; returns the mean logistic loss."""
+        """One Adam step of back-propagation through time; returns the mean logistic loss. A label of -1 is none."""
         n, t, _ = x.shape
+        known = mask * (y >= 0)
         runs = {d: self._run(x, mask, d, True) for d in "fb"}
         states = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         z = states @ self.p["out"] + self.p["bias"][0]
-        total = mask.sum()
-        dz = (sigmoid(z) - y) * mask / total
+        dz = (sigmoid(z) - y) * known / max(1, known.sum())
         grads = {"out": np.einsum("nth,nt->h", states, dz), "bias": np.array([dz.sum()], np.float32)}
         back = dz[:, :, None] * self.p["out"]
         for s, d in enumerate("fb"):
@@ -279,7 +291,7 @@ class Labeller:
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             self.p[k] -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-7)).astype(np.float32)
-        return float((np.logaddexp(0, z) - y * z)[mask > 0].mean())
+        return float((np.logaddexp(0, z) - y * z)[known > 0].mean()) if known.any() else 0.0
 
     def label(self, pages: list[np.ndarray], size: int = 64) -> list[np.ndarray]:
         """Whether each block of each page is main text; pages of like length run together."""
@@ -307,6 +319,22 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+def disguised(found: list[Block], y: np.ndarray, rng: random.Random) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a page, in half of all cases without telling class words; labels of comments are then taken back."""
+    how, plain = rng.random(), rng.random() < 0.25
+    if how >= 0.5:
+        return found, y
+    names: dict[str, str] = {}
+
+    def part(p: str) -> str | None:
+        if p.startswith("."):
+            return None if how < 0.25 else names.setdefault(p, "." + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 7))))
+        return "div" if plain and p in SECTIONING else p
+
+    hidden = np.array([bool(COMMENT_WORDS & {p.lstrip(".") for p in b[1]}) for b in found], bool)
+    return [(t, tuple(q for p in path if (q := part(p)) is not None), linked) for t, path, linked in found], np.where(hidden, -1, y).astype(np.float32)
+
+
 def taught(path: tuple[str, ...]) -> bool:
     """The teacher's label: the path names a container of main text, and nothing around it."""
     words = {p.lstrip(".") for p in path}
@@ -314,7 +342,7 @@ def taught(path: tuple[str, ...]) -> bool:
 
 
 def remade(main: list[str], other: list[str], rng: random.Random) -> tuple[str, list[str]]:
-    """A page put together from blocks, and the main blocks in it."""
+    """A page put together from blocks, and the main blocks in it, each behind the sign."""
 
     def some(k: int) -> list[str]:
         return [html.escape(rng.choice(other)) for _ in range(k)]
@@ -334,10 +362,9 @@ def remade(main: list[str], other: list[str], rng: random.Random) -> tuple[str,
         return form.replace("{}", "", 1).replace("{}", inner)
 
     chosen = [rng.choice(main) for _ in range(rng.randint(1, 8))]
-    title = rng.choice(["<h1>{}</h1>", "<h2>{}</h2>", "<header><h1>{}</h1></header>" if rng.random() < 0.05 else "<h1>{}</h1>"])
-    body = [title.format(html.escape(chosen[0]))]
+    body = [rng.choice(["<h1>{}</h1>", "<h2>{}</h2>", "<h1>{}</h1>"]).format(SIGN + html.escape(chosen[0]))]
     for t in chosen[1:]:
-        body.append(rng.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<p><b>{}<br>"]).format(html.escape(t)))
+        body.append(rng.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<p><b>{}<br>"]).format(SIGN + html.escape(t)))
         if rng.random() < 0.08:
             body.append(section(rng.choice(["ad", "notice", "side", "form"])))
     text = rng.choice(BODIES).replace("{}", "".join(body) + (section("comments") if rng.random() < 0.1 else ""))
@@ -371,18 +398,24 @@ def train(pages: list[str], rounds: int = 6, seed: int = 5, rate: float = 0.02,
     rng = random.Random(seed)
     data: list[tuple[np.ndarray, np.ndarray]] = []
     main, other = [], []
+
+    def add(found: list[Block], y: np.ndarray) -> None:
+        x = positioned(vectors(found))
+        data.extend((x[k : k + WINDOW], y[k : k + WINDOW]) for k in range(0, len(y), WINDOW))
+
     for page in pages:
-        found = blocks(page)
+        found = blocks(page.replace(SIGN, " "))
         y = np.array([taught(b[1]) for b in found], np.float32)
+        if not y.any():
+            continue  # nothing here says where the main text is
         main += [b[0] for b, good in zip(found, y, strict=True) if good]
         other += [b[0] for b, good in zip(found, y, strict=True) if not good]
-        if found:
-            x = positioned(vectors(found))
-            data += [(x[k : k + WINDOW], y[k : k + WINDOW]) for k in range(0, len(y), WINDOW)]
+        add(*disguised(found, y, rng))
     if main and other:
         for _ in range(2 * len(pages)):
-            found = blocks(remade(main, other, rng)[0])
-            data.append((positioned(vectors(found)), np.array([not set(p.lstrip(".") for p in b[1]) & AROUND for b in found], np.float32)))
+            signed = blocks(remade(main, other, rng)[0])
+            y = np.array([SIGN in b[0] for b in signed], np.float32)
+            add(*disguised([(b[0].replace(SIGN, ""), b[1], b[2]) for b in signed], y, rng))
     net = Labeller()
     for turn in range(rounds):
         rng.shuffle(data)
@@ -403,7 +436,7 @@ def fit(pages: DataFrame, page: str = "html", most: int = 400) -> Labeller:
     rows = pages.where(F.col(page).isNotNull()).select(F.col(page).alias("page"))
     n = rows.count()
     draw = F.xxhash64("page").bitwiseAND(0x7FFFFFFF) / float(1 << 31) < F.lit(min(1.0, most / max(1, n)))
-    return train(sorted(r["page"] for r in rows.where(draw).collect()))  # `most` pages in expectation
+    return train(sorted(r["page"] for r in rows.where(draw).distinct().collect()))  # `most` pages in expectation, copies once
 
 
 def extract(pages: DataFrame, net: Labeller, key: str = "page_id", page: str = "html") -> DataFrame:
