@@ -1,7 +1,7 @@
 """Language of a text by nearest centroid: TF-IDF vectors of hashed byte n-grams, several centroids per language.
 
 Document frequencies come from every training text. Centroids come from a bounded sample of them: at most
-`per_language` texts of a language in expectation and `most` in all, picked by a hash of the text, grouped by
+`per_language` different texts of a language in expectation and `most` in all, picked by a hash of the text, grouped by
 spherical k-means. A text has the language of the centroid with the greatest cosine. Each centroid has a floor for each
 class of length, and a text below it is rejected: `slack` times the `low` quantile of the cosines that the sample's texts
 of this centroid have, whole and cut to lengths of the class. A class with fewer than FEW of them has the floor of all
@@ -94,7 +94,8 @@ def sample(docs: DataFrame, per_language: int, most: int) -> DataFrame:
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # a row per language
     each = max(1, min(per_language, most // len(sizes)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))])
-    return docs.where((F.xxhash64("text").bitwiseAND(0x7FFFFFFF) / float(1 << 31)) < F.element_at(share, F.col("lang"))).select("lang", "text")
+    drawn = docs.where((F.xxhash64("text").bitwiseAND(0x7FFFFFFF) / float(1 << 31)) < F.element_at(share, F.col("lang"))).select("lang", "text")
+    return drawn.distinct()  # copies of a drawn text count once, or one text might be a third of the corpus
 
 
 def sample_counts(drawn: DataFrame) -> list[tuple[str, np.ndarray]]:
@@ -106,7 +107,8 @@ def sample_counts(drawn: DataFrame) -> list[tuple[str, np.ndarray]]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "counts"])
 
     picked = drawn.mapInArrow(run, "lang string, counts binary").collect()
-    return [(r["lang"], np.frombuffer(r["counts"], np.float32)) for r in picked]
+    # in the order of their bytes, whatever the partitioning
+    return [(lang, np.frombuffer(c, np.float32)) for lang, c in sorted((r["lang"], bytes(r["counts"])) for r in picked)]
 
 
 def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
