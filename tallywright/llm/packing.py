@@ -21,8 +21,10 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,18 +32,55 @@ from pyspark.sql import functions as F
 
 from tallywright.llm import textkit
 
-#: Words of a generation; a worker keeps those of the running and of the last one.
-KEPT = 600_000
+#: Words of a generation, about 30 bytes each; a worker keeps those of the running and of the last one.
+KEPT = 1_000_000
+#: Bytes of text whose words are looked for at once.
+STEP_BYTES = 1_000_000
 LEAST_SHORT = 64
-#: Stands for the end of a sentence among the words; no byte of UTF-8.
-BREAK = b"\xff"
-STOPS = [mark + b" " + BREAK + b" " for mark in (b".", b"!", b"?", b"")]
+#: Marks that end a sentence before a space.
+STOPS = np.zeros(256, bool)
+STOPS[list(b".!?")] = True
 #: A run of letters that neither composition nor lower case changes, and a mark that the tokenizer keeps apart from it.
 PLAIN = re.compile("^(?:([a-zß-öø-ÿ]+)([.,]?)|.*)$", re.MULTILINE)
 
 
+class Table:
+    """Ids of words, found by the words' hashes: sorted hashes, and where each word's ids stand in one array."""
+
+    def __init__(self):
+        self.hashes, self.start, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each hash, and whether it is there."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        row = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return row, self.hashes[row] == hashes
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids the words in these rows have, and the ids one after another."""
+        return self.size[rows], self.ids[spread(self.start[rows], self.size[rows])]
+
+    def add(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Words by ascending hashes that aren't in the table yet."""
+        where = np.searchsorted(self.hashes, hashes)
+        start = len(self.ids) + np.cumsum(size) - size
+        self.hashes, self.start, self.size = np.insert(self.hashes, where, hashes), np.insert(self.start, where, start), np.insert(self.size, where, size)
+        self.ids = np.concatenate((self.ids, ids))
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, … of each run."""
+    ends = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that drops white space: each word is tokenised once and kept."""
+    """Ids of whole texts by a tokenizer that drops white space: each word is tokenised once and kept.
+
+    Words are told apart by a 64-bit hash of their bytes and length. When KEPT words are kept, they become the last
+    generation, from which words that still occur are taken over.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,61 +88,83 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.store: dict[bytes, bytes] = {}
-        self.past: dict[bytes, bytes] = {}
-        names = self.model.get_vocab(with_added_tokens=True)
-        self.closes = np.zeros(max(names.values()) + 1, bool)  # tokens that end a run of letters
-        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
-
-    def learn(self, words: list[bytes]) -> None:
-        """Put the ids of these words into the store."""
-        if self.past:
-            known = [(w, ids) for w in words if (ids := self.past.get(w)) is not None]
-            self.store.update(known)
-            words = [w for w in words if w not in self.past]
+        self.words, self.past = Table(), Table()
+
+    def tokenise(self, words: list[bytes]) -> list[list[int]]:
         if not words:
-            return
-        # most words are one run of letters, perhaps with a mark after it; these are cheaper many at a time
+            return []
+        # most words are one run of letters, perhaps with a mark after it: the model alone does for these
         parts = PLAIN.findall(b"\n".join(words).decode().lower())
-        letters = list({core for core, _ in parts if core})
-        plain: dict[str, bytes] = {}
-        for i in range(0, len(letters), 500):
-            some = letters[i : i + 500]
-            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
-            if len(ends) != len(some):
-                raise ValueError("a run of letters was not one piece for the tokenizer")
-            raw = ids.tobytes()
-            plain.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        marks = {m: self.one(m.encode()) for m in {m for _, m in parts} if m}
-        marks[""] = b""
-        self.store.update([(w, plain[core] + marks[m]) for w, (core, m) in zip(words, parts, strict=True) if core])
-        self.store.update([(w, self.one(w)) for w, (core, _) in zip(words, parts, strict=True) if not core])
-
-    def one(self, word: bytes) -> bytes:
-        return np.array(self.model.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
-        """Ids of each text, and how many of them stand before the end of each sentence: a line's end, or a stop,
-        exclamation or question mark before a space."""
-        if len(self.store) > KEPT:
-            self.past, self.store = self.store, {}
-        self.store[BREAK] = b""
-        get = self.store.get
-        cut = []
-        for t in texts:
-            words = t.replace(b". ", STOPS[0]).replace(b"! ", STOPS[1]).replace(b"? ", STOPS[2]).replace(b"\n", STOPS[3]).split()
-            known = list(map(get, words))
-            cut.append((words, known, [i for i, ids in enumerate(known) if ids is None] if None in known else []))
-        self.learn(list({words[i] for words, _, holes in cut for i in holes}))
-        for words, known, holes in cut:
-            for i in holes:
-                known[i] = self.store[words[i]]
-        out = []
-        for _, known, _ in cut:
-            size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
-            out.append((b"".join(known), np.cumsum(size)[size == 0]))
-        return out
+        merge = self.model.model.tokenize
+        plain = {core: [t.id for t in merge(core)] for core in {core for core, _ in parts} if core}
+        marks = {m: self.whole([m])[0] for m in {m for _, m in parts} if m}
+        marks[""] = []
+        odd = iter(self.whole([w.decode() for w, (core, _) in zip(words, parts, strict=True) if not core]))
+        return [plain[core] + marks[m] if core else next(odd) for core, m in parts]
+
+    def whole(self, words: list[str]) -> list[list[int]]:
+        """Ids of words by the whole tokenizer."""
+        return [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, hashes: np.ndarray, raw: bytes, first: np.ndarray, last: np.ndarray) -> None:
+        """Put words, by ascending hashes, into the table."""
+        row, old = self.past.find(hashes)
+        fresh = np.flatnonzero(~old)
+        made = self.tokenise([raw[i:j] for i, j in zip(first[fresh].tolist(), last[fresh].tolist(), strict=True)])
+        size = np.zeros(len(hashes), np.int32)
+        size[fresh] = np.fromiter(map(len, made), np.int32, len(made))
+        size[old] = self.past.size[row[old]]
+        start = np.cumsum(size) - size
+        ids = np.zeros(int(size.sum()), np.uint32)
+        ids[spread(start[fresh], size[fresh])] = np.fromiter(chain.from_iterable(made), np.uint32, int(size[fresh].sum()))
+        ids[spread(start[old], size[old])] = self.past.of(row[old])[1]
+        self.words.add(hashes, size, ids)
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts one after another; where each text's ids begin; and how many ids stand before the end of each
+        sentence: a line's end, or a stop, exclamation or question mark before a space."""
+        if len(self.words.hashes) > KEPT:
+            self.past, self.words = self.words, Table()
+        spans = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for lo, hi in pieces_of(data, at):
+            edges = at[(at >= lo) & (at <= hi)] - lo
+            first, last, _ = textkit.word_spans(data[lo:hi], np.unique(np.concatenate(([0], edges, [hi - lo]))))
+            spans.append((first + lo, last + lo, textkit.span_hashes(data[lo:hi], first, last)))
+        first, last, hashes = (np.concatenate(c) for c in zip(*spans, strict=True))
+        del spans
+        word, different = pd.factorize(hashes)
+        sample = np.zeros(len(different), np.int64)
+        sample[word[::-1]] = np.arange(len(hashes))[::-1]  # where each word stands first
+        up = np.argsort(different)
+        missing = up[~self.words.find(different[up])[1]]
+        if len(missing):
+            self.learn(different[missing], data.tobytes(), first[sample[missing]], last[sample[missing]])
+        row = np.empty(len(different), np.int64)
+        row[up] = self.words.find(different[up])[0]
+        size, ids = self.words.of(row[word])
+        before = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        stop = np.zeros(len(data), bool)
+        stop[1:] = (data[1:] == 32) & STOPS[data[:-1]]
+        stop |= data == 10
+        return ids, before[np.searchsorted(first, at)], before[np.searchsorted(first, np.flatnonzero(stop))]
+
+
+def pieces_of(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of bytes of about STEP_BYTES that end with a text, or, in longer ones, at white space; a word that is longer
+    yet has a range of its own."""
+    for i, j in textkit.steps(at, STEP_BYTES):
+        lo, end = int(at[i]), int(at[j])
+        while end - lo > 2 * STEP_BYTES:
+            gaps = np.flatnonzero(textkit.WHITE[data[lo + STEP_BYTES : lo + 2 * STEP_BYTES]])
+            if len(gaps):
+                hi = lo + STEP_BYTES + int(gaps[0])
+            else:
+                rest = np.flatnonzero(textkit.WHITE[data[lo + 2 * STEP_BYTES : end]])
+                hi = lo + 2 * STEP_BYTES + int(rest[0]) if len(rest) else end
+            yield lo, hi
+            lo = hi
+        if end > lo:
+            yield lo, end
 
 
 @cache
@@ -116,12 +177,15 @@ def best_cuts(place: list[int], price: list[int], size: int, short: int) -> list
     there. Neighbouring positions are at most `size` apart."""
     total = [0] * len(place)
     come = [0] * len(place)
-    index = {p: i for i, p in enumerate(place)}
-    powers = []
-    p = LEAST_SHORT
-    while p < size:
-        powers.append(p)
-        p *= 2
+    at = np.array(place, np.int64)
+    links: dict[int, list[int]] = {}  # of a cut, those that stand a power of two before it
+    power = LEAST_SHORT
+    while power < size:
+        where = np.searchsorted(at, at - power)
+        here = np.flatnonzero((at >= power) & (at[where] == at - power))
+        for j, k in zip(here.tolist(), where[here].tolist(), strict=True):
+            links.setdefault(j, []).append(k)
+        power *= 2
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # key total + place, place, index; keys ascending
     for j in range(1, len(place)):
         here = place[j]
@@ -129,10 +193,10 @@ def best_cuts(place: list[int], price: list[int], size: int, short: int) -> list
             queue.popleft()
         key, _, i = queue[0]
         best = key + size - here
-        for p in powers:
-            k = index.get(here - p)
-            if k is not None and total[k] + short < best:
-                best, i = total[k] + short, k
+        if j in links:
+            for k in links[j]:
+                if total[k] + short < best:
+                    best, i = total[k] + short, k
         total[j] = best = best + price[j]
         come[j] = i
         key = best + here
@@ -156,12 +220,9 @@ def pack(
     def pieces(held: list[tuple[object, bytes, np.ndarray]], sequence: int) -> tuple[pa.RecordBatch, int]:
         place, price, begins, ids = [0], [0], [], []
         at = 0
-        for _, own, sentences in held:
+        for _, own, stops in held:
             begins.append(at)
-            ids.append(own + last)
-            n = len(ids[-1]) // 4
-            # the end token stands with the last sentence
-            stops = np.unique(np.concatenate(([0], sentences[(sentences > 0) & (sentences < n - 1)], [n])))
+            ids.append(own)
             cost = np.full(len(stops), truncation)
             wide = np.flatnonzero(np.diff(stops) > size)
             if len(wide):
@@ -171,7 +232,7 @@ def pack(
             cost[-1] = 0
             place += (at + stops[1:]).tolist()
             price += cost[1:].tolist()
-            at += n
+            at += len(own) // 4
         cuts = [place[c] for c in best_cuts(place, price, size, short)]
         columns: dict[str, list] = {c: [] for c in ("id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")}
         ends = [*begins[1:], at]
@@ -194,15 +255,24 @@ def pack(
     key_type = pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.release()
         model = tokenizer(path)
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple[object, bytes, np.ndarray]] = []
         tokens = 0
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            for name, (own, sentences) in zip(batch.column(0).to_pylist(), model.encode(texts), strict=True):
-                held.append((name, own, sentences))
-                tokens += 1 + len(own) // 4
+            ids, begin, stops = model.encode(*textkit.flat(batch.column(1)))
+            raw = ids.astype("<u4").tobytes()
+            cut = np.searchsorted(stops, begin)
+            texts = zip(batch.column(0).to_pylist(), begin.tolist(), begin[1:].tolist(), cut.tolist(), cut[1:].tolist(), strict=False)
+            for name, a, b, i, j in texts:
+                n = b - a + 1
+                own = stops[i:j] - a
+                # the end token stands with the last sentence
+                own = own[(own > 0) & (own < n - 1)]
+                inner = own[np.concatenate((own[1:] > own[:-1], [True]))] if len(own) else own
+                held.append((name, raw[4 * a : 4 * b] + last, np.concatenate(([0], inner, [n]))))
+                tokens += n
                 if tokens >= stretch:
                     out, sequence = pieces(held, sequence)
                     yield out

@@ -93,6 +93,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def release() -> None:
+    """Give back what earlier work of this worker has left: tables of powers, and Arrow's free memory."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
     up, down = _powers(len(data) + 1)
