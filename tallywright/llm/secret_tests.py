@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -156,12 +158,14 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
-    """Start, end, stratum and p of the runs that no pattern has found."""
+    """Start, end, stratum and p of the runs that no pattern has found; taken: the patterns' spans, by their starts."""
     out = []
+    starts, upto = [s for s, _, _ in taken], list(accumulate((e for _, e, _ in taken), max))
     for m in CANDIDATE.finditer(text):
         for i, j, name in tested(m[0]):
             a, b = m.start() + i, m.start() + j
-            if not any(s < b and a < e for s, e, _ in taken):
+            before = bisect_left(starts, b)  # of those that begin before b, does one end after a?
+            if not before or upto[before - 1] <= a:
                 out.append((a, b, stratum(name, b - a), random_p(text[a:b], name)))
     return out
 
@@ -245,6 +249,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float
     limits = bars(scan(docs, key, text).select("tried"), rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.release()
         for batch in batches:
             out = []
             for t in batch.column(text).to_pylist():

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -362,3 +363,183 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert zlib.crc32(bytes(pieces.first().ids)) == pieces.select(F.crc32("ids")).first()[0]
     assert pa.__version__
+
+
+def test_base_columns_of_the_language_model(spark):
+    rng = random.Random(11)
+    texts = {k: " ".join(rng.choice(["Alpha", "beta", "gamma", "délta", "x"]) for _ in range(rng.randrange(30))) for k in range(60)} | {60: None, 61: "", 62: "never seen words", 63: " \t\n"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    tokens = {k: [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()] + [None] for k, t in texts.items()}
+    counts = {}
+    for k, ws in tokens.items():
+        if k % 4:
+            for w in ws:
+                counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    got = {r.doc_id: r for r in ppm.scores(docs, F.col("doc_id") % 4 != 0, block_bytes=200, bucket_bytes=100).collect()}
+    small = {r.doc_id: r.score for r in ppm.scores(docs, F.col("doc_id") % 4 != 0).collect()}
+    for k, ws in tokens.items():
+        want = sum(np.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(ws), sum(w in counts for w in ws), n)
+        assert got[k].base_score == pytest.approx(want) and got[k].score == pytest.approx(small[k])  # whatever the blocks and buckets
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_ppm_of_any_order(spark, order):
+    rng = random.Random(order)
+    texts = [("".join(rng.choice("ab c") for _ in range(rng.randrange(60)))) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen = {}
+    for k, t in enumerate(texts):
+        s = [0] * order + [b + 1 for b in t.encode()] + [ppm.END]
+        for i in range(order, len(s)) if k % 3 else ():
+            for n in range(order + 1):
+                after = seen.setdefault(tuple(s[i - n : i]), {})
+                after[s[i]] = after.get(s[i], 0) + 1
+    got = {r.doc_id: r.score for r in ppm.scores(docs, F.col("doc_id") % 3 != 0, order=order).collect()}
+    for k, t in enumerate(texts):
+        s, total = [0] * order + [b + 1 for b in t.encode()] + [ppm.END], 0.0
+        for i in range(order, len(s)):
+            gone, left = set(), 0.0
+            for n in range(order, -1, -1):
+                fresh = {a: c for a, c in seen.get(tuple(s[i - n : i]), {}).items() if a not in gone}
+                mass = 2 * sum(fresh.values())
+                if s[i] in fresh:
+                    left += np.log10((2 * fresh[s[i]] - 1) / mass)
+                    break
+                left += np.log10(len(fresh) / mass) if fresh else 0
+                gone |= set(fresh)
+            else:
+                left -= np.log10(ppm.ALPHABET - len(gone))
+            total += left
+        assert got[k] == pytest.approx(total, abs=1e-6)
+
+
+def test_quality_scores_do_not_depend_on_the_partitioning(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    score = lambda n: {r.doc_id: r.score for r in pu_quality.score(docs, pu_quality.fit(docs.repartition(n), labels, F.lit(True))).collect()}
+    one, seven = score(1), score(7)
+    assert one == seven and len(set(one.values())) > 10
+
+
+def test_the_risk_of_positive_and_unlabelled_texts():
+    """Against the real classes: a mixture with a known prior, of which only some positives are known."""
+    rng = np.random.default_rng(1)
+    positive, hidden, negative = rng.normal(1, 1, (2000, 4)), rng.normal(1, 1, (800, 4)), rng.normal(-1, 1, (1200, 4))
+    net, prior = pu_quality.train(positive, np.concatenate((hidden, negative)), steps=800)
+    assert abs(prior - 0.4) < 0.08
+    right = np.concatenate((net.score(hidden) > 0.5, net.score(negative) < 0.5)).mean()
+    assert right > 0.95
+    z = np.linspace(-5, 5, 41)
+    assert np.allclose(pu_quality.loss(z), np.log(1 + np.exp(-z)))
+    slope = (pu_quality.loss(z + 1e-6) - pu_quality.loss(z - 1e-6)) / 2e-6
+    assert np.allclose(slope, -pu_quality.sigmoid(-z), atol=1e-5)
+
+
+def test_copies_do_not_swell_the_samples(spark):
+    langs = [("en", "the words of this text are english words and there are some of them"), ("fr", "les mots de ce texte sont des mots et il y en a quelques uns")]
+    rows = [(k, f"{t} {k}", lang) for k, (lang, t) in enumerate(langs * 40)] + [(1000 + k, langs[0][1], "en") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    drawn = centroid_language.sample(docs.select("lang", "text"), 4000, 8000).collect()
+    assert len(drawn) == len({(r.lang, r.text) for r in drawn}) == 81
+    seen = []
+    pages = docs.select(F.concat(F.lit("<article><p>"), "text", F.lit("</p></article>")).alias("html"))
+    train, block_labeller.train = block_labeller.train, lambda pages: seen.append(pages)
+    try:
+        block_labeller.fit(pages, most=10_000)
+    finally:
+        block_labeller.train = train
+    assert len(seen[0]) == len(set(seen[0])) == 81
+
+
+def test_long_lists_of_spans_are_merged():
+    text = " ".join(f"token={'x' * 8}{k} {'Zz9' * 8}{k}" for k in range(4000))
+    spans = secret_tests.pattern_spans(text)
+    found = secret_tests.candidates(text, spans)
+    assert len(spans) == 4000 and all(not any(s < b and a < e for s, e, _ in spans[max(0, k - 2) : k + 3]) for k, (a, b, _, _) in enumerate(found)) and len(found) == 4000
+
+
+def test_buckets_and_digits_of_a_digest():
+    texts = [b"", b"abc", "an example text with é and more of it, again an example text".encode()]
+    counts = quartile_digest.bucket_counts(*quartile_digest.flat_texts(texts))
+    digests = quartile_digest.digests(*quartile_digest.flat_texts(texts))
+    for text, own, digest in zip(texts, counts.tolist(), digests.tolist(), strict=True):
+        want = [0] * 256
+        for i in range(4, len(text)):
+            for salt, (a, b) in enumerate(quartile_digest.TRIPLETS):
+                code = (text[i] << 16 | text[i - a] << 8 | text[i - b]) + (salt << 24)
+                h = code * 2654435761 % (1 << 32)
+                want[((h ^ h >> 15) * 2246822519 % (1 << 32)) >> 24] += 1
+        assert own == want
+        ranked = sorted(want)
+        cuts = [ranked[63], ranked[127], ranked[191]]
+        assert digest[3:] == [sum(c > q for q in cuts) for c in want] and digest[0] == round(8 * np.log2(1 + len(text)))
+
+
+def test_furniture_on_a_large_host(spark):
+    """A line of 600 documents counts however many documents its host has; one of 100 does not."""
+    words = [a + b + c for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefghijklmnopqrst"]
+    body = lambda k: " ".join(words[(k * 12 + j) % 8000] for j in range(12)) + f" {words[k % 8000]}x"
+    rows = [(k, body(k) + ("\nread our terms" if k < 600 else "\nsome rare line" if k < 700 else ""), "big") for k in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.removed_words for r in line_frequency.judge(docs).where("doc_id < 800").collect()}
+    assert {got[k] for k in range(600)} == {3} and {got[k] for k in range(600, 800)} == {0}
+
+
+def shuffled_classes(page, rng):
+    names = {}
+    name = lambda m: f"{m[1]}={m[2]}{names.setdefault(m[3], ''.join(rng.choice('bcdfghjkmnpqrtvwxz') for _ in range(6)))}{m[2]}"
+    return re.sub(r"""\b(class|id|role)=(["'])(.*?)\2""", name, page)
+
+
+def test_pages_with_random_classes(spark):
+    """Class names say nothing on these pages; the labels are those of the same pages with their names."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    net = block_labeller.train(pages[::2])
+    rng = random.Random(9)
+    scores = {}
+    for how, change in (("named", lambda p: p), ("random", lambda p: shuffled_classes(p, rng))):
+        hit = wrong = missed = 0
+        for page in pages[1::2]:
+            want = [block_labeller.taught(b[1]) for b in block_labeller.blocks(page)]
+            if any(want):
+                found = block_labeller.blocks(change(page))
+                got = net.label([block_labeller.positioned(block_labeller.vectors(found))])[0]
+                hit += sum(a and b for a, b in zip(want, got, strict=True))
+                wrong += sum(b and not a for a, b in zip(want, got, strict=True))
+                missed += sum(a and not b for a, b in zip(want, got, strict=True))
+        scores[how] = 2 * hit / (2 * hit + wrong + missed)
+    assert scores["named"] > 0.98 and scores["random"] >= 0.95, scores
+
+
+def test_pages_without_a_known_container_teach_nothing():
+    seen = []
+    learn, block_labeller.Labeller.learn = block_labeller.Labeller.learn, lambda self, x, mask, y, rate: seen.append(int(mask.sum()))
+    try:
+        block_labeller.train(["<div class='x9'><p>words here</p></div>"], rounds=1)
+        assert seen == []
+        block_labeller.train(["<article><p>words here</p></article>"], rounds=1)
+        assert seen == [1]
+    finally:
+        block_labeller.Labeller.learn = learn
+
+
+def test_words_are_kept_over_generations_and_ranges(monkeypatch):
+    """Ids and sentence ends of whole texts, with tables and ranges far smaller than the texts."""
+    rng = random.Random(12)
+    words = ["one", "Two.", "three,", "x" * 90, "don't", "é!", "日本", "#4?", "<|endoftext|>", "İstanbul", "á"]
+    texts = ["", None, "w" * 500, "tail. ", " \n "] + ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t", ". "]) for _ in range(rng.randrange(300))) for _ in range(60)]
+    monkeypatch.setattr(packing, "STEP_BYTES", 64)
+    monkeypatch.setattr(packing, "KEPT", 5)
+    model = packing.WordTokenizer(queries.WORD_TOKENIZER)
+    for _ in range(2):
+        for i in range(0, len(texts), 7):
+            some = texts[i : i + 7]
+            ids, begin, stops = model.encode(*packing.textkit.flat(pa.array(some, pa.string())))
+            own = [model.model.encode(t or "", add_special_tokens=False).ids for t in some]
+            assert ids.tolist() == [x for o in own for x in o] and begin.tolist() == np.cumsum([0, *map(len, own)]).tolist()
+            want = []
+            for t, a in zip(some, begin.tolist(), strict=False):
+                for m in re.finditer(r"(?<=[.!?]) |\n", t or ""):
+                    want.append(a + len(model.model.encode((t or "")[: m.start()], add_special_tokens=False).ids))
+            assert stops.tolist() == want
