@@ -7,9 +7,10 @@ taken out of the shorter one. Every symbol that a longer context has seen, the s
 count is a sum per node that one join of the strings with themselves yields; no text is walked for it.
 
 The trie grows with the corpus, so nobody holds all of it. Texts are dealt into blocks by their key; a block asks for
-the strings that occur in it, gets their nodes by an equi join and scores its texts from this part. A block of
-`block_bytes` of text has a bounded number of strings, whatever the corpus holds. Words of the baseline travel the
-same way under a 63-bit hash.
+the longest strings that occur in it, and gets one number back for each. In between, the different strings and the nodes
+of the trie meet in buckets by the last symbols of their contexts, which all nodes that a string needs have in common, but
+for those of at most two symbols; these are few whatever the corpus holds, and go to every bucket. A block of
+`block_bytes` of text has a bounded number of strings. Words of the baseline travel the same way under a 63-bit hash.
 
 Null and empty texts hold the end symbol alone and are scored as that. Rows with a null key are scored, and count as
 training rows. Repeated rows count as often as they stand. With no training rows every symbol has the same
@@ -38,6 +39,8 @@ BITS = 9
 END_TOKEN = -1
 #: The columns of a node.
 VALUES = ("cnt", "t", "d", "x")
+#: Parts of a bucket's contexts by the third symbol from the end; a power of two.
+PARTS = 8
 #: Bytes of text whose symbols are held as numbers at once.
 STEP_BYTES = 1 << 18
 
@@ -138,19 +141,55 @@ def trie(counts: DataFrame, order: int) -> DataFrame:
     return counts.where(longest).select("code", "cnt", *zero).union(inner)
 
 
+def length_of(code: Column, order: int) -> Column:
+    """Symbols of a string, from where its tag stands."""
+    return sum(((code >= F.lit(tag(k))).cast("int") for k in range(1, order + 2)), F.lit(0))
+
+
+def small_nodes(nodes: DataFrame) -> pa.Table:
+    """The strings of at most two symbols, 66,823 at most whatever the corpus holds: every bucket needs them."""
+    return nodes.where((F.col("code") >= 1) & (F.col("code") < tag(3))).toArrow()
+
+
+def bucket_of(context: Column, buckets: int, third: Column | None = None) -> Column:
+    """Bucket of a context by its last two symbols and, in PARTS parts, by the one before them."""
+    part = F.shiftright(context, 2 * BITS).bitwiseAND(PARTS - 1) if third is None else third
+    return F.pmod(F.xxhash64(context.bitwiseAND((1 << 2 * BITS) - 1), part.cast("long")), F.lit(buckets)).cast("int")
+
+
+def dealt_nodes(nodes: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(bucket, code, cnt, t, d, x): a string of three symbols or more goes, for its count, where its context is asked
+    for, and as a context of two or more where it is asked for itself. Those that end before the third symbol from the
+    context's end go to all parts."""
+    sized = nodes.where(F.col("code") >= tag(2)).withColumn("len", length_of(F.col("code"), order))
+    every = F.sequence(F.lit(0), F.lit(PARTS - 1))
+
+    def placed(context: Column, whole: Column) -> Column:
+        parts = F.transform(every, lambda p: bucket_of(context, buckets, p))
+        return F.array_distinct(F.when(whole, F.array(bucket_of(context, buckets))).otherwise(parts))
+
+    before = F.shiftright("code", BITS)
+    zero = [F.lit(0).cast("long").alias(c) for c in ("t", "d", "x")]
+    strings = sized.where("len >= 3 and cnt > 0").select(F.explode(placed(before, F.col("len") >= 4)).alias("bucket"), "code", "cnt", *zero)
+    contexts = sized.where("len >= 2 and t > 0").select(
+        F.explode(placed(F.col("code"), F.col("len") >= 3)).alias("bucket"), "code", F.lit(0).cast("long").alias("cnt"), "t", "d", "x"
+    )
+    return strings.union(contexts)
+
+
 class Part:
-    """The nodes that one block asked for: contexts with all values, words and the longest strings with their count."""
-
-    def __init__(self, table: pa.Table, order: int):
-        code = table.column("code").to_numpy()
-        outer = (code < 0) | (code >= tag(order + 1))
-        self.first_outer = tag(order + 1)
-        at, cnt = np.flatnonzero(outer), table.column("cnt").to_numpy()
-        at = at[np.argsort(code[at])]
-        self.outer = {"code": code[at], "cnt": cnt[at]}
-        at = np.flatnonzero(~outer)
-        at = at[np.argsort(code[at])]
-        self.inner = {"code": code[at]} | {c: table.column(c).to_numpy()[at] for c in VALUES}
+    """The nodes that the strings of one bucket need: strings with their counts, contexts with t, d and x."""
+
+    def __init__(self, *tables: pa.Table):
+        columns = {c: np.concatenate([t.column(c).to_numpy() for t in tables]) for c in ("code", *VALUES)}
+        self.strings = self.sorted(columns, columns["cnt"] > 0, ("cnt",))
+        self.contexts = self.sorted(columns, columns["t"] > 0, ("t", "d", "x"))
+
+    @staticmethod
+    def sorted(columns: dict[str, np.ndarray], which: np.ndarray, values: tuple[str, ...]) -> dict[str, np.ndarray]:
+        at = np.flatnonzero(which)
+        at = at[np.argsort(columns["code"][at])]
+        return {c: columns[c][at] for c in ("code", *values)}
 
     @staticmethod
     def find(table: dict[str, np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,10 +200,9 @@ class Part:
         return row, table["code"][row] == codes
 
     def counts(self, codes: np.ndarray) -> np.ndarray:
-        """How often the words or the strings of one length were counted; 0 if never."""
-        table = self.outer if len(codes) and (codes[0] < 0 or codes[0] >= self.first_outer) else self.inner
-        row, known = self.find(table, codes)
-        return np.where(known, table["cnt"][row], 0) if len(table["code"]) else np.zeros(len(codes), np.int64)
+        """How often the strings were counted; 0 if never."""
+        row, known = self.find(self.strings, codes)
+        return np.where(known, self.strings["cnt"][row], 0) if len(self.strings["code"]) else np.zeros(len(codes), np.int64)
 
     def log_prob(self, grams: np.ndarray, order: int) -> np.ndarray:
         """Natural log of the probability of each gram's last symbol after its others."""
@@ -174,8 +212,8 @@ class Part:
         open_ = np.arange(len(grams))  # grams whose symbol no context has offered yet
         for k in range(order, -1, -1):
             g = grams[open_]
-            row, known = self.find(self.inner, (g >> BITS) & (tag(k) - 1) | tag(k))
-            t, d, x = (np.where(known, self.inner[c][row], 0) if len(self.inner["code"]) else np.zeros(len(g), np.int64) for c in ("t", "d", "x"))
+            row, known = self.find(self.contexts, (g >> BITS) & (tag(k) - 1) | tag(k))
+            t, d, x = (np.where(known, self.contexts[c][row], 0) if len(self.contexts["code"]) else np.zeros(len(g), np.int64) for c in ("t", "d", "x"))
             known &= t > 0
             seen = np.where(known, self.counts(g & (tag(k + 1) - 1) | tag(k + 1)), 0)
             hit = seen > 0
@@ -192,7 +230,8 @@ class Part:
 
 
 def scores(
-    docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", order: int = 5, block_bytes: int = 16 << 20
+    docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text", order: int = 5, block_bytes: int = 16 << 20,
+    bucket_bytes: int = 4 << 20,
 ) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability of each whole text)."""
     if not 1 <= order <= 5:
@@ -207,44 +246,40 @@ def scores(
     amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-amount // block_bytes))  # the size of a block counts, not the number of partitions: each asks anew
     dealt = rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-
-    def ask(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        parts: list[np.ndarray] = []
-        for data, at, _, _ in lowered(table.column("text")):
-            grams = pd.unique(gram_codes(data, at, order)[0])
-            parts.append(grams)
-            parts.append(pd.unique(word_codes(data, at)[0]))
-        codes = pd.unique(np.concatenate(parts))
-        parts.clear()
-        strings = codes[codes >= 0] | tag(order + 1)
-        wanted = [codes[codes < 0], np.array([END_TOKEN, tag(0)]), strings]
-        for k in range(order, 0, -1):  # endings and contexts of length k, from those that are one symbol longer
-            strings = pd.unique(np.concatenate((strings & (tag(k) - 1) | tag(k), strings >> BITS)))
-            wanted.append(strings)
-        code = np.concatenate(wanted)
-        code.sort()
+    # both readers of what was asked take it from this one shuffle
+    asked = asked_codes(dealt, order).repartition("code")
+    values = string_values(asked, nodes, order, max(1, amount // bucket_bytes)).union(nodes.where("code < 0").select("code", F.col("cnt").cast("double").alias("value")))
+    parts = asked.join(values, "code").select("block", "code", "value")
+
+    def answer(texts: pa.Table, known_codes: pa.Table) -> pa.Table:
+        code, value = known_codes.column("code").to_numpy(), known_codes.column("value").to_numpy()
+        at = np.argsort(code)
+        code, value = code[at], value[at]
+        del at, known_codes
         pa.default_memory_pool().release_unused()
-        return pa.table({"block": pa.array(np.full(len(code), block, np.int32)), "code": pa.array(code.astype(np.int64))})
 
-    def answer(texts: pa.Table, part_rows: pa.Table) -> pa.Table:
-        part = Part(part_rows, order)
-        pa.default_memory_pool().release_unused()
+        def of(codes: np.ndarray) -> np.ndarray:
+            """The value of each code; 0 of words that no training text has."""
+            if not len(code):
+                return np.zeros(len(codes))
+            row = np.minimum(np.searchsorted(code, codes), len(code) - 1)
+            return np.where(code[row] == codes, value[row], 0.0)
+
         floor = math.log10(0.5 / (n_train + 0.5 * (v_train + 1)))
         n_tokens, n_known, base, score = [], [], [], []
         for data, at, _, _ in lowered(texts.column("text")):
             n = len(at) - 1
             grams, begin = gram_codes(data, at, order)
             places, different = pd.factorize(grams)
-            logs = part.log_prob(different, order)[places]
+            logs = of(different | tag(order + 1))[places]
             score.append(np.add.reduceat(logs, begin[:-1]) / math.log(10))
             codes, doc = word_codes(data, at)
             codes, doc = np.concatenate((codes, np.full(n, END_TOKEN))), np.concatenate((doc, np.arange(n)))
             places, different = pd.factorize(codes)
-            c = part.counts(different)
+            c = of(different)
             known = c > 0
-            value = np.where(known, np.log10((c + 0.5) / (n_train + 0.5 * (v_train + 1))), floor)
-            base.append(np.bincount(doc, weights=value[places], minlength=n))
+            worth = np.where(known, np.log10((c + 0.5) / (n_train + 0.5 * (v_train + 1))), floor)
+            base.append(np.bincount(doc, weights=worth[places], minlength=n))
             n_tokens.append(np.bincount(doc, minlength=n))
             n_known.append(np.bincount(doc, weights=known[places], minlength=n).astype(np.int64))
         return pa.table({
@@ -252,10 +287,46 @@ def scores(
             "base_score": pa.array(np.concatenate(base)), "score": pa.array(np.concatenate(score)),
         })
 
-    asked = dealt.groupBy("block").applyInArrow(ask, "block int, code long")
-    parts = asked.join(nodes, "code").select("block", "code", *VALUES)
     id_type = rows.schema["id"].dataType.simpleString()
     out = dealt.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(
         answer, f"id {id_type}, n_tokens long, n_known long, base_score double, score double"
     )
     return out.select(F.col("id").alias(key), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def asked_codes(dealt: DataFrame, order: int) -> DataFrame:
+    """(block, code): the longest strings and the words that occur in a block's texts, each once."""
+
+    def ask(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        parts: list[np.ndarray] = [np.array([END_TOKEN])]
+        for data, at, _, _ in lowered(table.column("text")):
+            parts.append(pd.unique(gram_codes(data, at, order)[0]) | tag(order + 1))
+            parts.append(pd.unique(word_codes(data, at)[0]))
+        code = pd.unique(np.concatenate(parts)).astype(np.int64)
+        parts.clear()
+        code.sort()
+        pa.default_memory_pool().release_unused()
+        return pa.table({"block": pa.array(np.full(len(code), block, np.int32)), "code": pa.array(code)})
+
+    return dealt.groupBy("block").applyInArrow(ask, "block int, code long")
+
+
+def string_values(asked: DataFrame, nodes: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(code, value): the natural log of the probability of each asked string's last symbol after its others.
+
+    A string needs the nodes of all lengths that end like its context, so strings and nodes are dealt by the context's
+    last symbols. Different blocks ask for the same strings; each is answered once.
+    """
+    buckets = max(buckets, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    different = asked.where("code >= 0").groupBy("code").agg(F.min("block").alias("block"))
+    small = small_nodes(nodes)
+    longest = tag(order + 1)
+
+    def solve(strings: pa.Table, near: pa.Table) -> pa.Table:
+        code = strings.column("code").to_numpy()
+        value = Part(small, near).log_prob(code & (longest - 1), order)
+        return pa.table({"code": pa.array(code), "value": pa.array(value)})
+
+    grams = different.select(bucket_of(F.shiftright(F.col("code").bitwiseAND(longest - 1), BITS), buckets).alias("bucket"), "code")
+    return grams.groupBy("bucket").cogroup(dealt_nodes(nodes, order, buckets).groupBy("bucket")).applyInArrow(solve, "code long, value double")
