@@ -23,7 +23,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,9 +73,31 @@ def word_codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (hashes | np.uint64(1 << 63)).astype(np.int64), doc
 
 
+def different(codes: np.ndarray) -> np.ndarray:
+    """The distinct codes in ascending order; sorting numbers costs less than hashing them."""
+    codes = np.sort(codes)
+    return codes[np.concatenate(([True], codes[1:] != codes[:-1]))] if len(codes) else codes
+
+
+def grouped(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the codes, the distinct ones, and which of them stands at each place of the order."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    new = np.concatenate(([True], codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, bool)
+    return order, codes[new], np.cumsum(new) - 1
+
+
 def tally(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    places, different = pd.factorize(codes, sort=True)  # neighbours in order take less room in a shuffle
-    return different, np.bincount(places, weights=counts, minlength=len(different)).astype(np.int64)
+    """The distinct codes in ascending order, which takes less room in a shuffle, and how often each stands there."""
+    if not len(codes):
+        return codes, np.zeros(0, np.int64)
+    if counts is None:
+        codes = np.sort(codes)
+    else:
+        order = np.argsort(codes)
+        codes, counts = codes[order], counts[order]
+    at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[at], np.diff(np.append(at, len(codes))) if counts is None else np.add.reduceat(counts, at)
 
 
 def lowered(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -109,7 +130,7 @@ def corpus_counts(docs: DataFrame, text: str, order: int) -> DataFrame:
             for data, at, _, _ in lowered(batch.column(0)):
                 grams.append(tally(gram_codes(data, at, order)[0]))
                 words.append(tally(np.concatenate((word_codes(data, at)[0], np.full(len(at) - 1, END_TOKEN)))))
-            if sum(len(p[0]) for p in grams + words) > 1_000_000:
+            if sum(len(p[0]) for p in grams + words) > 2_000_000:
                 yield from emit(grams, False)
                 yield from emit(words, True)
         yield from emit(grams, False)
@@ -270,18 +291,20 @@ def scores(
         for data, at, _, _ in lowered(texts.column("text")):
             n = len(at) - 1
             grams, begin = gram_codes(data, at, order)
-            places, different = pd.factorize(grams)
-            logs = of(different | tag(order + 1))[places]
+            places, asked_for, which = grouped(grams)
+            logs = np.empty(len(grams))
+            logs[places] = of(asked_for | tag(order + 1))[which]
             score.append(np.add.reduceat(logs, begin[:-1]) / math.log(10))
             codes, doc = word_codes(data, at)
             codes, doc = np.concatenate((codes, np.full(n, END_TOKEN))), np.concatenate((doc, np.arange(n)))
-            places, different = pd.factorize(codes)
-            c = of(different)
+            places, asked_for, which = grouped(codes)
+            c = of(asked_for)
             known = c > 0
             worth = np.where(known, np.log10((c + 0.5) / (n_train + 0.5 * (v_train + 1))), floor)
-            base.append(np.bincount(doc, weights=worth[places], minlength=n))
+            doc = doc[places]
+            base.append(np.bincount(doc, weights=worth[which], minlength=n))
             n_tokens.append(np.bincount(doc, minlength=n))
-            n_known.append(np.bincount(doc, weights=known[places], minlength=n).astype(np.int64))
+            n_known.append(np.bincount(doc, weights=known[which], minlength=n).astype(np.int64))
         return pa.table({
             "id": texts.column("id"), "n_tokens": pa.array(np.concatenate(n_tokens)), "n_known": pa.array(np.concatenate(n_known)),
             "base_score": pa.array(np.concatenate(base)), "score": pa.array(np.concatenate(score)),
@@ -301,11 +324,10 @@ def asked_codes(dealt: DataFrame, order: int) -> DataFrame:
         block = table.column("block")[0].as_py()
         parts: list[np.ndarray] = [np.array([END_TOKEN])]
         for data, at, _, _ in lowered(table.column("text")):
-            parts.append(pd.unique(gram_codes(data, at, order)[0]) | tag(order + 1))
-            parts.append(pd.unique(word_codes(data, at)[0]))
-        code = pd.unique(np.concatenate(parts)).astype(np.int64)
+            parts.append(different(gram_codes(data, at, order)[0]) | tag(order + 1))
+            parts.append(different(word_codes(data, at)[0]))
+        code = different(np.concatenate(parts))
         parts.clear()
-        code.sort()
         pa.default_memory_pool().release_unused()
         return pa.table({"block": pa.array(np.full(len(code), block, np.int32)), "code": pa.array(code)})
 
@@ -319,7 +341,8 @@ def string_values(asked: DataFrame, nodes: DataFrame, order: int, buckets: int)
     last symbols. Different blocks ask for the same strings; each is answered once.
     """
     buckets = max(buckets, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    different = asked.where("code >= 0").groupBy("code").agg(F.min("block").alias("block"))
+    # the condition comes after the aggregate, so that it isn't pushed below the shuffle that the other reader shares
+    strings = asked.groupBy("code").agg(F.min("block").alias("block"), F.max("code").alias("top")).where("top >= 0")
     small = small_nodes(nodes)
     longest = tag(order + 1)
 
@@ -328,5 +351,5 @@ def string_values(asked: DataFrame, nodes: DataFrame, order: int, buckets: int)
         value = Part(small, near).log_prob(code & (longest - 1), order)
         return pa.table({"code": pa.array(code), "value": pa.array(value)})
 
-    grams = different.select(bucket_of(F.shiftright(F.col("code").bitwiseAND(longest - 1), BITS), buckets).alias("bucket"), "code")
+    grams = strings.select(bucket_of(F.shiftright(F.col("code").bitwiseAND(longest - 1), BITS), buckets).alias("bucket"), "code")
     return grams.groupBy("bucket").cogroup(dealt_nodes(nodes, order, buckets).groupBy("bucket")).applyInArrow(solve, "code long, value double")
