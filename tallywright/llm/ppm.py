@@ -267,8 +267,8 @@ def scores(
     amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-amount // block_bytes))  # the size of a block counts, not the number of partitions: each asks anew
     dealt = rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    # both readers of what was asked take it from this one shuffle
-    asked = asked_codes(dealt, order).repartition("code")
+    # both readers of what was asked take it from this one shuffle: a code that can't be null needs no filter before the join
+    asked = asked_codes(dealt, order).select("block", F.coalesce("code", F.lit(0)).alias("code")).repartition("code")
     values = string_values(asked, nodes, order, max(1, amount // bucket_bytes)).union(nodes.where("code < 0").select("code", F.col("cnt").cast("double").alias("value")))
     parts = asked.join(values, "code").select("block", "code", "value")
 
@@ -341,8 +341,8 @@ def string_values(asked: DataFrame, nodes: DataFrame, order: int, buckets: int)
     last symbols. Different blocks ask for the same strings; each is answered once.
     """
     buckets = max(buckets, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # the condition comes after the aggregate, so that it isn't pushed below the shuffle that the other reader shares
-    strings = asked.groupBy("code").agg(F.min("block").alias("block"), F.max("code").alias("top")).where("top >= 0")
+    # conditions on aggregates of both columns: neither a filter nor a projection is pushed below the shuffle that the other reader shares
+    strings = asked.groupBy("code").agg(F.min("block").alias("block"), F.max("code").alias("top")).where("top >= 0 and block >= 0")
     small = small_nodes(nodes)
     longest = tag(order + 1)
 
