@@ -6,9 +6,11 @@ digits of two bits, in hexadecimal. The difference of two digests is the sum of
 are two or more apart, three for each further one), of the codes' and of the ratios', none of which can exceed a bound;
 likeness is 1 less the share of the greatest possible difference.
 
-`with_next` pairs each document with its successor in descending order of the key. The order is cut into ranges of keys
-at quantiles; each range is sorted in one task and also gets the document that follows its last, so one shuffle is
-enough and no range has to see another. Rows with equal keys follow one another in the order of their texts.
+`with_next` pairs each document with its successor in descending order of the key, a number or a text. The order is cut
+into ranges at boundaries drawn from the rows themselves, a few for each range, so that ranges are even; a row finds its
+range by a search in two steps. Each range is sorted in one task and also gets the document that follows its last, so one
+shuffle of texts is enough and no range has to see another. Rows with equal keys follow one another in the order of a hash
+of their texts, by which ranges cut them too. What is held as a whole is a boundary and a head per range.
 
 Null texts are empty. Texts with fewer than five bytes have no triplets and a digest of zeros. Rows with a null key come
 after all others. An empty table gives an empty result; a single document follows itself. Other columns are ignored,
@@ -18,14 +20,17 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallywright.llm import textkit
+from tallywright.operators.ranking import range_bucket
 
 BUCKETS = 256
 #: Offsets, from a window's last byte, of the other two bytes of each triplet.
@@ -33,6 +38,8 @@ TRIPLETS = ((1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4))
 #: Greatest length code, and its weight at a difference of one.
 LENGTHS, LENGTH_BOUND, RATIO_BOUND = 255, 12, 12
 MOST = BUCKETS * 6 + LENGTH_BOUND + 2 * RATIO_BOUND
+#: Boundaries drawn for each range; the ranges' sizes spread by about one part in the square root of it.
+DRAWS = 8
 
 
 def bucket_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -110,29 +117,30 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def with_next(docs: DataFrame, key: str, text: str, range_bytes: int) -> DataFrame:
     """id, text, range, guest: rows in ranges of descending key, each range with the row after its last as a guest."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    amount = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("id").alias("keys")).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(amount["bytes"] or 0) // range_bytes))
-    cuts: list[int] = []
-    if parts > 1 and amount["keys"]:  # a cut per range, whatever the number of rows
-        found = rows.where("id is not null").agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 20 * parts)).first()[0]
-        cuts = sorted(set(found))
-    below = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("id"))) if cuts else F.lit(0)
-    placed = rows.withColumn("range", F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(len(cuts) - below))
-    heads = sorted((r["range"], r["head"]) for r in placed.groupBy("range").agg(F.max("id").alias("head")).collect())  # a row per range
-    # the head of each range is the guest of the range before it; that of the first is the guest of the last
-    seats = spark.createDataFrame([(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)], "head long, seat int")
-    invited = placed.join(F.broadcast(seats), F.col("id").eqNullSafe(F.col("head"))).select("id", "text", F.col("seat").alias("range"), F.lit(1).alias("guest"))
-    both = placed.select("id", "text", "range", F.lit(0).alias("guest")).union(invited)
-    return both.repartition(parts, "range").sortWithinPartitions("range", "guest", F.col("id").desc_nulls_last(), "text")
-
-
-def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = 16 << 20) -> DataFrame:
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    amount = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-amount // range_bytes))
+    side = math.isqrt(DRAWS * parts - 1) + 1
+    placed = range_bucket(rows, ["id", "tie"], side * side, "bucket").withColumn("range", F.expr(f"int(bucket * {parts} div {side * side})")).drop("bucket")
+    # the head of each range is the guest of the range before it in this order; that of the first is the guest of the last
+    heads = placed.groupBy("range").agg(F.max(F.struct("id", "tie")).alias("head"))  # a row per range
+    seat = F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.partitionBy()))
+    seats = heads.select(seat.alias("seat"), F.col("head.id").alias("head_id"), F.col("head.tie").alias("head_tie"))
+    met = placed.join(F.broadcast(seats), F.col("id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")))
+    guest = met.groupBy("seat").agg(F.max(F.struct("id", "tie", "text")).alias("g"))  # repeated rows are one guest
+    both = placed.select("id", "tie", "text", "range", F.lit(0).alias("guest")).union(guest.select("g.id", "g.tie", "g.text", "seat", F.lit(1)))
+    dealt = both.repartitionById(parts, F.col("range"))
+    return dealt.sortWithinPartitions("range", "guest", F.col("id").desc_nulls_last(), F.desc("tie"), F.desc("text")).drop("tie")
+
+
+def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = 128 << 20) -> DataFrame:
     """For every row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. The edited
     text has the start of the next document in place of its last third."""
     textkit.bounded_batches(docs.sparkSession)
     names = ("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    id_type = docs.schema[key].dataType
+    types = (to_arrow_type(id_type), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
     Row = tuple[int, str, int, int]
 
     def compared(pairs: list[tuple[Row, Row]]) -> pa.RecordBatch:
@@ -169,6 +177,6 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield compared([(last, last)])
 
     made = with_next(docs, key, text, range_bytes).mapInArrow(
-        run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        run, f"id {id_type.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
     return made.withColumnRenamed("id", key)

@@ -261,6 +261,28 @@ def test_digest_pairs(spark):
         assert got[k].near_next == pytest.approx(float(quartile_digest.likeness(*(quartile_digest.read(got[j].fingerprint)[None] for j in (k, (k - 1) % 60)))[0]))
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_digest_pairs_of_repeated_and_null_keys(spark, kind):
+    """A third of all rows under one key, repeated rows, null keys and texts; ranges are smaller than the key's group."""
+    rng = random.Random(8)
+    rows = [(k if k % 3 else 30, None if k % 17 == 0 else "".join(rng.choice("abcd ") for _ in range(40)) + str(k)) for k in range(300)]
+    rows += [(None, "no key at all, one"), (None, "no key at all, two"), *[(30, "the same row again")] * 20]
+    keyed = [(k if k is None or kind == "long" else f"key-{k:04d}", t) for k, t in rows]
+    docs = spark.createDataFrame(keyed, f"doc_id {kind}, text string").repartition(5)
+    ties = {r.t: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).distinct().withColumn("h", F.xxhash64("t")).collect()}
+    # descending keys, null ones last, then descending hashes
+    order = sorted(((k is not None, k if k is not None else keyed[0][0], ties[t or ""], t or "") for k, t in keyed), reverse=True)
+    want = []
+    for own, after in zip(order, order[1:] + order[:1]):
+        cut = len(own[3]) // 3
+        want.append((own[1] if own[0] else None, len(own[3]), hashlib.sha256((own[3][: len(own[3]) - cut] + after[3][:cut]).encode()).hexdigest()))
+    for size in (200, 128 << 20):
+        got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in quartile_digest.compare_with_next(docs, range_bytes=size).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), size
+    ranges = quartile_digest.with_next(docs, "doc_id", "text", 200).where("guest = 0").groupBy("range").count().collect()
+    assert len(ranges) > 20 and max(r["count"] for r in ranges) <= 60
+
+
 def test_pages():
     main = ["The main words stand here, and there are many of them."] * 3 + ["Short."]
     page = block_labeller.remade(main, ["Menu", "Log in", "About us"], random.Random(1))[0]
