@@ -17,6 +17,7 @@ QUICK = [
     "waterfill_allocation", "validate_ids", "check_order_whole_table", "classify_glued_words", "bar_totals", "excerpt_owners",
     "cloze_items", "verify_items_train", "tiered_title_distractors", "place_options", "nested_options", "contaminated_items",
     "tally", "mc_report", "control_prior", "compare_runs", "cross_benchmark_correlation", "metric_merge",
+    "test_side", "assemble_side", "content_units", "self_contradiction_join", "match_by_id",
 ]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("CHECK_QUERIES") == "all" else QUICK
 
