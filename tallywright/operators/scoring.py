@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import reply as R
 from tallywright.functions.hashing import seeded_number
-from tallywright.functions.text import WORD, marked, norm_answer
+from tallywright.functions.text import WORD, marked, norm_answer, once
 from tallywright.operators.pairs import sequence_pass
 from tallywright.operators.ranking import join_null_safe, ordered_rank, seeded_rank
 
@@ -85,9 +85,10 @@ def unmatched_gate(preds: DataFrame, keys: DataFrame, slot: Sequence[str]) -> Da
 def rival_sets(items: DataFrame) -> DataFrame:
     """(category, rival): normalised answers of a category; an abstain category
     takes those of its positive twin."""
-    answers = items.select("category", norm_answer(F.col("answer")).alias("rival")).distinct()
-    positive = answers.where(~F.endswith("category", F.lit(ABSTAIN)))
-    abstain = answers.where(F.endswith("category", F.lit(ABSTAIN))).select("category").distinct()
+    # distinct before and after: each spelling is normalised once
+    answers = items.where(~F.endswith("category", F.lit(ABSTAIN))).select("category", "answer").distinct()
+    positive = answers.select("category", norm_answer(F.col("answer")).alias("rival")).distinct()
+    abstain = items.where(F.endswith("category", F.lit(ABSTAIN))).select("category").distinct()
     twins = abstain.withColumn("twin", F.regexp_replace("category", f"{ABSTAIN}$", "")).join(
         positive.withColumnRenamed("category", "twin"), "twin"
     )
@@ -109,7 +110,9 @@ def rival_hits(preds: DataFrame, key: Sequence[str], rivals: DataFrame) -> DataF
         "category", "rival", F.size(spelled).alias("n"), F.array_join(spelled, " ").alias("gram"), marked(F.col("rival")).alias("rm")
     )
     lengths = keyed.groupBy("category").agg(F.collect_set("n").alias("lengths"))
-    worded = preds.join(lengths, "category").withColumn("ws", F.regexp_extract_all("p", F.lit(word), F.lit(0)))
+    # a row per category is broadcast; Spark's own choice by file size would be the replies
+    read = F.struct(F.regexp_extract_all("p", F.lit(word), F.lit(0)).alias("ws"), marked(F.col("p")).alias("pm"), F.col("g").alias("g"))
+    worded = preds.join(F.broadcast(lengths), "category").withColumn("__r", once(read)).select(*key, "category", "lengths", "__r.*")
     grams = F.array_distinct(
         F.flatten(
             F.transform(
@@ -123,7 +126,7 @@ def rival_hits(preds: DataFrame, key: Sequence[str], rivals: DataFrame) -> DataF
             )
         )
     )
-    asked = worded.select(*key, "category", "g", marked(F.col("p")).alias("pm"), F.explode(grams).alias("gram"))
+    asked = worded.select(*key, "category", "g", "pm", F.explode(grams).alias("gram"))
     met = asked.join(keyed.select("category", "gram", "rival", "rm"), ["category", "gram"])
     judged = met.where(F.contains("pm", F.col("rm"))).select(
         *key, (~F.contains("g", F.col("rival"))).alias("names"), (F.length("rival") > 3).alias("long")
@@ -136,7 +139,8 @@ def score(preds: DataFrame, key: Sequence[str], rivals: DataFrame, rules: Mappin
     read = preds.withColumn("said", R.strip_reasoning(F.coalesce("reply", F.lit("")))).withColumn(
         "rule", rule_of(F.col("category"), rules)
     )
-    norm = read.withColumn("p", norm_answer(F.col("said"))).withColumn("g", norm_answer(F.col("answer")))
+    texts = F.struct(norm_answer(F.col("said")).alias("p"), norm_answer(F.col("answer")).alias("g"))
+    norm = read.withColumn("__t", once(texts)).select(*read.columns, "__t.*")
     by_rival = F.col("rule").isin("contains", "refusal")
     hits = rival_hits(norm.where(by_rival).select(*key, "category", "p", "g"), key, rivals)
     joined = join_null_safe(norm, hits, key, "left").fillna(False, ["names_rival", "names_long"])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.functions.hashing import seeded_number
+from tallywright.operators.ranking import deal
 from tallywright.plans.registry import load
 from tallywright.plans.sqlkit import number
 
@@ -17,8 +18,11 @@ KINDS = ["ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE"]
 
 
 def qa_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Three items per part; parts of every tenth size state no maker."""
-    part = load(spark, sf, "part")
+    """Three items per part; parts of every tenth size state no maker.
+
+    Parts are dealt by key before they become items and replies: a small file would be one task to the end.
+    """
+    part = deal(load(spark, sf, "part"), "p_partkey")
     title = F.concat(F.col("p_name"), F.lit(" "), F.col("p_partkey"))
     blank = F.col("p_size") % 10 == 0
     rows = F.array(

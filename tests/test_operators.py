@@ -262,3 +262,27 @@ def test_distractors_that_read_alike(spark):
     for r in got:
         like = ["".join(c for c in n.lower() if c.isalpha()) for n in r.others]
         assert len(set(like)) == 4 and "".join(c for c in names[r.id].lower() if c.isalpha()) not in like
+
+
+def test_what_is_exploded_from_a_file_is_not_broadcast(spark):
+    """Spark takes these rows for as large as the range they come from, which is below any threshold."""
+    rows = spark.range(40).select(F.col("id").alias("record"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("category"))
+    facts = rows.withColumn("answer", F.concat("category", (F.col("record") % 9).cast("string")))
+    picked = choices.pick_other_values(facts, ["record", "category"], ["category"], "answer", facts, 4, "s")
+    joins = [x for x in picked._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x]
+    # bucket totals may be: a row per bucket and category
+    assert not [x for x in joins if "record#" in x.split("Inner")[0] or "answer#" in x.split("Inner")[0]]
+    assert picked.count() == 80
+
+
+def test_replies_are_not_broadcast_and_read_once(spark):
+    preds = spark.range(40).select(
+        F.col("id").alias("k"), F.lit("c").alias("category"), F.concat(F.lit("say X"), F.col("id") % 3, F.lit(" now")).alias("p"), F.lit("x0").alias("g")
+    ).withColumn("p", F.lower("p"))
+    rivals = spark.range(3).select(F.lit("c").alias("category"), F.concat(F.lit("x"), F.col("id")).alias("rival"))
+    hits = scoring.rival_hits(preds, ["k"], rivals)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin [category" in x and "BuildLeft" in x]
+    # the reply is spelled in one place, not again in the filter on its n-grams
+    assert max(x.count("lower(concat(say X") for x in plan.splitlines()) <= 2
+    assert {r.k: r.names_rival for r in hits.collect()} == {k: k % 3 != 0 for k in range(40)}
