@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.functions.hashing import seeded_number
+from tallywright.functions.text import once
 from tallywright.operators.ranking import deal
 from tallywright.plans.registry import load
 from tallywright.plans.sqlkit import number
@@ -79,26 +80,32 @@ RUNS = {"base": 2, "s1": 6, "s2": 7}
 
 
 def predictions(spark: SparkSession, sf: str, runs: dict[str, int] = RUNS) -> DataFrame:
-    """One reply per run and item: right, wrapped, hedged, refused or wrong."""
+    """One reply per run and item: right, wrapped, hedged, refused or wrong.
+
+    Draws, the rival and the reply are each worked out once a row: put at every mention they made code beyond what the
+    compiler takes.
+    """
     items = qa_items(spark, sf)
     table = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(k).alias("skill")) for r, k in runs.items()])
     rows = items.withColumn("r", F.explode(table)).select("*", "r.*").drop("r")
-    luck = seeded_number("luck", F.col("run"), F.col("item_id")) % 10
-    form = seeded_number("form", F.col("run"), F.col("item_id")) % 5
-    other = (
+    draw = lambda seed: seeded_number(seed, F.col("run"), F.col("item_id")).alias(seed)
+    rows = rows.withColumn("d", once(F.struct(draw("luck"), draw("form"), draw("rival"))))
+    luck, form, rival = F.col("d.luck") % 10, F.col("d.form") % 5, F.col("d.rival")
+    spelled = (
         F.when(
             F.startswith("category", F.lit("maker")),
-            F.concat(F.lit("Brand#"), 1 + seeded_number("rival", F.col("run"), F.col("item_id")) % 25),
+            F.concat(F.lit("Brand#"), 1 + rival % 25),
         )
         .when(
             F.col("category") == "kind",
             F.element_at(
                 F.array(*[F.lit(k) for k in KINDS]),
-                (1 + seeded_number("rival", F.col("run"), F.col("item_id")) % len(KINDS)).cast("int"),
+                (1 + rival % len(KINDS)).cast("int"),
             ),
         )
-        .otherwise((1 + seeded_number("rival", F.col("run"), F.col("item_id")) % 50).cast("string"))
+        .otherwise((1 + rival % 50).cast("string"))
     )
+    rows, other = rows.withColumn("other", once(spelled)), F.col("other")
     gold = F.when(F.col("category") == "maker_abstain", F.lit("Maaf, tidak diketahui.")).otherwise(F.col("answer"))
     right = (
         F.when(form == 0, F.col("answer"))
@@ -121,7 +128,7 @@ def predictions(spark: SparkSession, sf: str, runs: dict[str, int] = RUNS) -> Da
         "category",
         "question",
         "answer",
-        F.when(luck < F.col("skill"), right).otherwise(wrong).alias("reply"),
+        once(F.when(luck < F.col("skill"), right).otherwise(wrong)).alias("reply"),
     )
 
 

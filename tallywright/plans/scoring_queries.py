@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import reply
 from tallywright.functions.hashing import seeded_number
-from tallywright.functions.text import lines_of, norm_answer, words_of
+from tallywright.functions.text import lines_of, norm_answer, once, words_of
 from tallywright.operators import choice_items, gates, provenance, scoring
 from tallywright.plans.base import PRED_SQL, QA_SQL, predictions, qa_items
 from tallywright.plans.choice_queries import MC_SQL, mc_items
 from tallywright.plans.registry import load, query
 from tallywright.plans.sqlkit import edges, lines, md5, norm, number, words
+from tallywright.session import materialise
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,9 +65,10 @@ def write_audit_table(spark: SparkSession, sf: str) -> DataFrame:
 )
 def contains_key_no_rival(spark: SparkSession, sf: str) -> DataFrame:
     preds = predictions(spark, sf).where("category in ('maker', 'kind')")
-    norm_cols = preds.select(
-        "run", "item_id", "category", norm_answer(reply.strip_reasoning(F.col("reply"))).alias("p"), norm_answer(F.col("answer")).alias("g")
-    )
+    said = preds.withColumn("said", once(reply.strip_reasoning(F.col("reply"))))
+    texts = F.struct(norm_answer(F.col("said")).alias("p"), norm_answer(F.col("answer")).alias("g"))
+    # read by the search for rivals and by the join with what it finds
+    norm_cols = materialise(said.select("run", "item_id", "category", once(texts).alias("t")).select("run", "item_id", "category", "t.*"), "read-replies")
     hits = scoring.rival_hits(norm_cols, ["run", "item_id"], scoring.rival_sets(qa_items(spark, sf)))
     joined = norm_cols.join(hits, ["run", "item_id"], "left").fillna(False, ["names_rival"])
     return joined.select("run", "item_id", (reply.contains_key(F.col("p"), F.col("g")) & ~F.col("names_rival")).alias("hit"))
