@@ -298,3 +298,15 @@ def test_a_cloze_draws_from_the_whole_record(spark):
     digest = lambda r, w: hashlib.md5(f"c|1|{r.uid.split('-')[-1]}|{w}".encode()).hexdigest()
     for r in got:
         assert r.others == sorted((w for w in words if w != r.answer), key=lambda w: digest(r, w))[:4]
+
+
+def test_placed_items_are_written_once(spark, tmp_path):
+    """Queries that read choice items several times find a table, not the ranks and lookups behind them."""
+    from tallywright.plans.choice_queries import mc_items
+
+    rows = [(i, f"part {i}", f"KIND {i % 7}", f"Brand#{i % 9}", 1 + i % 12) for i in range(40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    items = mc_items(spark, str(tmp_path))
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Window", "Aggregate", "Join"))
+    assert items.where("not exists(map_values(options), v -> v = element_at(options, key))").count() == 0 and items.count() > 80
