@@ -310,3 +310,35 @@ def test_placed_items_are_written_once(spark, tmp_path):
     plan = items._jdf.queryExecution().optimizedPlan().toString()
     assert not any(step in plan for step in ("Window", "Aggregate", "Join"))
     assert items.where("not exists(map_values(options), v -> v = element_at(options, key))").count() == 0 and items.count() > 80
+
+
+def test_drawn_keys_name_the_rows_of_the_draw(spark):
+    cols = ["record", "category", "question", "answer", "unit"]
+    data = [(r, "ab"[r % 2], f"q{r % 7}", f"a{r % 3}", f"u{r}") for r in range(60)] + [(3, "b", "q3", "a0", "t"), (None, "a", None, "x", "n"), (61, "a", None, "y", "n")]
+    items = spark.createDataFrame(data, "record long, category string, question string, answer string, unit string").repartition(3)
+    whole = sampling.equal_quota_sample(
+        sampling.first_of_group(items, ["question", "answer"], ["record", "category", "unit"]), "category", ["record", "question", "answer"], 4, "s"
+    )
+    drawn = sampling.drawn_keys(items, "record", "category", 4, "s")
+    assert drawn.columns == ["pair", "record", "category"]  # no text
+    keyed = whole.withColumn("pair", sampling.pair_key(F.col("question"), F.col("answer"))).select("pair", "record", "category")
+    got, want = ({(bytes(r.pair), r.record, r.category) for r in d.collect()} for d in (drawn, keyed))
+    assert got == want and len(got) == 8
+    assert whole.columns == cols
+
+
+def test_drawn_keys_where_most_rows_come_second(spark):
+    # the first rows of category b by digest are copies whose first stands in category a
+    rows = [(0, "a", f"q{k}", "x", "u") for k in range(40)] + [(r, "b", f"q{r % 40}", "x", "u") for r in range(1, 400)] + [(500 + r, "b", f"p{r}", "x", "u") for r in range(3)]
+    items = spark.createDataFrame(rows, "record long, category string, question string, answer string, unit string").repartition(3)
+    got = {(r.record, r.category) for r in sampling.drawn_keys(items, "record", "category", 2, "s").collect()}
+    whole = sampling.equal_quota_sample(
+        sampling.first_of_group(items, ["question", "answer"], ["record", "category", "unit"]), "category", ["record", "question", "answer"], 2, "s"
+    )
+    assert got == {(r.record, r.category) for r in whole.collect()} and len({r for r in got if r[1] == "b"}) == 2
+
+
+def test_the_draw_shuffles_no_text(spark, capsys):
+    items = spark.createDataFrame([(1, "a", "q", "x", "u")], "record long, category string, question string, answer string, unit string")
+    sampling.drawn_keys(items, "record", "category", 2, "s").explain("formatted")
+    assert "question" not in capsys.readouterr().out
